@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, line_dedup, mixing
+from tidemark.llm import fingerprint, line_dedup, mixing, substring_dedup
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,6 +17,11 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, sf_dir, "doc_id", "source", "text")).documents
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -50,9 +55,34 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+OP2_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM tokens
+), starts AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 19], ' ') AS seq FROM places WHERE pos + 19 <= len(words)
+), ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY seq ORDER BY doc_id, pos) AS k FROM starts
+), latest AS (
+  SELECT p.doc_id, p.pos, p.words[p.pos] AS word,
+         max(CASE WHEN r.k > 1 THEN r.pos END) OVER (PARTITION BY p.doc_id ORDER BY p.pos) AS last_start
+  FROM places p LEFT JOIN ranked r ON r.doc_id = p.doc_id AND r.pos = p.pos
+), kept AS (
+  SELECT doc_id, count(*) AS n_words,
+         count(*) FILTER (WHERE coalesce(pos < last_start + 20, false)) AS n_removed,
+         string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT coalesce(pos < last_start + 20, false)) AS text
+  FROM latest GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint}
+    return {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op9_line_dedup": OP9_SQL}

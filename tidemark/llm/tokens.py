@@ -82,18 +82,15 @@ class Words:
         return mix(segment_hashes(hashes, at, at + width), 1), text, position
 
 
-def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, words) of runs of texts of about so many bytes; a longer text is a run of its own. Null: no words."""
-    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
-        base = 0 if chunk is texts else None
-        assert base == 0, "one Arrow array at a time"
-        data, offsets = string_buffers(chunk)
-        lo = 0
-        while lo < len(chunk):
-            hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-            hi = min(max(hi, lo + 1), len(chunk))
-            yield lo, hi, words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            lo = hi
+    data, offsets = string_buffers(texts)
+    lo = 0
+    while lo < len(texts):
+        hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
+        hi = min(max(hi, lo + 1), len(texts))
+        yield lo, hi, words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        lo = hi
 
 
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
