@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, line_dedup, minhash_dedup, mixing, substring_dedup
+from tidemark.llm import fingerprint, line_dedup, lm_scoring, minhash_dedup, mixing, substring_dedup
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,6 +32,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -86,7 +90,7 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_minhash": op5_minhash, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint}
+    return {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_minhash": op5_minhash, "op8_hmm_scores": op8_hmm_scores, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:

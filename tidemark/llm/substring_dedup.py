@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import field, kept_columns, order_id
+from tidemark.llm.homes import home_column, home_of, parts
 from tidemark.llm.storage import partitions, text_bytes
 from tidemark.llm.tokens import blocks, mix, pack, unpack, words_of
 
@@ -26,15 +27,6 @@ BLOCK_BYTES = 6 << 20
 _PACKED = "kind int, place int, payload binary"
 
 
-def _home(ids: np.ndarray, homes: int) -> np.ndarray:
-    """Where the rows of a document meet: the same arithmetic as _home_column."""
-    return (np.asarray(ids, np.int64) % np.int64(2_147_483_647)) * 7919 % homes
-
-
-def _home_column(ids: Column, homes: int) -> Column:
-    return F.pmod(F.pmod(ids, F.lit(2_147_483_647)) * 7919, F.lit(homes)).cast("int")
-
-
 def _first_of_each(hashes: np.ndarray, ids: np.ndarray, prints: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """True for the rows that come first, by document and position, among those of their hash; all of several equal ones are first."""
     order = np.lexsort((positions, prints, ids, hashes))
@@ -47,15 +39,6 @@ def _first_of_each(hashes: np.ndarray, ids: np.ndarray, prints: np.ndarray, posi
     return out
 
 
-def _parts(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, the rows there in their old order)."""
-    order = np.argsort(place, kind="stable")
-    cuts = np.flatnonzero(np.diff(place[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows):
-            yield int(place[rows[0]]), rows
-
-
 def _packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     kinds, places, payloads = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), pa.array(payloads, pa.binary())], names=["kind", "place", "payload"])
@@ -79,11 +62,11 @@ def window_rows(docs: DataFrame, width: int, buckets: int, homes: int, told_apar
                 bucket = (mix(hashes, 3) % np.uint64(buckets)).astype(np.int64)
                 keep = np.flatnonzero(first)
                 keep = keep[np.lexsort((position[keep], prints[keep], ids[keep]))]
-                for place, rows in _parts(bucket[keep]):
+                for place, rows in parts(bucket[keep]):
                     rows = keep[rows]
                     out.append((0, place, pack(hashes[rows], ids[rows], prints[rows], position[rows])))
                 again = np.flatnonzero(~first)
-                for place, rows in _parts(_home(ids[again], homes)):
+                for place, rows in parts(home_of(ids[again], homes)):
                     rows = again[rows]
                     out.append((1, place, pack(prints[rows].view(np.uint64), ids[rows], position[rows])))
                 yield _packed_rows(out)
@@ -101,7 +84,7 @@ def _repeats(key: tuple, table: pa.Table, homes: int) -> pa.Table:
     hashes, ids, prints, positions = (np.concatenate(x) for x in zip(*(unpack(p, 4) for p in payloads)))
     again = np.flatnonzero(~_first_of_each(hashes, ids, prints, positions))
     again = again[np.lexsort((positions[again], ids[again]))]
-    rows = [(1, home, pack(prints[again[r]].view(np.uint64), ids[again[r]], positions[again[r]])) for home, r in _parts(_home(ids[again], homes))]
+    rows = [(1, home, pack(prints[again[r]].view(np.uint64), ids[again[r]], positions[again[r]])) for home, r in parts(home_of(ids[again], homes))]
     return pa.Table.from_batches([_packed_rows(rows)])
 
 
@@ -134,7 +117,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     for name, kind in added.items():
         schema = schema.add(field(name, kind))
     print_column = F.coalesce(F.xxhash64("text"), F.lit(0)) if told_apart else F.lit(0).cast("long")
-    placed = docs.withColumns({"__d": order_id(), "__print": print_column}).withColumn("__home", _home_column(F.col("__d"), homes))
+    placed = docs.withColumns({"__d": order_id(), "__print": print_column}).withColumn("__home", home_column(F.col("__d"), homes))
 
     def rebuild(key: tuple, own: pa.Table, repeats: pa.Table) -> pa.Table:
         if repeats.num_rows:
