@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, line_dedup, lm_scoring, minhash_dedup, mixing, substring_dedup
+from tidemark.llm import fingerprint, line_dedup, lm_scoring, minhash_dedup, mixing, substring_dedup, toxicity
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,6 +32,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.toxicity(_documents(spark, sf_dir, "doc_id", "text"), labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -90,7 +96,7 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_minhash": op5_minhash, "op8_hmm_scores": op8_hmm_scores, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint}
+    return {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_hmm_scores": op8_hmm_scores, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint}
 
 
 def oracle_sql() -> dict[str, str]:
