@@ -2,10 +2,10 @@
 
 A text is the multiset of its paragraphs: the non-empty pieces between line breaks and sentence ends.  Each paragraph
 hashes to a wide vector and a text's vector is the sum, so order doesn't matter and paragraphs can be added or taken
-away.  A vector is [number of paragraphs, 8 sums modulo 2**32 of independent hash halves, 64 packed pairs of bit
-counts]; the first nine give equality, the 128 bit counts (modulo 2**16 when printed) give likeness: twice the count
-less the number of paragraphs is a sum of random signs, so the cosine of two such vectors estimates the share of
-paragraphs in common.
+away.  A vector is the number of paragraphs and, for each of two hashes, the sums of its two halves and 32 packed pairs
+of bit counts.  The sums (printed modulo 2**32) with the counts give equality; the 128 bit counts (printed modulo 2**16)
+give likeness: twice a count less the number of paragraphs is a sum of random signs, so the cosine of two such vectors
+estimates the share of paragraphs in common.
 """
 
 from __future__ import annotations
@@ -20,47 +20,47 @@ from tidemark.llm.storage import partitions, text_bytes
 PARAGRAPH_BREAK = r"\n|(?<=[.!?]) "
 LOW = 0xFFFFFFFF
 PAIR = 0x0000000100000001
+HASHES = 2
+LANES = 2 + 32  # of one hash: its two halves, then bits i and i + 32 for i from 0 to 31
 FIRST_ID = -(1 << 63)  # where a null doc_id sorts: after all others in descending order
 
 
 def vector(text: Column) -> Column:
-    """The summed vector of a text as 73 longs; an empty text has the zero vector. No sum can overflow: a string has under 2**31 pieces."""
+    """The summed vector of a text, 1 + 2 * 34 longs; an empty text has the zero vector. No sum can overflow: a string has under 2**31 pieces."""
     pieces = F.filter(F.split(text, PARAGRAPH_BREAK), lambda x: x != "")
-    hashes = [F.transform(pieces, lambda x, k=k: F.xxhash64(F.lit(k), x)) for k in range(4)]
-    halves = [_summed(h, half) for h in hashes for half in (_low, _high)]
-    counts = [F.transform(F.sequence(F.lit(0), F.lit(31)), _pair_counts(h)) for h in hashes[:2]]
-    return F.concat(F.array(F.size(pieces).cast("long"), *[F.pmod(h, F.lit(1 << 32)) for h in halves]), *counts)
+    sums = [F.aggregate(F.transform(pieces, _salted(k)), F.array(*[F.lit(0).cast("long")] * LANES), _added) for k in range(HASHES)]
+    return F.concat(F.array(F.size(pieces).cast("long")), *sums)
 
 
-def _low(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(LOW))
+def _salted(k: int) -> Callable[[Column], Column]:
+    return lambda x: F.xxhash64(F.lit(k), x)
 
 
-def _high(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 32)
+def _added(sums: Column, h: Column) -> Column:
+    """One step over all lanes: a single lambda call for each paragraph."""
+    lanes = [h.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(h, 32)]
+    lanes += [F.shiftrightunsigned(h, i).bitwiseAND(F.lit(PAIR)) for i in range(32)]
+    return F.array(*[F.get(sums, F.lit(i)) + x for i, x in enumerate(lanes)])
 
 
-def _summed(hashes: Column, of: Callable[[Column], Column]) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + of(x))
+def _wide(v: Column) -> Column:
+    return F.concat(*[F.slice(v, 2 + k * LANES, 2) for k in range(HASHES)])
 
 
-def _pair_counts(hashes: Column) -> Callable[[Column], Column]:
-    """For bit i: how many hashes have it, and bit i + 32 in the upper half of the same long."""
-    return lambda i: _summed(hashes, lambda x: F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit(PAIR)))
+def _pairs(v: Column) -> Column:
+    return F.concat(*[F.slice(v, 4 + k * LANES, 32) for k in range(HASHES)])
 
 
 def combine(left: Column, right: Column, sign: int = 1) -> Column:
     """The vector of both multisets together, or with sign -1 of left without right (which must be part of it)."""
-    summed = F.zip_with(left, right, lambda a, b: a + b * F.lit(sign))
-    return F.transform(summed, lambda x, i: F.when((i >= 1) & (i <= 8), F.pmod(x, F.lit(1 << 32))).otherwise(x))
+    return F.zip_with(left, right, lambda a, b: a + b * F.lit(sign))
 
 
 def printed(v: Column) -> Column:
-    """The vector as fixed-width lowercase hex, lanes modulo 2**32 or 2**16."""
-    wide = F.transform(F.slice(v, 1, 9), lambda x: F.lpad(F.hex(F.pmod(x, F.lit(1 << 32))), 8, "0"))
-    low = F.transform(F.slice(v, 10, 64), lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFF))), 4, "0"))
-    high = F.transform(F.slice(v, 10, 64), lambda x: F.lpad(F.hex(F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
-    return F.lower(F.concat(F.array_join(wide, ""), F.array_join(low, ""), F.array_join(high, "")))
+    """The vector as fixed-width lowercase hex: the number of paragraphs and wide sums modulo 2**32, bit counts modulo 2**16."""
+    wide = F.transform(F.concat(F.slice(v, 1, 1), _wide(v)), lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(LOW))), 8, "0"))
+    pairs = F.transform(_pairs(v), lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0x0000FFFF0000FFFF))), 16, "0"))
+    return F.lower(F.concat(F.array_join(wide, ""), F.array_join(pairs, "")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -77,7 +77,7 @@ def _signed_dot(a: Column, b: Column) -> Column:
         low = (x.bitwiseAND(F.lit(LOW)) * F.lit(2.0) - na) * (y.bitwiseAND(F.lit(LOW)) * F.lit(2.0) - nb)
         return low + (F.shiftrightunsigned(x, 32) * F.lit(2.0) - na) * (F.shiftrightunsigned(y, 32) * F.lit(2.0) - nb)
 
-    return F.aggregate(F.zip_with(F.slice(a, 10, 64), F.slice(b, 10, 64), each), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(_pairs(a), _pairs(b), each), F.lit(0.0), lambda s, x: s + x)
 
 
 def _bucket(at: Column, bounds: list[int]) -> Column:

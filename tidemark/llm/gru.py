@@ -14,6 +14,8 @@ from tidemark.llm.tokens import Words, mix
 
 WINDOW, STRIDE = 48, 24
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 13, 1 << 13, 8, 8
+#: Share of words whose word vector is left out in a training step, and the pull of the tables towards zero.
+WORD_DROP, DECAY = 0.3, 1e-4
 _CLOSE = np.uint64(0x100)
 
 
@@ -34,7 +36,7 @@ class Network:
     def fresh(seed: int) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, s: (s * rng.standard_normal(shape)).astype(np.float32)
-        p = {"words": draw(WORD_ROWS, WIDTH, s=0.1), "grams": draw(GRAM_ROWS, WIDTH, s=0.1)}
+        p = {"words": draw(WORD_ROWS, WIDTH, s=0.02), "grams": draw(GRAM_ROWS, WIDTH, s=0.1)}
         for side in "fb":
             p |= {f"w{side}": draw(2 * WIDTH, 3 * HIDDEN, s=0.4), f"u{side}": draw(HIDDEN, 3 * HIDDEN, s=0.3), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
         return Network(p | {"v": draw(2 * HIDDEN, s=0.3), "o": draw(2 * HIDDEN, s=0.3), "d": np.zeros(1, np.float32)})
@@ -126,7 +128,7 @@ def _tabled(rows: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, weights=grad[:, k], minlength=n) for k in range(grad.shape[1])], axis=1).astype(np.float32)
 
 
-def gradients(net: Network, vocab: Vocabulary, keep: dict, d_logit: np.ndarray) -> dict[str, np.ndarray]:
+def gradients(net: Network, vocab: Vocabulary, keep: dict, d_logit: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
     p, both, weight = net.params, keep["both"], keep["weight"]
     g = {"o": keep["pooled"].T @ d_logit, "d": np.array([d_logit.sum()], np.float32)}
     d_pool = d_logit[:, None] * p["o"]
@@ -160,8 +162,8 @@ def gradients(net: Network, vocab: Vocabulary, keep: dict, d_logit: np.ndarray)
         g[f"w{side}"] = keep["source"].T @ per_word
         d_source += per_word @ p[f"w{side}"].T
     size = np.diff(vocab.first)
-    g["words"] = _tabled(vocab.word, d_source[:, :WIDTH], WORD_ROWS)
-    g["grams"] = _tabled(vocab.grams, np.repeat(d_source[:, WIDTH:] / size[:, None], size, axis=0), GRAM_ROWS)
+    g["words"] = _tabled(vocab.word, d_source[:, :WIDTH] * known[:, None], WORD_ROWS) + DECAY * p["words"]
+    g["grams"] = _tabled(vocab.grams, np.repeat(d_source[:, WIDTH:] / size[:, None], size, axis=0), GRAM_ROWS) + DECAY * p["grams"]
     return g
 
 
@@ -183,7 +185,10 @@ def train(texts: list[Words], labels: np.ndarray, steps: int = 260, batch: int =
         chosen = np.concatenate([rng.choice(g, batch // 2) for g in groups])
         vocab, inverse, text, start, size = _joined([blocks[i] for i in chosen])
         keep: dict = {}
-        logit = forward(net, embed(net, vocab), inverse, start, size, keep)
+        vectors = embed(net, vocab)
+        known = rng.random(len(vectors)) >= WORD_DROP
+        vectors[:, :WIDTH] *= known[:, None]
+        logit = forward(net, vectors, inverse, start, size, keep)
         sharp = 1.0 + 3.0 * step / steps
         top = np.full(len(chosen), -1e9)
         np.maximum.at(top, text, logit)
@@ -192,7 +197,7 @@ def train(texts: list[Words], labels: np.ndarray, steps: int = 260, batch: int =
         whole = np.bincount(text, weights=share * logit)
         error = (_sigmoid(whole) - labels[chosen])[text] * share / len(chosen)
         rate_now = rate * (1 - 0.8 * step / steps)
-        for k, grad in gradients(net, vocab, keep, error.astype(np.float32)).items():
+        for k, grad in gradients(net, vocab, keep, error.astype(np.float32), known).items():
             norm = float(np.sqrt((grad * grad).sum()))
             grad = grad / max(1.0, norm)
             m[k] = 0.9 * m[k] + 0.1 * grad
