@@ -29,8 +29,8 @@ WIDTH = 8
 LEAST_WIDTH = 4
 LEAST_LITERALS = 4
 LEAST_COVER = 0.5
-#: Benchmark windows held by a task at once; a larger benchmark is taken in blocks of whole items.
-MOST_WINDOWS = 1_000_000
+#: Benchmark text held by a task at once; a larger benchmark is taken in blocks of whole items.
+BLOCK_BYTES = 8 << 20
 
 # Words for numbers and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
@@ -123,7 +123,6 @@ def streams(words: Words) -> tuple[Stream, Stream]:
 @dataclass
 class Item:
     item_id: int
-    widths: tuple[int, int]  # of its windows in either form, 0: too short
     windows: tuple[int, int]  # how many in either form
     fillers: list[str | None]  # of its template tokens; None: literal
 
@@ -151,44 +150,39 @@ def _fillers(words: Words, template: Stream, at: range) -> list[str | None]:
     return out
 
 
-def benchmark_blocks(rows: list[tuple[int, str]], most: int = MOST_WINDOWS) -> Iterator[Benchmark]:
-    """Items as blocks of at most so many windows (a single longer item is a block of its own)."""
+def benchmark_of(rows: list[tuple[int, str]]) -> Benchmark:
+    """The windows of these items in both forms."""
     items: list[Item] = []
     found: dict[tuple[int, int], list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
-    total = 0
-
-    def block() -> Benchmark:
-        tables = {}
-        for key, parts in found.items():
-            hashes = np.concatenate([h for h, _, _ in parts])
-            order = np.argsort(hashes, kind="stable")
-            owner = np.concatenate([np.full(len(h), i) for h, i, _ in parts])
-            tables[key] = (hashes[order], owner[order], np.concatenate([p for _, _, p in parts])[order])
-        return Benchmark(list(items), tables)
-
     for item_id, text in rows:
-        data = pa.array([text or ""])
-        for _, _, words in blocks(data):
+        for _, _, words in blocks(pa.array([text])):
             forms = streams(words)
-            widths, counts = [], []
+            counts = []
             for f, stream in enumerate(forms):
                 width = min(WIDTH, int(stream.first[-1]))
                 hashes, _, position = stream.windows(width) if width >= LEAST_WIDTH else (np.zeros(0, np.uint64), None, np.zeros(0, np.int64))
-                widths.append(width if len(hashes) else 0)
                 counts.append(len(hashes))
                 if len(hashes):
                     found[f, width].append((hashes, len(items), position))
-            if total + sum(counts) > most and items:
-                moved = {k: v.pop() for k, v in list(found.items()) if v and v[-1][1] == len(items)}
-                yield block()
-                items, total = [], 0
-                found.clear()
-                for k, (h, _, p) in moved.items():
-                    found[k].append((h, 0, p))
-            items.append(Item(item_id, (widths[0], widths[1]), (counts[0], counts[1]), _fillers(words, forms[1], range(len(forms[1].hashes)))))
-            total += sum(counts)
-    if items:
-        yield block()
+            items.append(Item(item_id, (counts[0], counts[1]), _fillers(words, forms[1], range(len(forms[1].hashes)))))
+    tables = {}
+    for key, parts in found.items():
+        hashes = np.concatenate([h for h, _, _ in parts])
+        order = np.argsort(hashes, kind="stable")
+        owner = np.concatenate([np.full(len(h), i) for h, i, _ in parts])
+        tables[key] = (hashes[order], owner[order], np.concatenate([p for _, _, p in parts])[order])
+    return Benchmark(items, tables)
+
+
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Benchmark]:
+    """The benchmark as blocks of items of about block_bytes of text: the driver and the tasks hold one block at a time."""
+    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    n = size // block_bytes + 1
+    for b in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
+        if rows:
+            yield benchmark_of(sorted((int(r["item_id"]), r["text"]) for r in rows))
 
 
 def _consistent(item: list[str | None], text: list[str | None]) -> bool:
@@ -239,15 +233,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null texts and items hold nothing, and items of fewer than four tokens can't be told from ordinary text.  Rows of
     equal doc_id are told of together, null doc_ids as null; items of equal item_id are one row.  Empty tables give no rows.
     """
-    rows = sorted((r["item_id"], r["text"]) for r in benchmark.where("text is not null and item_id is not null").select("item_id", "text").toLocalIterator())
-    found = [_against(docs, block) for block in benchmark_blocks(rows)]
+    found = [_against(docs, block) for block in benchmark_blocks(benchmark)]
     if not found:
         return docs.sparkSession.createDataFrame([], _MATCHES)
     return reduce(DataFrame.unionByName, found)
 
 
 def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """All documents against one block of items, of at most MOST_WINDOWS windows, which every task holds."""
+    """All documents against one block of items of about BLOCK_BYTES, which every task holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,8 +257,7 @@ def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item; a row without a doc_id is judged by its text like any other."""
-    rows = sorted((r["item_id"], r["text"]) for r in benchmark.where("text is not null and item_id is not null").select("item_id", "text").toLocalIterator())
-    for bench in benchmark_blocks(rows):
+    for bench in benchmark_blocks(benchmark):
 
         def run(batch: pa.RecordBatch, bench: Benchmark = bench) -> dict[str, pa.Array]:
             held = np.zeros(batch.num_rows, bool)

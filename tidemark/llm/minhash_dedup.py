@@ -37,7 +37,7 @@ _rng = np.random.default_rng(5)
 _FACTORS = _rng.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIPS = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)
 _LANE_LOW = np.uint64(int("0001" * LANES, 2))
-_FEATURES = "o long, n long, s1 long, s2 long, bands array<long>, sig array<long>"
+_FEATURES = "o long, print long, n long, s1 long, s2 long, bands array<long>, sig array<long>"
 _SETS = "node long, shingles binary"
 
 
@@ -124,6 +124,10 @@ def _nested(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int64).ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
 
 
+def text_print() -> Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(o, n, s1, s2, bands, sig) of each row; rows without words have n = 0 and no bands."""
 
@@ -133,10 +137,10 @@ def features(docs: DataFrame) -> DataFrame:
                 grams, first = shingle_sets(words)
                 least = minima(grams, first)
                 n = np.diff(first)
-                columns = [batch.column("o").slice(lo, hi - lo), pa.array(n), pa.array(set_hash(grams, first, 7)), pa.array(set_hash(grams, first, 11)), _nested(band_keys(least)), _nested(signatures(least))]
-                yield pa.RecordBatch.from_arrays(columns, names=["o", "n", "s1", "s2", "bands", "sig"])
+                columns = [*(batch.column(c).slice(lo, hi - lo) for c in ("o", "print")), pa.array(n), pa.array(set_hash(grams, first, 7)), pa.array(set_hash(grams, first, 11)), _nested(band_keys(least)), _nested(signatures(least))]
+                yield pa.RecordBatch.from_arrays(columns, names=["o", "print", "n", "s1", "s2", "bands", "sig"])
 
-    return docs.select(order_id().alias("o"), "text").mapInArrow(run, _FEATURES)
+    return docs.select(order_id().alias("o"), text_print().alias("print"), "text").mapInArrow(run, _FEATURES)
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -227,7 +231,7 @@ def cross_links(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, node) of each row: whole texts, lower-cased A-Z, shingles of five words.
+    """(doc_id, n_shingles, component_id, kept, first, print) of each row: whole texts, lower-cased A-Z, shingles of five words.
 
     component_id is the smallest doc_id reachable over links of similarity 0.75 or more.  Null or blank text has no
     shingles and no links.  Each row is a text of its own even where doc_ids repeat; rows without a doc_id take part in
@@ -264,12 +268,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = written(more.distinct(), "links")
     final = written(components(links.union(more)), "components")
 
-    labels = rows.select("node", "o", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "node"))
+    labels = rows.select("node", "o", "print", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "node"))
     labels = labels.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    labels = written(labels.select("node", "o", "n", "comp"), "labels")
+    labels = written(labels.select("node", "o", "print", "n", "comp"), "labels")
     least = labels.groupBy("comp").agg(F.min(F.struct("o", "node")).alias("x"))
     least = written(least.select("comp", F.col("x.o").alias("least_o"), F.col("x.node").alias("least_node")), "least")
     done = labels.join(least, "comp")
     ids = lambda c: F.when(F.col(c) != F.lit((1 << 63) - 1), F.col(c))
-    done = done.select(ids("o").alias("doc_id"), F.col("n").alias("n_shingles"), ids("least_o").alias("component_id"), (F.col("node") == F.col("least_node")).alias("first"))
+    done = done.select(ids("o").alias("doc_id"), F.col("n").alias("n_shingles"), ids("least_o").alias("component_id"), (F.col("node") == F.col("least_node")).alias("first"), "print")
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of which near_duplicates marks one in each group as `first`."""
+    found = near_duplicates(docs).where("first")
+    keys = found.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__o"), F.col("print").alias("__print"))
+    placed = docs.withColumns({"__o": order_id(), "__print": text_print()})
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    kept = placed.join(keys, ["__o", "__print"], "left_semi")
+    return (kept.dropDuplicates(["__o", "__print"]) if ids < rows else kept).drop("__o", "__print")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fingerprint, line_dedup, lm_scoring, minhash_dedup, mixing, secrets, substring_dedup, toxicity
+import corpus_pipeline
+from tidemark.llm import decontamination, fingerprint, html_extraction, line_dedup, lm_scoring, minhash_dedup, mixing, secrets, substring_dedup, toxicity
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,6 +18,11 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_extraction.extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -106,7 +112,7 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_minhash": op5_minhash, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_hmm_scores": op8_hmm_scores, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint}
+    return {"op1_html_text": op1_html_text, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_minhash": op5_minhash, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_hmm_scores": op8_hmm_scores, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
