@@ -1,7 +1,7 @@
 """All queries of the library, by importing the modules that register them."""
 
-from tidemark.plans import prepare, verify
+from tidemark.plans import prepare, state, verify
 from tidemark.plans.registry import ORACLES, QUERIES
 
-MODULES = (prepare, verify)
+MODULES = (prepare, verify, state)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
