@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 from tidemark.operators import estimation, filters, folds
 from tidemark.plans.registry import query
-from tidemark.sources import tables
+from tidemark.sources import shared, tables
 from tidemark.sources.tables import with_ctes
+from tidemark.streaming import online
 
 _KEYS, _ORDER = ["entity", "stream_key"], ["ts", "seq"]
 _ALPHA = "(1 - exp(-ln(2) / 20.0))"
@@ -203,3 +204,12 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals of mean probabilities from 200 stationary block replicates."""
     long = tables.snapshots_long(spark, sf_dir)
     return estimation.interval(estimation.bootstrap_means(long, ["regime"], "day", "p", 200), ["regime"])
+
+
+@query("s4_online_replay")
+def online_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay as a stream over written daily observations, a row for each entity and day."""
+    path = shared.folder(spark, "daily-z")
+    _daily_z(spark, sf_dir).repartitionByRange(3, "day").write.parquet(path)
+    stream = online.online_replay(online.files(spark, path, online.INPUT_SCHEMA), filters.Config())
+    return online.run_to_end(spark, stream, "online-replay")
