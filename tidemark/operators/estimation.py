@@ -103,3 +103,39 @@ def interval(replicates: DataFrame, keys: list[str], value: str = "mean") -> Dat
     """Percentile interval and standard error of replicate statistics."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
     return replicates.groupBy(*keys).agg(F.count(value).alias("n"), F.element_at(q, 1).alias("low"), F.element_at(q, 2).alias("high"), F.stddev_samp(value).alias("se"))
+
+
+def varimax(loadings: np.ndarray, rounds: int = 50, tolerance: float = 1e-8) -> np.ndarray:
+    """Rotation that makes squared loadings of each component as uneven as it can."""
+    n, k = loadings.shape
+    turn, before = np.eye(k), 0.0
+    for _ in range(rounds):
+        x = loadings @ turn
+        u, s, v = np.linalg.svd(loadings.T @ (x**3 - x * (x**2).sum(axis=0) / n))
+        turn = u @ v
+        if s.sum() < before * (1 + tolerance):
+            break
+        before = s.sum()
+    return loadings @ turn
+
+
+def switching_model(y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """EM of a two-state Gaussian Markov-switching mean: (means rising, deviations, mean chance to stay, smoothed chance of the low state)."""
+    mean, sd = np.quantile(y, [0.25, 0.75]), np.full(2, max(y.std(), 1e-6))
+    tpm = np.array([[0.9, 0.1], [0.1, 0.9]])
+    for _ in range(rounds):
+        like = np.exp(-0.5 * ((y[:, None] - mean) / sd) ** 2) / sd + 1e-300
+        filtered, p = np.empty_like(like), np.full(2, 0.5)
+        for t in range(len(y)):
+            p = (p @ tpm if t else p) * like[t]
+            p /= p.sum()
+            filtered[t] = p
+        smooth = kim_smoother(filtered, tpm)
+        ahead = np.maximum(filtered[:-1] @ tpm, 1e-15)
+        joint = (filtered[:-1, :, None] * tpm[None] * (smooth[1:] / ahead)[:, None, :]).sum(axis=0) + 0.1
+        tpm = joint / joint.sum(axis=1, keepdims=True)
+        weight = smooth.sum(axis=0) + 1e-9
+        mean = (smooth * y[:, None]).sum(axis=0) / weight
+        sd = np.sqrt((smooth * (y[:, None] - mean) ** 2).sum(axis=0) / weight) + 1e-6
+    order = np.argsort(mean)
+    return mean[order], sd[order], float(np.diag(tpm).mean()), smooth[:, order[0]]
