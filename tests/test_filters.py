@@ -76,3 +76,36 @@ def test_bootstrap_indices_are_blocks_that_wrap():
     at = estimation.bootstrap_indices(500, 8, np.random.default_rng(4))
     follow = np.mean((at[1:] - at[:-1]) % 500 == 1)
     assert at.min() >= 0 and at.max() < 500 and 0.8 < follow < 0.95
+
+
+def test_state_transitions_follow_the_factors():
+    calm, crisis = filters.state_transitions(np.zeros(filters.N)), filters.state_transitions(filters.vector({"financial_conditions": -3, "growth_trend": -3}))
+    assert np.allclose(calm.sum(axis=1), 1) and crisis[0, 2] > calm[0, 2]
+
+
+def test_shared_shocks_keep_the_noise_positive():
+    q = filters.process_noise(shared=True)
+    assert np.allclose(q, q.T) and np.linalg.eigvalsh(q).min() > 0
+
+
+def test_cumulated_prediction_is_the_mean_since_the_last_observation():
+    engine = filters.Replay(filters.Config(cumulate=True))
+    engine.day([("SP500", 2.0), ("US_CPI_YOY", 1.0)])
+    assert engine.sums["US_CPI_YOY"] == [0.0, 0]
+    h, seen = filters.vector(c.STREAM_LOADINGS["US_CPI_YOY"]), []
+    for _ in range(3):
+        x = engine.base.f @ engine.base.x
+        seen.append(float(h @ x))
+        engine.day([("SP500", 0.5)])
+    total, n = engine.sums["US_CPI_YOY"]
+    assert n == 3 and total == pytest.approx(sum(seen))
+
+
+def test_nested_probabilities_sum_to_one(spark):
+    import datetime as dt
+
+    rows = [(1, dt.date(2024, 1, d), k, s, 0.1 * d) for d in range(1, 20) for k, s in enumerate(("US_CPI_YOY", "SP500"))]
+    got = filters.nested(spark.createDataFrame(rows, "entity long, day date, ord int, stream_key string, z double")).collect()
+    for regime in c.REGIMES:
+        assert sum(r.p for r in got if r.regime == regime) == pytest.approx(1)
+    assert sum(r.joint for r in got) == pytest.approx(1, abs=1e-3)

@@ -67,3 +67,68 @@ LIKELIHOOD_FLOOR = 1e-10
 REGIME_PULL, NEUTRAL_SHRINK = 0.10, 0.90
 GAS_BETA, GAS_ALPHA, GAS_MAX_RATIO, GAS_LOW, GAS_HIGH = 0.95, 0.10, 50.0, -6.0, 4.0
 GAP_SLOPE = 0.05
+#: Noise multipliers of each regime by class of streams, and its process-noise scale.
+STREAM_CLASSES = {
+    "financial": ("SP500", "BTC_USD", "INITIAL_CLAIMS", "GOLD_PRICE"),
+    "commodity": ("OIL_PRICE", "COPPER_PRICE", "PPI", "COMMODITY_PRESSURE_RAW"),
+    "housing": ("HOUSING_STARTS", "HOME_PRICES"),
+}
+REGIME_NOISE = {
+    "soft_landing": {"financial": 1.0, "commodity": 1.0, "housing": 1.0, "other": 1.0},
+    "stagflation": {"financial": 2.0, "commodity": 2.5, "housing": 1.5, "other": 1.2},
+    "recession": {"financial": 3.0, "commodity": 2.0, "housing": 2.5, "other": 1.5},
+}
+REGIME_Q = {"soft_landing": 1.0, "stagflation": 1.5, "recession": 2.0}
+#: Shocks that two factors share, as a part of the geometric mean of their variances.
+SHARED_SHOCKS = (
+    ("commodity_pressure", "inflation_trend", 0.30),
+    ("financial_conditions", "housing_momentum", 0.25),
+    ("policy_stance", "financial_conditions", 0.25),
+    ("growth_trend", "labor_pressure", 0.20),
+)
+DATA_PERSISTENCE = {
+    "inflation_trend": 0.9994,
+    "growth_trend": 0.9617,
+    "labor_pressure": 0.9881,
+    "housing_momentum": 0.9989,
+    "financial_conditions": 0.9698,
+    "commodity_pressure": 0.50,
+    "consumer_sentiment": 0.9979,
+    "policy_stance": 0.9996,
+}
+DATA_WEIGHT, MOST_PERSISTENT = 0.70, 0.999
+#: Streams that are seen less than daily.
+SLOW_STREAMS = ("US_CPI_YOY", "CORE_CPI", "PPI", "NONFARM_PAYROLLS", "UNEMPLOYMENT_RATE", "RETAIL_SALES", "HOME_PRICES", "CONSUMER_CONFIDENCE", "FED_FUNDS_RATE", "INITIAL_CLAIMS", "HOUSING_STARTS")
+#: From regime, to regime, weights of the factors, least and most probability.
+EXIT_RULES = (
+    (0, 2, {"financial_conditions": -0.8, "growth_trend": -0.6, "consumer_sentiment": -0.4}, 0.005, 0.050),
+    (0, 1, {"inflation_trend": 0.8, "commodity_pressure": 0.6, "growth_trend": -0.3}, 0.005, 0.060),
+    (2, 0, {"financial_conditions": 0.7, "growth_trend": 0.6, "consumer_sentiment": 0.4}, 0.020, 0.120),
+    (1, 0, {"inflation_trend": -0.8, "commodity_pressure": -0.5, "growth_trend": 0.4}, 0.010, 0.080),
+    (1, 2, {"growth_trend": -0.7, "financial_conditions": -0.6, "labor_pressure": -0.4}, 0.005, 0.060),
+    (2, 1, {"inflation_trend": 0.7, "commodity_pressure": 0.6}, 0.005, 0.050),
+)
+LEAST_STAY = 0.50
+#: Sub-regimes: shifts on top of their regime's, and their transitions.
+SUB_REGIMES = {
+    "soft_landing": {
+        "goldilocks": {"growth_trend": 0.050, "inflation_trend": -0.050, "consumer_sentiment": 0.100, "financial_conditions": 0.050},
+        "boom": {"growth_trend": 0.300, "inflation_trend": 0.350, "labor_pressure": 0.250, "housing_momentum": 0.300, "financial_conditions": 0.150, "consumer_sentiment": 0.100},
+        "disinflation": {"inflation_trend": -0.350, "policy_stance": 0.300, "growth_trend": -0.100, "labor_pressure": -0.100},
+    },
+    "stagflation": {
+        "cost_push": {"commodity_pressure": 0.350, "growth_trend": -0.300, "financial_conditions": -0.200, "consumer_sentiment": -0.150, "labor_pressure": -0.100},
+        "demand_pull": {"growth_trend": 0.300, "consumer_sentiment": 0.200, "labor_pressure": 0.150, "commodity_pressure": -0.050, "financial_conditions": 0.100},
+    },
+    "recession": {
+        "credit_crunch": {"financial_conditions": -0.400, "housing_momentum": -0.300, "growth_trend": 0.100, "policy_stance": -0.200, "inflation_trend": 0.050},
+        "demand_shock": {"growth_trend": -0.350, "labor_pressure": -0.300, "consumer_sentiment": -0.200, "inflation_trend": -0.250, "financial_conditions": 0.050},
+    },
+}
+SUB_TRANSITIONS = {
+    "soft_landing": ((0.950, 0.030, 0.020), (0.050, 0.920, 0.030), (0.060, 0.010, 0.930)),
+    "stagflation": ((0.940, 0.060), (0.080, 0.920)),
+    "recession": ((0.960, 0.040), (0.100, 0.900)),
+}
+SUB_FLOOR = 0.05
+ACTIVE_AT = 0.20

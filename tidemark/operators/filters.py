@@ -31,8 +31,32 @@ def transition(persistence: dict[str, float] = c.PERSISTENCE) -> np.ndarray:
     return f
 
 
-def process_noise() -> np.ndarray:
-    return np.diag([1 - c.PERSISTENCE[k] ** 2 for k in c.FACTORS]) * c.Q_SCALE
+def process_noise(persistence: dict[str, float] = c.PERSISTENCE, shared: bool = False) -> np.ndarray:
+    """Diagonal, or with the shocks that pairs of factors share."""
+    q = np.diag([1 - persistence[k] ** 2 for k in c.FACTORS]) * c.Q_SCALE
+    for a, b, rho in c.SHARED_SHOCKS if shared else ():
+        i, j = _INDEX[a], _INDEX[b]
+        q[i, j] = q[j, i] = rho * np.sqrt(q[i, i] * q[j, j])
+    return q
+
+
+def blended_persistence() -> dict[str, float]:
+    """Theory and data weighted; commodities keep the theory's."""
+    mixed = {k: min(round((1 - c.DATA_WEIGHT) * v + c.DATA_WEIGHT * c.DATA_PERSISTENCE[k], 4), c.MOST_PERSISTENT) for k, v in c.PERSISTENCE.items()}
+    return mixed | {"commodity_pressure": c.PERSISTENCE["commodity_pressure"]}
+
+
+def noise_class(stream: str) -> str:
+    return next((k for k, v in c.STREAM_CLASSES.items() if stream in v), "other")
+
+
+def state_transitions(x: np.ndarray) -> np.ndarray:
+    """Exits follow logistic rules of the factors; a regime keeps at least half before rows are scaled to one."""
+    tpm = np.zeros((len(c.REGIMES), len(c.REGIMES)))
+    for source, target, weights, low, high in c.EXIT_RULES:
+        tpm[source, target] = low + (high - low) / (1 + np.exp(-float(vector(weights) @ x)))
+    np.fill_diagonal(tpm, np.maximum(1 - tpm.sum(axis=1), c.LEAST_STAY))
+    return tpm / tpm.sum(axis=1, keepdims=True)
 
 
 @dataclass(frozen=True)
@@ -47,6 +71,11 @@ class Config:
     q_scale: float = 1.0
     gas: bool = False
     gap: bool = False
+    blended: bool = False
+    shared_shocks: bool = False
+    regime_noise: bool = False
+    cumulate: bool = False
+    state_tpm: bool = False
     streams: dict = field(default_factory=lambda: c.STREAM_LOADINGS)
 
 
@@ -61,11 +90,13 @@ class Filter:
 
     @staticmethod
     def fresh(config: Config, shift: np.ndarray | None = None) -> Filter:
-        return Filter(transition(), process_noise() * config.q_scale, np.zeros(N) if shift is None else shift.copy(), np.eye(N))
+        persistence = blended_persistence() if config.blended else c.PERSISTENCE
+        q = process_noise(persistence, config.shared_shocks) * config.q_scale
+        return Filter(transition(persistence), q, np.zeros(N) if shift is None else shift.copy(), np.eye(N))
 
-    def predict(self) -> None:
+    def predict(self, q_scale: float = 1.0) -> None:
         self.x = self.f @ self.x
-        self.p = self.f @ self.p @ self.f.T + self.q
+        self.p = self.f @ self.p @ self.f.T + self.q * q_scale
 
     def update(self, h: np.ndarray, r: float, value: float) -> tuple[float, float, np.ndarray]:
         """(innovation, its variance, gain)."""
@@ -82,12 +113,13 @@ class Filter:
 class Bank:
     """Regime filters whose weights are the regimes' probabilities."""
 
-    def __init__(self, config: Config):
-        self.config = config
-        self.shifts = [vector(c.REGIME_ADJUSTMENTS[r]) for r in c.REGIMES]
+    def __init__(self, config: Config, shifts: list[np.ndarray] | None = None, tpm: tuple | None = None, floor: float = c.PROBABILITY_FLOOR, q_scales: tuple[float, ...] | None = None):
+        self.config, self.floor = config, floor
+        self.shifts = shifts or [vector(c.REGIME_ADJUSTMENTS[r]) for r in c.REGIMES]
         self.filters = [Filter.fresh(config, s) for s in self.shifts]
-        self.mu = np.full(len(c.REGIMES), 1 / len(c.REGIMES))
-        self.tpm = np.array(config.tpm)
+        self.mu = np.full(len(self.shifts), 1 / len(self.shifts))
+        self.tpm = np.array(tpm or config.tpm)
+        self.q_scales = q_scales or (1.0,) * len(self.shifts)
         self.n = 0
 
     def predict(self) -> None:
@@ -99,8 +131,8 @@ class Bank:
             flt.x = share[:, j] @ xs
             apart = xs - flt.x
             flt.p = np.einsum("i,ijk->jk", share[:, j], ps + apart[:, :, None] * apart[:, None, :])
-        for flt, shift in zip(self.filters, self.shifts):
-            flt.predict()
+        for flt, shift, scale in zip(self.filters, self.shifts, self.q_scales):
+            flt.predict(scale)
             flt.x = flt.x + self.config.pull * shift if shift.any() else flt.x * c.NEUTRAL_SHRINK
 
     def update(self, h: np.ndarray, r: float, value: float) -> None:
@@ -114,7 +146,7 @@ class Bank:
         weight = likely**power * self.mu
         if weight.sum() > 0:
             self.mu = weight / weight.sum()
-        self.mu = np.clip(self.mu, c.PROBABILITY_FLOOR, c.PROBABILITY_CEILING)
+        self.mu = np.clip(self.mu, self.floor, c.PROBABILITY_CEILING)
         self.mu /= self.mu.sum()
 
 
@@ -126,17 +158,26 @@ class Replay:
 
     def __init__(self, config: Config):
         self.config = config
-        self.base, self.bank = Filter.fresh(config), Bank(config)
+        scales = tuple(c.REGIME_Q[r] for r in c.REGIMES) if config.regime_noise else None
+        self.base, self.bank = Filter.fresh(config), Bank(config, q_scales=scales)
         self.log_r: dict[str, float] = {}
         self.seen: dict[str, int] = {}
+        self.sums: dict[str, list[float]] = {}
         self.step, self.n, self.ll, self.anomalies = 0, 0, 0.0, 0
 
-    def noise(self, key: str) -> float:
-        r = c.STREAM_NOISE.get(key, 0.10) * c.FREQUENCY_SCALE.get(key, 1.0) * self.config.r_scale
+    def base_noise(self, key: str) -> float:
+        return c.STREAM_NOISE.get(key, 0.10) * c.FREQUENCY_SCALE.get(key, 1.0) * self.config.r_scale
+
+    def noise(self, key: str, mu: np.ndarray) -> float:
+        """Score-driven, then for the gap since the stream was seen, then for the regimes' probabilities before the day."""
+        r = self.base_noise(key)
         if self.config.gas:
             r = float(np.exp(self.log_r.setdefault(key, np.log(r))))
-        if self.config.gap and (gap := self.step - self.seen.get(key, self.step)) > 1:
+        gap = self.sums[key][1] if key in self.sums else self.step - self.seen.get(key, self.step) if self.config.gap else 1
+        if gap > 1:
             r *= 1 + c.GAP_SLOPE * np.log(gap)
+        if self.config.regime_noise:
+            r *= float(mu @ [c.REGIME_NOISE[k][noise_class(key)] for k in c.REGIMES])
         return r
 
     def day(self, observed: list[tuple[str, float]]) -> None:
@@ -144,19 +185,29 @@ class Replay:
         known = [(k, v) for k, v in observed if k in self.config.streams and v == v]
         if not known:
             return
+        if self.config.state_tpm and self.step % 7 == 0:
+            self.bank.tpm = state_transitions(self.base.x)
         self.step += 1
-        self.base.predict()
+        mu = self.bank.mu.copy()
+        self.base.predict(float(mu @ [c.REGIME_Q[r] for r in c.REGIMES]) if self.config.regime_noise else 1.0)
         self.bank.predict()
+        for key in c.SLOW_STREAMS if self.config.cumulate else ():
+            if key in self.config.streams:  # the mean of what was predicted since the stream was last seen
+                total = self.sums.setdefault(key, [0.0, 0])
+                total[0] += float(vector(self.config.streams[key]) @ self.base.x)
+                total[1] += 1
         for key, value in known:
-            h, r = vector(self.config.streams[key]), self.noise(key)
-            gap, s, _ = self.base.update(h, r, value)
+            h, r = vector(self.config.streams[key]), self.noise(key, mu)
+            predicted = self.sums[key][0] / self.sums[key][1] if self.sums.get(key, (0, 0))[1] else float(h @ self.base.x)
+            gap, s, _ = self.base.update(h, r, value - predicted + float(h @ self.base.x))
             self.ll += -0.5 * (np.log(2 * np.pi * s) + gap * gap / s)
             self.anomalies += abs(gap) / np.sqrt(s) > c.ANOMALY_THRESHOLD
             if self.config.gas:
-                base = np.log(c.STREAM_NOISE.get(key, 0.10) * c.FREQUENCY_SCALE.get(key, 1.0) * self.config.r_scale)
-                moved = (1 - c.GAS_BETA) * base + c.GAS_BETA * self.log_r[key] + c.GAS_ALPHA * (min(gap * gap / s, c.GAS_MAX_RATIO) - 1)
+                moved = (1 - c.GAS_BETA) * np.log(self.base_noise(key)) + c.GAS_BETA * self.log_r[key] + c.GAS_ALPHA * (min(gap * gap / s, c.GAS_MAX_RATIO) - 1)
                 self.log_r[key] = float(np.clip(moved, c.GAS_LOW, c.GAS_HIGH))
             self.bank.update(h, r, value)
+            if key in self.sums:
+                self.sums[key] = [0.0, 0]
             self.seen[key] = self.step
             self.n += 1
 
@@ -164,6 +215,39 @@ class Replay:
         return entity, self.config.config_id, day, self.step, self.n, float(self.ll), int(self.anomalies), self.base.x.tolist(), self.bank.mu.tolist()
 
 
+SUB_SCHEMA = "entity long, day date, regime string, sub_regime string, p double, joint double, active boolean, shadow_inflation double"
+
+
+def nested(obs: DataFrame) -> DataFrame:
+    """At the last day of each entity: sub-regimes by a bank of their own in each regime, joint with the regime's probability, beside
+    shadow filters that start from the regime's shift and never compete."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        config = Config()
+        engine = Replay(config)
+        shift = {r: vector(c.REGIME_ADJUSTMENTS[r]) for r in c.REGIMES}
+        banks = {r: Bank(config, [shift[r] + vector(d) for d in subs.values()], c.SUB_TRANSITIONS[r], c.SUB_FLOOR) for r, subs in c.SUB_REGIMES.items()}
+        shadows = {r: Filter.fresh(config, shift[r]) for r in c.REGIMES}
+        pdf = pdf.sort_values(["day", "ord"], kind="stable")
+        for _, part in pdf.groupby("day", sort=True):
+            engine.day(list(zip(part["stream_key"], part["z"])))
+            for follower in (*banks.values(), *shadows.values()):
+                follower.predict()
+            for key, z in zip(part["stream_key"], part["z"]):
+                if key in config.streams and z == z:
+                    h, r = vector(config.streams[key]), engine.base_noise(key)
+                    for follower in (*banks.values(), *shadows.values()):
+                        follower.update(h, r, z)
+        rows = []
+        for k, regime in enumerate(c.REGIMES):
+            up = float(engine.bank.mu[k])
+            for name, p in zip(c.SUB_REGIMES[regime], banks[regime].mu):
+                rows.append((int(pdf["entity"].iloc[0]), pdf["day"].iloc[-1], regime, name, float(p), round(up * float(p), 4), up >= c.ACTIVE_AT, float(shadows[regime].x[0])))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in SUB_SCHEMA.split(", ")])
+
+    return obs.select("entity", "day", "ord", "stream_key", "z").groupBy("entity").applyInPandas(run, SUB_SCHEMA)
+
+
 def configs(rows: list[dict]) -> dict[str, Config]:
     return {r["config_id"]: replace(Config(), **r) for r in rows}
 

@@ -182,12 +182,19 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = filters.configs([
         {"config_id": "base"}, {"config_id": "r_half", "r_scale": 0.5}, {"config_id": "r_double", "r_scale": 2.0}, {"config_id": "q_double", "q_scale": 2.0},
         {"config_id": "no_pull", "pull": 0.0}, {"config_id": "ceiling_1", "ceiling": 1.0}, {"config_id": "gas", "gas": True}, {"config_id": "gap", "gap": True},
+        {"config_id": "blended", "blended": True}, {"config_id": "shared_shocks", "shared_shocks": True}, {"config_id": "regime_noise", "regime_noise": True}, {"config_id": "cumulate", "cumulate": True},
+        {"config_id": "full", "regime_noise": True, "state_tpm": True, "cumulate": True, "gas": True, "shared_shocks": True},
     ])
     last = filters.replay(_daily_z(spark, sf_dir), variants, every=1_000_000).groupBy("entity", "config_id").agg(F.max_by("log_likelihood", "step").alias("ll"), F.max("anomalies").alias("anomalies"))
     best = Window.partitionBy("entity").orderBy(F.desc("ll"), "config_id")
     return last.withColumn("rank", F.row_number().over(best)).select("entity", "config_id", F.round("ll", 4).alias("ll"), "anomalies", "rank")
 
 
+@query("r17_r19_nested_regimes")
+def nested_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.nested(_daily_z(spark, sf_dir))
+
+
 @query("r36_em_transitions")
 def em_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables.snapshots(spark, sf_dir).withColumn("year", F.year("day"))
