@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import constants, distributions
 from tidemark.operators import estimation, folds, joins, verification, windows
 from tidemark.plans.registry import query
 from tidemark.plans.verify import _INNOVATIONS, _innovations
@@ -228,3 +229,71 @@ def markov_switching(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"series": pdf["series"], "month": pdf["month"], "p_low": p, "low_mean": mean[0], "high_mean": mean[1], "stay": stay})
 
     return r.groupBy("series").applyInPandas(fit, "series string, month date, p_low double, low_mean double, high_mean double, stay double")
+
+
+@query("a11_berkowitz")
+def berkowitz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood ratio of an AR(1) on the normal scores of forecasts against independent standard ones, by entity, with its p-value."""
+    w = windows.along(["scenario", "model_id", "part"], ["seq"])
+    z = tables.forecasts(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(16))).withColumn("z", distributions.normal_quantile(F.col("p") - 0.01))
+    z = z.withColumn("b", F.lag("z").over(w)).where("b is not null")
+    g = z.groupBy("scenario", "model_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("z", "b").alias("rho"), F.regr_intercept("z", "b").alias("c"), F.regr_syy("z", "b").alias("syy"), F.regr_r2("z", "b").alias("r2"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    sigma2 = F.col("syy") * (1 - F.col("r2")) / F.col("n")
+    g = g.withColumn("sigma", F.sqrt(sigma2)).withColumn("lr", F.col("zz") - F.col("n") * (F.ln(sigma2) + 1))
+    return g.select("scenario", "model_id", "n", "rho", "sigma", "lr", distributions.chi_squared_p("lr", F.lit(3)).alias("p_value"))
+
+
+@query("a25_whiteness_p_values")
+def whiteness_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ljung-Box statistics of each entity with their chi-squared p-values."""
+    q = verification.ljung_box(_innovations(spark, sf_dir), ["entity"], ["ts", "seq"], "z", 5).where("n > 20")
+    return q.withColumn("p_value", distributions.chi_squared_p("q", F.lit(5))).withColumn("white", F.col("p_value") > 0.05)
+
+
+@query("a35_covariance_health")
+def covariance_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Condition number and effective rank of the streams' daily correlations, a matrix with a row for each stream."""
+    d = tables.daily(spark, sf_dir)
+    a, b = d.select("day", F.col("stream_key").alias("i"), F.col("x").alias("xi")), d.select("day", F.col("stream_key").alias("j"), F.col("x").alias("xj"))
+    cells = a.join(b, "day").groupBy("i", "j").agg(F.corr("xi", "xj").alias("r"))
+
+    def health(pdf: pd.DataFrame) -> pd.DataFrame:
+        value = np.maximum(np.linalg.eigvalsh(pdf.pivot(index="i", columns="j", values="r").fillna(0.0).to_numpy()), 1e-12)
+        share = value / value.sum()
+        return pd.DataFrame([(float(value.max() / value.min()), float(np.exp(-(share * np.log(share)).sum())))], columns=["condition", "effective_rank"])
+
+    return cells.groupBy(F.lit(0).alias("g")).applyInPandas(health, "condition double, effective_rank double")
+
+
+@query(
+    "w21_boundary_approach",
+    with_ctes("long", recursive=True) + ", n AS (SELECT regime, day, p, row_number() OVER (PARTITION BY regime ORDER BY day) AS k FROM long), f AS (SELECT regime, k, day, p, 0 AS run, false AS fired FROM n WHERE k = 1 UNION ALL SELECT n.regime, n.k, n.day, n.p, CASE WHEN NOT (n.p < f.p AND n.p > 0.3 AND n.p - 0.3 < 0.2) THEN 0 WHEN f.run + 1 >= 2 THEN 0 ELSE f.run + 1 END, n.p < f.p AND n.p > 0.3 AND n.p - 0.3 < 0.2 AND f.run + 1 >= 2 FROM f JOIN n ON n.regime = f.regime AND n.k = f.k + 1) SELECT regime, day FROM f WHERE fired",
+)
+def boundary_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two falls in a row that come near the bound from above fire once and start the count anew."""
+    start = F.struct(F.lit(None).cast("double").alias("p"), F.lit(0).alias("run"), F.lit(False).alias("fired"))
+
+    def step(s: Column, o: Column) -> Column:
+        near = F.coalesce((o["p"] < s["p"]) & (o["p"] > 0.3) & (o["p"] - 0.3 < 0.2), F.lit(False))
+        fired = near & (s["run"] + 1 >= 2)
+        return F.struct(o["p"].alias("p"), F.when(near & ~fired, s["run"] + 1).otherwise(0).alias("run"), fired.alias("fired"))
+
+    rows = folds.series(tables.snapshots_long(spark, sf_dir), ["regime"], ["day"], "p").withColumn("state", folds.scanned(F.col("obs"), start, step))
+    return rows.select("regime", F.explode(F.arrays_zip("obs", "state")).alias("r")).where("r.state.fired").select("regime", F.col("r.obs.day").alias("day"))
+
+
+@query("w14_raw_proxies", with_ctes("obs") + " SELECT entity, stream_key, seq, round(sum(raw) OVER w20, 6) AS sum_20, round(raw - lag(raw, 3) OVER w, 6) AS change_3, round(raw - lag(raw, 5) OVER w, 6) AS change_5 FROM obs WHERE raw IS NOT NULL WINDOW w AS (PARTITION BY entity, stream_key ORDER BY ts, seq), w20 AS (PARTITION BY entity, stream_key ORDER BY ts, seq ROWS 19 PRECEDING)")
+def raw_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and changes over numbers of observations of each stream."""
+    w, raw = windows.along(["entity", "stream_key"], ["ts", "seq"]), F.col("raw")
+    obs = tables.observations(spark, sf_dir).where("raw is not null")
+    return obs.select("entity", "stream_key", "seq", F.round(F.sum(raw).over(w.rowsBetween(-19, 0)), 6).alias("sum_20"), *[F.round(windows.difference(raw, w, k), 6).alias(f"change_{k}") for k in (3, 5)])
+
+
+@query("r26_regime_noise", with_ctes("snap") + " SELECT day, round(expansion * 1.0 + stagflation * 2.0 + contraction * 3.0, 6) AS financial, round(expansion * 1.0 + stagflation * 2.5 + contraction * 2.0, 6) AS commodity, round(expansion * 1.0 + stagflation * 1.5 + contraction * 2.0, 6) AS q_scale FROM snap")
+def regime_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise multipliers blended by the regimes' probabilities."""
+    p = [F.col(x) for x in ("expansion", "stagflation", "contraction")]
+    blend = lambda values: F.round(p[0] * values[0] + p[1] * values[1] + p[2] * values[2], 6)
+    by_class = lambda k: [constants.REGIME_NOISE[r][k] for r in constants.REGIMES]
+    return tables.snapshots(spark, sf_dir).select("day", blend(by_class("financial")).alias("financial"), blend(by_class("commodity")).alias("commodity"), blend([constants.REGIME_Q[r] for r in constants.REGIMES]).alias("q_scale"))
