@@ -244,7 +244,7 @@ def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, words in blocks(batch.column("text"), 6 << 20):
+            for lo, _, words in blocks(batch.column("text")):
                 rows = matches(words, bench)
                 if rows:
                     ids = batch.column("doc_id").take(pa.array([lo + r[0] for r in rows]))
@@ -261,7 +261,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batch: pa.RecordBatch, bench: Benchmark = bench) -> dict[str, pa.Array]:
             held = np.zeros(batch.num_rows, bool)
-            for lo, _, words in blocks(batch.column("text"), 6 << 20):
+            for lo, _, words in blocks(batch.column("text")):
                 held[[lo + r[0] for r in matches(words, bench)]] = True
             return {"__held": pa.array(held)}
 

@@ -63,4 +63,4 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     stays empty, and an input column named text is replaced.
     """
     model = content_model()
-    return map_columns(pages, {"text": "string"}, lambda batch: {"text": pa.array(main_texts(batch.column(column).to_pylist(), model), pa.string())})
+    return map_columns(pages, {"text": "string"}, lambda batch: {"text": pa.array(main_texts(batch.column(column).to_pylist(), model), pa.string())}, text=column)

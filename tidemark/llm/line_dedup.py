@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import map_columns, order_id
+from tidemark.llm.frames import map_columns, order_id, slices
 from tidemark.llm.storage import drop_path, new_path, written
 
 KEY = ["h1", "h2"]
@@ -42,7 +42,7 @@ def line_keys(docs: DataFrame, least: int = MIN_KEY_CHARS) -> DataFrame:
     """(d, h1, h2): the 128-bit hashes of the distinct line keys of each row, d its order id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids, digests = [], []
             for d, text in zip(batch.column("d").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 own = {line_key(line) for line in (text or b"").split(b"\n")}
