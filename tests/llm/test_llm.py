@@ -353,6 +353,29 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+LONG_ITEM = " ".join(f"alpha{i}" for i in range(55))
+
+
+def _held(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return sorted({r.doc_id for r in decontamination.contaminated(docs, bench).collect()})
+
+
+def test_decontamination_of_items_broken_up(spark):
+    words = LONG_ITEM.split()
+    inserted = " ".join([*words[:18], "new", *words[18:36]])
+    deleted = " ".join([*words[:17], *words[18:36]])
+    changed = " ".join([*words[:10], "new", *words[11:20]])
+    filler = " ".join(f"beta{i}" for i in range(30))
+    quoted = f"{filler} {' '.join(words[20:40])} {filler}"
+    assert _held(spark, [" ".join(words[:36])], [inserted, deleted, filler]) == [0, 1]
+    assert _held(spark, [" ".join(words[:20])], [changed, filler]) == [0]
+    assert _held(spark, [LONG_ITEM], [quoted, f"{filler} {' '.join(words[20:32])} {filler}"]) == [0]
+    backwards = " ".join([*words[27:36], *words[18:27], *words[9:18], *words[:9]])
+    assert _held(spark, [" ".join(words[:36])], [backwards]) == []
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     bad = ["vile", "grublike", "nastyword"]

@@ -2,16 +2,18 @@
 
 Words become canonical tokens: lower-case, without punctuation at the ends; numbers, units and names within a sentence
 become typed placeholders, runs of names and a number with its unit a single one.  Windows of eight tokens of every item,
-in literal and in template form, are hash-joined with those of every document.  A document holds an item if one alignment
-covers half of the item's windows in either form and, for templates, each filler of the item always stands for the same
-filler of the document: that catches questions whose numbers, names or units were changed.
+in literal and in template form, are hash-joined with those of every document.  Windows met join up to stretches, and
+stretches of neighbouring alignments to chains, so words put in, changed or left out don't break an item up.  A document
+holds an item if a chain covers half of the item's windows or half of its tokens (13 at least in template form), or if 13
+literal tokens stand in one stretch.  For templates each filler of the item always stands for the same filler of the
+document: that catches questions whose numbers, names or units were changed.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -29,6 +31,8 @@ WIDTH = 8
 LEAST_WIDTH = 4
 LEAST_LITERALS = 4
 LEAST_COVER = 0.5
+#: Literal tokens in one unbroken stretch that count whatever share of the item they are.
+LEAST_RUN = 13
 #: Benchmark text held by a task at once; a larger benchmark is taken in blocks of whole items.
 BLOCK_BYTES = 8 << 20
 
@@ -123,8 +127,8 @@ def streams(words: Words) -> tuple[Stream, Stream]:
 @dataclass
 class Item:
     item_id: int
-    windows: tuple[int, int]  # how many in either form
-    fillers: list[str | None]  # of its template tokens; None: literal
+    windows: list[int]  # how many in each form
+    fillers: list[list[str | None]]  # of its tokens in each form; None: literal
 
 
 @dataclass
@@ -135,18 +139,18 @@ class Benchmark:
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _fillers(words: Words, template: Stream, at: range) -> list[str | None]:
-    """What stands in each placeholder: all its words, canonical, joined; None for a literal token."""
+def _fillers(words: Words, template: Stream, at: range, end: int) -> list[str | None]:
+    """What stands in each placeholder: all its words, canonical, joined; None for a literal token.  end: the text's last word + 1."""
     raw = words.data.tobytes()
     out: list[str | None] = []
-    bounds = [*template.word[at.start : at.stop].tolist()]
+    bounds = [*template.word[at.start : at.stop + 1].tolist(), end]
     for k, i in enumerate(at):
         if template.literal[i]:
             out.append(None)
             continue
-        last = bounds[k + 1] if k + 1 < len(bounds) else bounds[k] + 1
+        last = min(bounds[k + 1], end)
         spans = zip(words.starts[bounds[k] : last].tolist(), words.ends[bounds[k] : last].tolist())
-        out.append(" ".join(_trim(raw[s:e].decode("utf-8", "replace")).lower() for s, e in spans))
+        out.append(" ".join(filter(None, (_trim(raw[s:e].decode("utf-8", "replace")).lower() for s, e in spans))))
     return out
 
 
@@ -164,7 +168,8 @@ def benchmark_of(rows: list[tuple[int, str]]) -> Benchmark:
                 counts.append(len(hashes))
                 if len(hashes):
                     found[f, width].append((hashes, len(items), position))
-            items.append(Item(item_id, (counts[0], counts[1]), _fillers(words, forms[1], range(len(forms[1].hashes)))))
+            fillers = [_fillers(words, stream, range(len(stream.hashes)), int(words.first[-1])) for stream in forms]
+            items.append(Item(item_id, counts, fillers))
     tables = {}
     for key, parts in found.items():
         hashes = np.concatenate([h for h, _, _ in parts])
@@ -185,10 +190,63 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
             yield benchmark_of(sorted((int(r["item_id"]), r["text"]) for r in rows))
 
 
-def _consistent(item: list[str | None], text: list[str | None]) -> bool:
-    """Each filler of the item always stands for the same filler of the text."""
-    seen: dict[str, str | None] = {}
-    return all(a is None or seen.setdefault(a, b) == b for a, b in zip(item, text))
+@dataclass
+class Piece:
+    """A stretch of tokens that text and item share: where it starts in both, the windows met (offsets), and its fillers."""
+
+    text: int
+    place: int
+    length: int
+    windows: list[int]
+    literals: int
+    names: dict[str, str | None]
+
+
+def _pieces(hits: list[tuple[int, int]], width: int, item: list[str | None], words: Words, stream: Stream, t: int) -> list[Piece]:
+    """The stretches that windows met at (position, place) join up to, without those in which a filler stands for two."""
+    by_shift: dict[int, list[int]] = defaultdict(list)
+    for position, place in hits:
+        by_shift[position - place].append(position)
+    out = []
+    base, end = int(stream.first[t]), int(words.first[t + 1])
+    for shift, positions in by_shift.items():
+        positions.sort()
+        cuts = [0, *[k for k in range(1, len(positions)) if positions[k] > positions[k - 1] + width], len(positions)]
+        for a, b in zip(cuts, cuts[1:]):
+            start, stop = positions[a], positions[b - 1] + width
+            at = range(base + start, base + stop)
+            own = item[start - shift : stop - shift]
+            names: dict[str, str | None] = {}
+            fillers = _fillers(words, stream, at, end) if any(x is not None for x in own) else own
+            if all(x is None or names.setdefault(x, y) == y for x, y in zip(own, fillers)):
+                out.append(Piece(start, start - shift, stop - start, [p - start for p in positions[a:b]], sum(x is None for x in own), names))
+    return out
+
+
+def _chains(pieces: list[Piece], size: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(tokens, windows, longest run of literals, from, to) of the best chain that ends in each piece.
+
+    A chain goes forward in text and item, its alignment shifts by at most the item's size at once (words put in, changed or
+    left out), and its fillers agree.  What two pieces share counts once.
+    """
+    pieces = sorted(pieces, key=lambda x: (x.text, x.place))
+    best: list[tuple[int, int, int, int, dict[str, str | None]]] = []
+    for j, b in enumerate(pieces):
+        top = (b.length, len(b.windows), b.literals, b.text, b.names)
+        for i in range(j - 1, -1, -1):
+            a = pieces[i]
+            if b.text - a.text > 2 * size:
+                break
+            over = max(0, a.text + a.length - b.text, a.place + a.length - b.place)
+            if a.text == b.text or a.place >= b.place or over >= b.length or abs((b.text - b.place) - (a.text - a.place)) > size:
+                continue
+            tokens, windows, run, start, names = best[i]
+            last = max(a.text + a.windows[-1] - b.text, a.place + a.windows[-1] - b.place)
+            met = windows + sum(x > last for x in b.windows)
+            if (tokens + b.length - over, met) > top[:2] and all(names.get(k, v) == v for k, v in b.names.items()):
+                top = (tokens + b.length - over, met, max(run, b.literals), start, names | b.names)
+        best.append(top)
+        yield (*top[:4], b.text + b.length)
 
 
 def matches(words: Words, bench: Benchmark) -> list[tuple[int, int, int, float, bool, int, int]]:
@@ -199,27 +257,22 @@ def matches(words: Words, bench: Benchmark) -> list[tuple[int, int, int, float,
         own, text, position = forms[form].windows(width)
         lo = np.searchsorted(hashes, own)
         hit = np.flatnonzero((lo < len(hashes)) & (hashes[np.minimum(lo, len(hashes) - 1)] == own))
-        met: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        met: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for i in hit.tolist():
             for k in range(lo[i], np.searchsorted(hashes, own[i], side="right")):
-                met[int(text[i]), int(owner[k])][int(position[i]) - int(place[k])] += 1
+                met[int(text[i]), int(owner[k])].append((int(position[i]), int(place[k])))
         stream = forms[form]
-        for (t, o), shifts in met.items():
+        for (t, o), hits in met.items():
             item = bench.items[o]
-            for shift, n in shifts.most_common():
-                cover = n / item.windows[form]
-                if cover < LEAST_COVER:
-                    break
-                a = max(shift, 0)
-                b = min(shift + item.windows[form] + width - 1, int(stream.first[t + 1] - stream.first[t]))
-                at = range(int(stream.first[t]) + a, int(stream.first[t]) + b)
-                if form == 1 and not _consistent(item.fillers[a - shift : b - shift], _fillers(words, stream, at)):
+            size = len(item.fillers[form])
+            for tokens, n, run, a, b in _chains(_pieces(hits, width, item.fillers[form], words, stream, t), size):
+                cover = min(n / item.windows[form], 1.0)
+                half = tokens >= LEAST_COVER * size and (form == 0 or tokens >= LEAST_RUN)
+                if not (half or cover >= LEAST_COVER or run >= LEAST_RUN):
                     continue
-                base = int(words.first[t])
-                row = (t, item.item_id, n, min(cover, 1.0), form == 0, int(stream.word[at.start]) - base, int(stream.word[at.stop - 1]) + 1 - base)
-                if (t, o) not in best or row[3] > best[t, o][3]:
-                    best[t, o] = row
-                break
+                if (t, o) not in best or cover > best[t, o][3]:
+                    base, at = int(words.first[t]), int(stream.first[t])
+                    best[t, o] = (t, item.item_id, n, cover, form == 0, int(stream.word[at + a]) - base, int(stream.word[at + b - 1]) + 1 - base)
     return [best[k] for k in sorted(best)]
 
 
@@ -229,7 +282,8 @@ _MATCHES = "doc_id long, item_id long, n_windows long, cover double, literal boo
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, cover, literal, from_word, to_word): each item that a document's whole text holds.
 
-    cover is the share of the item's windows met in one alignment; literal tells that they were met word for word.
+    cover is the share of the item's windows met in one chain, small where a quoted stretch alone counts;
+    literal tells that they were met word for word; from_word and to_word bound what was met.
     Null texts and items hold nothing, and items of fewer than four tokens can't be told from ordinary text.  Rows of
     equal doc_id are told of together, null doc_ids as null; items of equal item_id are one row.  Empty tables give no rows.
     """
