@@ -376,6 +376,13 @@ def test_decontamination_of_items_broken_up(spark):
     assert _held(spark, [" ".join(words[:36])], [backwards]) == []
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    item = "Tom has 12 red marbles. Tom gives 5 marbles to Ann. How many marbles does Tom have left?"
+    changed = item.replace("Tom", "Bob").replace("12", "31").replace("5", "7")
+    torn = changed.replace("Bob have", "Eve have").replace("Bob gives", "Kim gives")
+    assert _held(spark, [item], [changed, "So be it. " + changed, "Well, " + item, torn]) == [0, 1, 2]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     bad = ["vile", "grublike", "nastyword"]

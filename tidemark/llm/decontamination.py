@@ -1,9 +1,10 @@
 """Benchmark decontamination by template windows.
 
 Words become canonical tokens: lower-case, without punctuation at the ends; numbers, units and names within a sentence
-become typed placeholders, runs of names and a number with its unit a single one.  Windows of eight tokens of every item,
-in literal and in template form, are hash-joined with those of every document.  Windows met join up to stretches, and
-stretches of neighbouring alignments to chains, so words put in, changed or left out don't break an item up.  A document
+become typed placeholders, runs of names and a number with its unit a single one; a second template form takes capitalised
+words at the start of sentences for names too.  Windows of eight tokens of every item, in literal and both template
+forms, are hash-joined with those of every document.  Windows met join up to stretches, and stretches of neighbouring
+alignments to chains, so words put in, changed or left out don't break an item up.  A document
 holds an item if a chain covers half of the item's windows or half of its tokens (13 at least in template form), or if 13
 literal tokens stand in one stretch.  For templates each filler of the item always stands for the same filler of the
 document: that catches questions whose numbers, names or units were changed.
@@ -55,7 +56,7 @@ def _trim(word: str) -> str:
 
 
 def kind_of(word: str) -> tuple[str, int, bool]:
-    """(canonical token, kind, whether a sentence ends after it); a capitalised word is a NAME if it is not at a sentence's start."""
+    """(canonical token, kind, whether a sentence ends after it); a capitalised word is a NAME."""
     ends = word[-1:] in ".!?:" or word[-2:-1] in (".", "!", "?")
     body = word if word.isalnum() else _trim(word)
     low = body.lower()
@@ -92,8 +93,8 @@ class Stream:
         return mix(segment_hashes(self.hashes, at, at + width), 40 + width), text[ok], position[ok]
 
 
-def streams(words: Words) -> tuple[Stream, Stream]:
-    """The literal and the template form of a block; punctuation alone is no token."""
+def streams(words: Words) -> tuple[Stream, Stream, Stream]:
+    """The literal form of a block, its template form, and that with capitalised words as names at a sentence's start too; punctuation alone is no token."""
     hashes = words.hashes()
     _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     raw = words.data.tobytes()
@@ -105,7 +106,6 @@ def streams(words: Words) -> tuple[Stream, Stream]:
     begins = np.zeros(len(kind), bool)
     begins[1:] = ends[:-1]
     begins[words.first[:-1][words.counts > 0]] = True
-    kind = np.where((kind == NAME) & begins, LITERAL, kind)
 
     def form(codes: np.ndarray, literal: np.ndarray, keep: np.ndarray) -> Stream:
         number = np.concatenate(([0], np.cumsum(keep)))
@@ -115,13 +115,17 @@ def streams(words: Words) -> tuple[Stream, Stream]:
     plain = form(code, np.ones(len(code), bool), ~empty)
     start = np.zeros(len(kind), bool)
     start[words.first[:-1][words.counts > 0]] = True
-    previous = np.concatenate(([LITERAL], kind[:-1])) if len(kind) else kind
-    following = np.concatenate((kind[1:], [LITERAL])) if len(kind) else kind
     next_start = np.concatenate((start[1:], [True])) if len(kind) else start
-    fused = (kind == NUMBER) & (following == UNIT) & ~next_start
-    dropped = ~start & (((kind == NAME) & (previous == NAME)) | ((kind == UNIT) & (previous == NUMBER)))
-    kind = np.where(fused, NUMBER_UNIT, kind)
-    return plain, form(np.where(kind == LITERAL, code, _PLACEHOLDER[kind]), kind == LITERAL, ~empty & ~dropped)
+
+    def template(kind: np.ndarray) -> Stream:
+        previous = np.concatenate(([LITERAL], kind[:-1])) if len(kind) else kind
+        following = np.concatenate((kind[1:], [LITERAL])) if len(kind) else kind
+        fused = (kind == NUMBER) & (following == UNIT) & ~next_start
+        dropped = ~start & (((kind == NAME) & (previous == NAME)) | ((kind == UNIT) & (previous == NUMBER)))
+        kind = np.where(fused, NUMBER_UNIT, kind)
+        return form(np.where(kind == LITERAL, code, _PLACEHOLDER[kind]), kind == LITERAL, ~empty & ~dropped)
+
+    return plain, template(np.where((kind == NAME) & begins, LITERAL, kind)), template(kind)
 
 
 @dataclass
