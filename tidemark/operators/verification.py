@@ -96,3 +96,24 @@ def diebold_mariano(df: DataFrame, keys: list[str], order: list[str], horizon: i
     n, h = F.col("n"), horizon
     factor = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
     return sums.select(*keys, "n", (F.col("m") / F.sqrt(variance) * factor).alias("statistic"))
+
+
+def berkowitz(df: DataFrame, keys: list[str], order: str, z: str, span: int = 1 << 16) -> DataFrame:
+    """Likelihood ratio of an AR(1) on normal scores against independent standard ones, over all consecutive pairs of a series.
+
+    Series are cut into ranges of `order` (whole numbers) of this span; the last row of every range is the one before the
+    first of the next that has rows, so no task needs more of a series than a range and a row for each range.
+    """
+    rows = df.where(F.col(z).isNotNull()).select(*keys, F.col(order).alias("__at"), F.col(z).alias("z")).withColumn("__part", F.floor(F.col("__at") / span))
+    within = rows.withColumn("b", F.lag("z").over(Window.partitionBy(*keys, "__part").orderBy("__at"))).where("b is not null")
+    ends = rows.groupBy(*keys, "__part").agg(F.min_by("z", "__at").alias("z"), F.max_by("z", "__at").alias("last"))
+    across = ends.withColumn("b", F.lag("last").over(Window.partitionBy(*keys).orderBy("__part")))
+    pairs = within.select(*keys, "z", "b").unionByName(across.select(*keys, "z", "b"))
+    now = F.when(F.col("b").isNotNull(), F.col("z"))
+    g = pairs.groupBy(*keys).agg(F.count("b").alias("n"), F.avg("z").alias("mu"), F.sum(now).alias("sz"), F.sum("b").alias("sb"), F.sum(now * now).alias("zz"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum(F.col("z") * F.col("b")).alias("zb")).where("n > 0")
+    g = g.withColumn("var_b", F.expr("bb - 2 * mu * sb + n * mu * mu")).withColumn("cov", F.expr("zb - mu * (sz + sb) + n * mu * mu"))
+    g = g.withColumn("rho", F.expr("case when var_b > 1e-12 then cov / var_b else 0D end"))
+    g = g.withColumn("sigma", F.expr("greatest(sqrt(greatest((zz - 2 * mu * sz + n * mu * mu - 2 * rho * cov + rho * rho * var_b) / n, 0D)), 1e-6D)"))
+    rss = F.expr("zz - 2 * mu * sz + n * mu * mu - 2 * rho * cov + rho * rho * var_b")
+    lr = F.greatest(F.col("zz") - rss / (F.col("sigma") * F.col("sigma")) - 2 * F.col("n") * F.ln("sigma"), F.lit(0.0))
+    return g.select(*keys, "n", "rho", "sigma", lr.alias("lr"))

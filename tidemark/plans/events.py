@@ -234,13 +234,9 @@ def markov_switching(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a11_berkowitz")
 def berkowitz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood ratio of an AR(1) on the normal scores of forecasts against independent standard ones, by entity, with its p-value."""
-    w = windows.along(["scenario", "model_id", "part"], ["seq"])
-    z = tables.forecasts(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(16))).withColumn("z", distributions.normal_quantile(F.col("p") - 0.01))
-    z = z.withColumn("b", F.lag("z").over(w)).where("b is not null")
-    g = z.groupBy("scenario", "model_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("z", "b").alias("rho"), F.regr_intercept("z", "b").alias("c"), F.regr_syy("z", "b").alias("syy"), F.regr_r2("z", "b").alias("r2"), F.sum(F.col("z") * F.col("z")).alias("zz"))
-    sigma2 = F.col("syy") * (1 - F.col("r2")) / F.col("n")
-    g = g.withColumn("sigma", F.sqrt(sigma2)).withColumn("lr", F.col("zz") - F.col("n") * (F.ln(sigma2) + 1))
-    return g.select("scenario", "model_id", "n", "rho", "sigma", "lr", distributions.chi_squared_p("lr", F.lit(3)).alias("p_value"))
+    z = tables.forecasts(spark, sf_dir).withColumn("z", distributions.normal_quantile(F.col("p") - 0.01))
+    g = verification.berkowitz(z, ["scenario", "model_id"], "seq", "z")
+    return g.withColumn("p_value", distributions.chi_squared_p("lr", F.lit(3)))
 
 
 @query("a25_whiteness_p_values")
