@@ -324,6 +324,21 @@ def test_secrets(spark):
     assert got[7].spans == "assign:0:22"
 
 
+def test_secrets_joined_to_paths_and_prefixes(spark):
+    rng = random.Random(11)
+    alphanumeric = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys = [draw(alphanumeric, 40), "Q7" + draw(alphanumeric + "+/", 40) + "+/x9", draw(alphanumeric, 19) + "-_" + draw(alphanumeric, 19)]
+    plain = "the quick brown fox jumps over the lazy dog and lives in my-app/some_other/path/for-long-names/of_things " * 20
+    heads = ["https://host.org/my-app/", "sk_live_", "https://host.org/some/app/"]
+    rows = [(i, f"{plain}{head}{key} end") for i, (head, key) in enumerate(zip(heads, keys))] + [(9, plain)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (head, key) in enumerate(zip(heads, keys)):
+        start = len(plain) + len(head)
+        assert got[i] == f"random:{start}:{start + len(key)}"
+    assert got[9] == ""
+
+
 def test_battery_tells_random_from_text():
     rng = random.Random(1)
     alphabet = secrets.ALPHABETS[1]

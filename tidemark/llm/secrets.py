@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and strings that pass a battery of randomness tests under false-discovery control.
 
 A candidate is a run of 20 or more characters of base64 and its kin.  Its encoding is the smallest listed alphabet that
-holds it.  It looks random if chi-squared uniformity over that alphabet, the runs test and the serial correlation don't
+holds it; a run that no alphabet holds, or that doesn't look random, is judged by its pieces between separators, since a key
+may be joined to a path or prefix.  It looks random if chi-squared uniformity over that alphabet, the runs test and the serial correlation don't
 reject; its p-value against ordinary text is the inverse likelihood ratio of the uniform alphabet over the corpus's own
 character frequencies (a valid p-value by Markov's inequality).  Benjamini-Hochberg within each class of lengths, over the
 candidates of all documents, sets the cut.
@@ -33,6 +34,8 @@ BASE = (
 #: Runs of 16 hex digits or more are the maximal runs of that length: the same matches as BASE[2], found faster.
 HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Pieces of a candidate run of the same least length, for each way to split it.
+PIECES = tuple(re.compile(f"[A-Za-z0-9{joined}]{{20,}}={{0,2}}") for joined in ("+/", "_-", "+_-", ""))
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = tuple(
     "".join(sorted(x))
@@ -84,6 +87,24 @@ def judged(text: str, text_log: np.ndarray) -> float | None:
     return max(ratio, 0.0)
 
 
+def random_runs(run: str, text_log: np.ndarray) -> list[tuple[int, int, float]]:
+    """(start, end, -log10 p) of the run if it looks random, else of its random-looking pieces between separators, without overlaps.
+
+    A run may join a key to a path or a prefix, so it is split at - and _, at + and /, at / and at all of them; of
+    overlapping pieces the one least like text counts.
+    """
+    p = judged(run, text_log)
+    if p is not None:
+        return [(0, len(run), p)]
+    spans = {m.span() for piece in PIECES for m in piece.finditer(run)} - {(0, len(run))}
+    found = [(a, b, p) for a, b in sorted(spans) if (p := judged(run[a:b], text_log)) is not None]
+    kept: list[tuple[int, int, float]] = []
+    for a, b, p in sorted(found, key=lambda x: (-x[2], x[0] - x[1], x[0])):
+        if all(b <= s or e <= a for s, e, _ in kept):
+            kept.append((a, b, p))
+    return sorted(kept)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, leftmost and non-overlapping for each kind; failing matches are dropped."""
     found = [(m.start(), 0, m.end()) for m in BASE[0][0].finditer(text) if len(m[2]) >= BASE[0][2]]
@@ -127,9 +148,10 @@ def scan(docs: DataFrame, text_log: np.ndarray) -> DataFrame:
                 for m in CANDIDATE.finditer(text or ""):
                     if any(s <= m.start() and m.end() <= e for s, _, e in spans):
                         continue
-                    p = judged(m[0], text_log)
-                    if p is not None:
-                        own.append({"start": m.start(), "end": m.end(), "class": int(np.searchsorted(LENGTH_EDGES, m.end() - m.start(), side="right")), "bin": min(int(p / STEP), MOST_BIN)})
+                    for a, b, p in random_runs(m[0], text_log):
+                        start, end = m.start() + a, m.start() + b
+                        if b - a == len(m[0]) or not any(s <= start and end <= e for s, _, e in spans):
+                            own.append({"start": start, "end": end, "class": int(np.searchsorted(LENGTH_EDGES, end - start, side="right")), "bin": min(int(p / STEP), MOST_BIN)})
                 maybes.append(own)
             span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
             maybe = pa.struct([(x, pa.int32()) for x in ("start", "end", "class", "bin")])
