@@ -44,3 +44,11 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_other_queries_give_rows(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_replay_keeps_entities_apart(spark, sf_dir):
+    from tidemark.sources import tables
+
+    users = {r.entity for r in tables.observations(spark, sf_dir).where("raw is not null").select("entity").distinct().collect()}
+    assert len(users) > 10
+    assert {r.entity for r in catalog.QUERIES["r32_replay"](spark, sf_dir).select("entity").distinct().collect()} == users

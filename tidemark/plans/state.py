@@ -163,8 +163,8 @@ def lagged_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, day, ord, stream_key, z) with ten groups of users as entities."""
-    obs = _observed(spark, sf_dir).withColumn("entity", F.pmod("entity", F.lit(10)))
+    """(entity, day, ord, stream_key, z): the daily means of each entity's streams."""
+    obs = _observed(spark, sf_dir).withColumn("entity", F.col("entity").cast("long"))
     dim = F.broadcast(tables.stream_dimension(spark).select("stream_key", "ord"))
     d = obs.groupBy("entity", F.to_date("ts").alias("day"), "stream_key").agg(((F.avg("raw") - 50) / 50).alias("z"))
     return d.join(dim, "stream_key").select("entity", "day", "ord", "stream_key", "z")
