@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import partitions, text_bytes
+from tidemark.llm.storage import partitions, text_bytes, written
 
 PARAGRAPH_BREAK = r"\n|(?<=[.!?]) "
 LOW = 0xFFFFFFFF
@@ -23,10 +23,11 @@ PAIR = 0x0000000100000001
 HASHES = 2
 LANES = 2 + 32  # of one hash: its two halves, then bits i and i + 32 for i from 0 to 31
 FIRST_ID = -(1 << 63)  # where a null doc_id sorts: after all others in descending order
+RANGE_KEYS = 1 << 21
 
 
 def vector(text: Column) -> Column:
-    """The summed vector of a text, 1 + 2 * 34 longs; an empty text has the zero vector. No sum can overflow: a string has under 2**31 pieces."""
+    """The summed vector of one text as a column, 1 + 2 * 34 longs, for adding and taking away; `summed` does whole tables. An empty text has the zero vector. No sum can overflow: a string has under 2**31 pieces."""
     pieces = F.filter(F.split(text, PARAGRAPH_BREAK), lambda x: x != "")
     sums = [F.aggregate(F.transform(pieces, _salted(k)), F.array(*[F.lit(0).cast("long")] * LANES), _added) for k in range(HASHES)]
     return F.concat(F.array(F.size(pieces).cast("long")), *sums)
@@ -38,9 +39,12 @@ def _salted(k: int) -> Callable[[Column], Column]:
 
 def _added(sums: Column, h: Column) -> Column:
     """One step over all lanes: a single lambda call for each paragraph."""
+    return F.array(*[F.get(sums, F.lit(i)) + x for i, x in enumerate(_lanes(h))])
+
+
+def _lanes(h: Column) -> list[Column]:
     lanes = [h.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(h, 32)]
-    lanes += [F.shiftrightunsigned(h, i).bitwiseAND(F.lit(PAIR)) for i in range(32)]
-    return F.array(*[F.get(sums, F.lit(i)) + x for i, x in enumerate(lanes)])
+    return lanes + [F.shiftrightunsigned(h, i).bitwiseAND(F.lit(PAIR)) for i in range(32)]
 
 
 def _wide(v: Column) -> Column:
@@ -80,36 +84,68 @@ def _signed_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_pairs(a), _pairs(b), each), F.lit(0.0), lambda s, x: s + x)
 
 
-def _bucket(at: Column, bounds: list[int]) -> Column:
-    """The number of bounds below: found among every step-th bound, then among step bounds."""
-    step = max(1, int(len(bounds) ** 0.5))
-    ladder = F.array(*[F.lit(b) for b in bounds]) if bounds else F.expr("array(cast(0 as long))")
-    if not bounds:
-        return F.lit(0)
-    coarse = F.size(F.filter(F.array(*[F.lit(b) for b in bounds[step - 1 :: step]]), lambda b: b < at)) * F.lit(step)
-    return coarse + F.size(F.filter(F.slice(ladder, coarse + 1, F.lit(step)), lambda b: b < at))
+def _hashes(text: Column) -> Column:
+    """Both hashes of each paragraph."""
+    pieces = F.filter(F.split(text, PARAGRAPH_BREAK), lambda x: x != "")
+    return F.transform(pieces, lambda x: F.struct(*[F.xxhash64(F.lit(k), x).alias(f"h{k}") for k in range(HASHES)]))
+
+
+def summed(rows: DataFrame, keys: list[str], hashes: list[str]) -> DataFrame:
+    """(keys, vectors): the vectors of several columns of paragraph hashes, in order.
+
+    Paragraphs become rows and every lane a sum of its own, so the work runs in generated code, and where rows already
+    lie by some of the keys no shuffle follows.
+    """
+    each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("hs")) for i, c in enumerate(hashes)])).alias("x"))
+    each = each.select(*keys, "x.kind", F.explode_outer("x.hs").alias("p")).select(*keys, "kind", *[f"p.h{k}" for k in range(HASHES)])
+    lanes = [x for k in range(HASHES) for x in _lanes(F.col(f"h{k}"))]
+    sums = each.groupBy(*keys, "kind").agg(F.count("h0").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(lanes)])
+    v = F.array("n", *[F.coalesce(f"s{i}", F.lit(0)) for i in range(len(lanes))])
+    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", v.alias("v")))), lambda x: x["v"]).alias("vectors"))
 
 
-def with_next(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, text, vec, next_text, next_vec): each document with the next by descending doc_id, after the last the first.
+def followers(keyed: DataFrame, n_rows: int) -> DataFrame:
+    """(r, h, c, n, next_r, next_h): each distinct (r, h), its rows and code points, and what follows it in order, after the last the first.
 
-    Documents are dealt by doc_id ranges; each range also gets the first document of the next one, so that no
-    window spans the table.  Null texts are empty; a null doc_id comes last; documents of one doc_id go by text.
+    Only keys are sorted, in ranges; the first key of each range goes to the range before (a row for each range).
+    """
+    spark = keyed.sparkSession
+    keys = keyed.groupBy("r", "h").agg(F.count(F.lit(1)).alias("c"), F.max(F.char_length("text")).alias("n"))
+    ranges = max(partitions(spark), n_rows // RANGE_KEYS)
+    keys = written(keys.repartitionByRange(ranges, "r", "h").withColumn("b", F.spark_partition_id()), "ordered")
+    rows = keys.withColumn("next", F.lead(F.struct("r", "h")).over(Window.partitionBy("b").orderBy("r", "h")))
+    heads = keys.groupBy("b").agg(F.min(F.struct("r", "h")).alias("head"))
+    along = Window.orderBy("b")
+    heads = heads.select("b", F.coalesce(F.lead("head").over(along), F.first("head").over(along)).alias("next"))
+    ends = rows.where("next is null").drop("next").join(heads, "b")
+    both = rows.where("next is not null").unionByName(ends)
+    return written(both.select("r", "h", "c", "n", F.col("next.r").alias("next_r"), F.col("next.h").alias("next_h")), "followers")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(r, h, k, text, given, next_hashes): each document with what the next by descending doc_id gives it, after the last the first.
+
+    given is the start of the next text, a third of the document's own code points long.  r and h are the order and
+    identity of a document: the complement of its doc_id, and a hash of its text whose last bit tells a null doc_id; k
+    tells equal ones apart.  Null texts are empty, a null doc_id comes last, documents of one doc_id go by h, and equal
+    rows follow one another.
     """
-    spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("o"))
-    n = max(4 * partitions(spark), text_bytes(docs)[1] // bucket_bytes)
-    found = base.agg(F.percentile_approx("o", [(i + 1) / n for i in range(n - 1)], 10 * n).alias("q")).first()["q"]
-    bounds = sorted(set(found or []))  # one number for each range of bucket_bytes
-    base = base.withColumn("b", _bucket(F.col("o"), bounds))
-    heads = base.groupBy("b").agg(F.max("o").alias("o"))  # a row for each range
-    heads = heads.withColumn("prev", F.coalesce(F.lag("b").over(Window.orderBy(F.desc("b"))), F.min("b").over(Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    first = base.join(F.broadcast(heads), ["b", "o"]).groupBy("prev").agg(F.min(F.struct("text", "doc_id")).alias("x"))
-    tails = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text"), F.lit(0).cast("long").alias("o"), F.col("prev").alias("b"), F.lit(True).alias("tail"))
-    rows = base.withColumn("tail", F.lit(False)).unionByName(tails).withColumn("vec", vector(F.col("text")))
-    follow = Window.partitionBy("b").orderBy("tail", F.desc("o"), "text")
-    rows = rows.withColumn("next", F.lead(F.struct("text", "vec")).over(follow)).where(~F.col("tail"))
-    return rows.select("doc_id", "text", "vec", F.col("next.text").alias("next_text"), F.col("next.vec").alias("next_vec"))
+    text, none = F.coalesce("text", F.lit("")), F.col("doc_id").isNull()
+    o = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
+    h = F.shiftleft(F.shiftright(F.xxhash64(text), 1), 1).bitwiseOR(none.cast("long"))
+    keyed = docs.select(F.bitwise_not(o).alias("r"), h.alias("h"), text.alias("text"))
+    order = followers(keyed, text_bytes(docs)[0])
+    repeated = (order.agg(F.max("c")).first()[0] or 0) > 1
+    takers = order.select(F.col("next_r").alias("r"), F.col("next_h").alias("h"), F.col("r").alias("to_r"), F.col("h").alias("to_h"), "c", F.floor(F.col("n") / 3).cast("int").alias("cut"))
+    # by merge joins on both sides, so that the texts are shuffled once for both
+    gifts = keyed.join(takers.hint("merge"), ["r", "h"]).select(F.col("to_r").alias("r"), F.col("to_h").alias("h"), "c", F.expr("substring(text, 1, cut)").alias("given"), _hashes(F.col("text")).alias("next_hashes"))
+    if not repeated:
+        return keyed.join(gifts.hint("merge"), ["r", "h"]).withColumn("k", F.lit(1)).drop("c")
+    rows = keyed.join(gifts.dropDuplicates(["r", "h"]).hint("merge"), ["r", "h"])
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("r", "h").orderBy("c")))
+    again = F.col("k") < F.col("c")
+    own = F.expr("substring(text, 1, cast(floor(char_length(text) / 3) as int))")
+    return rows.withColumns({"given": F.when(again, own).otherwise(F.col("given")), "next_hashes": F.when(again, _hashes(F.col("text"))).otherwise(F.col("next_hashes"))}).drop("c")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
@@ -117,15 +153,17 @@ def edit_report(docs: DataFrame) -> DataFrame:
 
     Null text is empty.  One row comes back for each input row, other columns do not; an empty table gives no rows.
     """
-    rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
-    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - cut), substring(next_text, 1, cut))"))
-    rows = rows.withColumn("edited_vec", vector(F.col("edited")))
+    rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) as int)), given)"))
+    rows = rows.select("r", "h", "k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _hashes(F.col("text")).alias("own_hashes"), _hashes(F.col("edited")).alias("edited_hashes"), "next_hashes")
+    rows = summed(rows, ["r", "h", "k", "n_chars", "edited_sha256"], ["own_hashes", "edited_hashes", "next_hashes"])
+    own, edited, following = (F.get("vectors", F.lit(i)) for i in range(3))
     return rows.select(
-        "doc_id",
+        F.when(F.col("h").bitwiseAND(F.lit(1)) == 0, F.bitwise_not("r")).alias("doc_id"),
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        printed(F.col("vec")).alias("fingerprint"),
-        printed(F.col("edited_vec")).alias("edited_fingerprint"),
-        likeness(F.col("vec"), F.col("edited_vec")).alias("near_edited"),
-        likeness(F.col("vec"), F.col("next_vec")).alias("near_next"),
+        "edited_sha256",
+        printed(own).alias("fingerprint"),
+        printed(edited).alias("edited_fingerprint"),
+        likeness(own, edited).alias("near_edited"),
+        likeness(own, following).alias("near_next"),
     )
