@@ -5,8 +5,10 @@
 2. Every class representative is linked with the best estimated of the smallest members of its band buckets, if the
    full sets agree; these stars join most of each group of copies.
 3. Only buckets that still hold several components are compared pairwise, in blocks of bounded size, and only across
-   components: pairs whose collision-corrected estimate could reach the threshold are confirmed on full sets.
-Components come from alternating large and small stars over written edge tables.
+   components.  Packed signatures go first: members without a partner whose collision-corrected estimate could reach
+   the threshold drop out.  Full sets of those left follow, and confirm.
+Components come from alternating large and small stars over written edge tables.  Hot buckets, leaders, stars, classes
+and components are dealt to shares in every join.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import order_id
+from tidemark.llm.hot import most_of, spread_join
 from tidemark.llm.storage import written
 from tidemark.llm.tokens import Words, blocks, mix, segment_hashes
 
@@ -31,7 +34,8 @@ LONGS = PERMS // LANES
 COLLIDE = 1.0 / (1 << BITS)
 #: Least estimate of a pair that may have the similarity 0.75: five and a half standard deviations below.
 LEAST_ESTIMATE = 0.75 - 5.5 * ((0.75 + 0.25 * COLLIDE) * 0.25 * (1 - COLLIDE) / PERMS) ** 0.5 / (1 - COLLIDE)
-BLOCK_MEMBERS = 512
+#: Members whose signatures, and bytes of shingle sets that, a task compares with as many others at once.
+BLOCK_MEMBERS, BLOCK_BYTES = 8192, 2 << 20
 
 _rng = np.random.default_rng(5)
 _FACTORS = _rng.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -161,12 +165,9 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a, b) whose full sets are similar. Edges of a hot b are dealt out by a hash of a, b's set going to each share."""
-    most = edges.groupBy("b").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    shares = most // 256 + 1
-    edges = edges.withColumn("share", F.pmod(F.xxhash64("a"), F.lit(shares)))
-    right = edges.select("b", "share").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(right, ["b", "share"])
+    """The written edges (a, b) whose full sets are similar; b may be hot."""
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = spread_join(both, sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), ["b"], "a", *most_of(edges, "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,21 +190,58 @@ def components(edges: DataFrame) -> DataFrame:
             return ends.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(ends.select("v", "v").distinct())
         before = after
         both = ends.union(ends.select("v", "u"))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = _star(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = _star(large, least).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         ends = written(small.where("u > v").distinct(), "edges")
 
 
+def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with u's least neighbour m; a centre u may be hot."""
+    most, rows = least.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return spread_join(edges, least.drop("n"), ["u"], "v", most, rows)
+
+
+def in_blocks(placed: DataFrame, n_blocks: Column) -> DataFrame:
+    """Bucket members (key, node, ...) once for each pair of blocks (i, j) of their bucket that theirs, `side`, is one of."""
+    placed = placed.withColumn("__n", n_blocks.cast("long")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("__n")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    return placed.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "__n")
+
+
+def _candidates(node: np.ndarray, comp: np.ndarray, side: np.ndarray, size: np.ndarray, sigs: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, its likely partners of other components in the other block, their estimates) of one block pair."""
+    others = np.flatnonzero(side == j)
+    for x in np.flatnonzero(side == i):
+        ys = others[(comp[others] != comp[x]) & ((node[others] > node[x]) if i == j else True)]
+        ys = ys[np.minimum(size[ys], size[x]) * 100 >= PERCENT * np.maximum(size[ys], size[x])]
+        if len(ys):
+            likely = estimates(sigs[x], sigs[ys])
+            keep = likely >= LEAST_ESTIMATE
+            if keep.any():
+                yield int(x), ys[keep], likely[keep]
+
+
+def _signatures_of(table: pa.Table) -> np.ndarray:
+    return np.array(table.column("sig").to_pylist(), np.int64).view(np.uint64).reshape(-1, LONGS)
+
+
+def active_members(key: tuple, table: pa.Table) -> pa.Table:
+    """The members of one block pair of a bucket that have a likely partner in another component, by signatures alone."""
+    columns = [table.column(c).to_numpy() for c in ("node", "comp", "side", "n")]
+    active = np.zeros(table.num_rows, bool)
+    for x, ys, _ in _candidates(*columns, _signatures_of(table), key[1].as_py(), key[2].as_py()):
+        active[x] = True
+        active[ys] = True
+    return table.select(["key", "node", "comp", "n"]).filter(pa.array(active))
+
+
 def cross_links(key: tuple, table: pa.Table) -> pa.Table:
     """Links between different components of one block pair of a bucket, at most one for each pair of components met."""
-    node, comp, side = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
-    sigs = np.array(table.column("sig").to_pylist(), np.int64).view(np.uint64).reshape(-1, LONGS)
+    node, comp, side, size = (table.column(c).to_numpy() for c in ("node", "comp", "side", "n"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table.column("shingles").chunks for x in chunk]
-    sizes = np.array([len(s) for s in sets])
-    i, j = key[1].as_py(), key[2].as_py()
     root = {int(c): int(c) for c in comp}
 
     def find(c: int) -> int:
@@ -213,17 +251,10 @@ def cross_links(key: tuple, table: pa.Table) -> pa.Table:
         return c
 
     a, b = [], []
-    others = np.flatnonzero(side == j)
-    for x in np.flatnonzero(side == i):
-        ys = others[(comp[others] != comp[x]) & ((node[others] > node[x]) if i == j else True)]
-        ys = ys[np.minimum(sizes[ys], sizes[x]) * 100 >= PERCENT * np.maximum(sizes[ys], sizes[x])]
-        if not len(ys):
-            continue
-        likely = estimates(sigs[x], sigs[ys])
-        ys = ys[likely >= LEAST_ESTIMATE][np.argsort(-likely[likely >= LEAST_ESTIMATE], kind="stable")]
-        for y in ys:
+    for x, ys, likely in _candidates(node, comp, side, size, _signatures_of(table), key[1].as_py(), key[2].as_py()):
+        for y in ys[np.argsort(-likely, kind="stable")]:
             p, q = find(int(comp[x])), find(int(comp[y]))
-            if p != q and similar(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), sizes[x], sizes[y]):
+            if p != q and similar(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), size[x], size[y]):
                 root[p] = q
                 a.append(int(node[x]))
                 b.append(int(node[y]))
@@ -245,13 +276,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = rows.join(classes.select(F.col("rep").alias("node")), "node")
 
     members = reps.select("node", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = written(members.join(leaders, "key"), "buckets")  # (key, node, b, m): buckets of two or more
-    pairs = members.where("node > b").select(F.col("node").alias("a"), "b").distinct()
-    sigs = reps.select("node", "sig")
-    pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = pairs.select("a", "b", estimate(F.col("sig_a"), F.col("sig_b")).alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
-    stars = written(pairs.groupBy("a").agg(F.max(F.struct("e", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b")), "stars")
+    leaders = written(members.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1"), "leaders")
+    in_buckets = leaders.agg(F.coalesce(F.max("m"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()  # of the largest bucket, of all
+    members = written(spread_join(members, leaders, ["key"], "node", *in_buckets), "buckets")  # (key, node, b, m): buckets of two or more
+    pairs = written(members.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    sigs = reps.select("node", "n", "sig")
+    signed = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    signed = spread_join(signed, sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), ["b"], "a", *most_of(pairs, "b"))
+    signed = signed.select("a", "b", estimate(F.col("sig_a"), F.col("sig_b")).alias("e")).where(F.col("e") >= LEAST_ESTIMATE)
+    stars = written(signed.groupBy("a").agg(F.max(F.struct("e", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b")), "stars")
 
     wanted = rows.select("node", "o", "s1", "s2").join(members.select("node").distinct(), "node")
     sets = written(shingle_table(docs, wanted), "sets")
@@ -260,20 +293,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     placed = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    placed = placed.join(mixed, "key").withColumn("n_blocks", F.ceil(F.col("m") / BLOCK_MEMBERS)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
-    placed = placed.select("key", "node", "comp", F.col("block").alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("other"))
-    placed = placed.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
-    full = placed.join(sets.join(sigs, "node"), "node")
+    placed = spread_join(placed, mixed, ["key"], "node", *in_buckets).select("key", "node", "comp", "m")
+    blocks_of = in_blocks(placed, F.ceil(F.col("m") / BLOCK_MEMBERS)).join(sigs, "node")
+    active = written(blocks_of.groupBy("key", "i", "j").applyInArrow(active_members, "key long, node long, comp long, n long").distinct(), "active")
+    sizes = written(active.groupBy("key").agg(F.sum(8 * F.col("n")).alias("bytes"), F.count(F.lit(1)).alias("m")), "sizes")
+    in_active = sizes.agg(F.coalesce(F.max("m"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    full = in_blocks(spread_join(active, sizes.drop("m"), ["key"], "node", *in_active), F.ceil(F.col("bytes") / BLOCK_BYTES)).drop("bytes")
+    full = full.join(sets.join(sigs.drop("n"), "node"), "node")
     more = full.groupBy("key", "i", "j").applyInArrow(cross_links, "a long, b long")
     more = written(more.distinct(), "links")
     final = written(components(links.union(more)), "components")
 
-    labels = rows.select("node", "o", "print", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "node"))
-    labels = labels.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    copies = classes.agg(F.coalesce(F.max("copies"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    labels = spread_join(rows.select("node", "o", "print", "n", "s1", "s2"), classes, ["s1", "s2", "n"], "node", *copies, how="left").withColumn("rep", F.coalesce("rep", "node"))
+    labels = spread_join(labels, final.withColumnRenamed("node", "rep"), ["rep"], "node", *copies, how="left").withColumn("comp", F.coalesce("comp", "rep"))
     labels = written(labels.select("node", "o", "print", "n", "comp"), "labels")
-    least = labels.groupBy("comp").agg(F.min(F.struct("o", "node")).alias("x"))
-    least = written(least.select("comp", F.col("x.o").alias("least_o"), F.col("x.node").alias("least_node")), "least")
-    done = labels.join(least, "comp")
+    least = labels.groupBy("comp").agg(F.min(F.struct("o", "node")).alias("x"), F.count(F.lit(1)).alias("m"))
+    least = written(least.select("comp", F.col("x.o").alias("least_o"), F.col("x.node").alias("least_node"), "m"), "least")
+    in_groups = least.agg(F.coalesce(F.max("m"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    done = spread_join(labels, least.drop("m"), ["comp"], "node", *in_groups)
     ids = lambda c: F.when(F.col(c) != F.lit((1 << 63) - 1), F.col(c))
     done = done.select(ids("o").alias("doc_id"), F.col("n").alias("n_shingles"), ids("least_o").alias("component_id"), (F.col("node") == F.col("least_node")).alias("first"), "print")
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
