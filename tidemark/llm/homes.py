@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOME_BYTES = 12 << 20
+#: Homes that one task takes after another: the number of tasks grows with the homes.
+HOMES_OF_TASK = 4
 
 
 def home_of(ids: np.ndarray, homes: int) -> np.ndarray:

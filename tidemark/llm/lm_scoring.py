@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import hmm
 from tidemark.llm.frames import order_id
-from tidemark.llm.homes import HOME_BYTES, home_column, parts
+from tidemark.llm.homes import HOME_BYTES, HOMES_OF_TASK, home_column, parts
 from tidemark.llm.storage import partitions, text_bytes, written
 from tidemark.llm.tokens import Words, blocks, mix, pack, unpack
 
 STATES, CLASSES, ROUNDS = 8, 4096, 4
+#: Gain in log10 likelihood a token under which training stops before its last round.
+LEAST_GAIN = 1e-4
 HELD_OUT_OF = 5
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 CHUNK = 256
@@ -97,10 +99,14 @@ def _summed(rows: DataFrame, width: int) -> np.ndarray:
     return np.array([np.frombuffer(r["payload"]) for r in sorted(found, key=lambda r: r["key"])]).reshape(-1, width)
 
 
-def train(docs: DataFrame, unigram: np.ndarray, states: int, rounds: int) -> hmm.Model:
-    """Baum-Welch over all training documents; the expected counts of the partitions are added up in Spark each round."""
+def train(docs: DataFrame, unigram: np.ndarray, states: int, rounds: int, least_gain: float = LEAST_GAIN) -> tuple[hmm.Model, list[float]]:
+    """Baum-Welch over all training documents: (model, log10 likelihood of the documents before each round).
+
+    The expected counts of the partitions are added up in Spark each round.  It stops after `rounds`, or when a round
+    raised the likelihood by less than `least_gain` a token.
+    """
     classes = len(unigram)
-    model = hmm.initial(unigram, states)
+    model, trace = hmm.initial(unigram, states), []
     texts = docs.where(~F.col("held_out")).select("text")
     for _ in range(rounds):
 
@@ -110,17 +116,19 @@ def train(docs: DataFrame, unigram: np.ndarray, states: int, rounds: int) -> hmm
                 for _, _, words in blocks(batch.column("text")):
                     tokens, first = token_stream(words)
                     hmm.expect(model, classes_of(tokens, classes), first, counts)
-            flat = np.concatenate([counts.start, counts.move.ravel(), counts.emit.ravel()])
+            flat = counts.flat()
             flat = np.pad(flat, (0, -len(flat) % CHUNK)).reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["key", "payload"])
 
         flat = _summed(texts.mapInArrow(run, "key int, payload binary"), CHUNK).ravel()
         if not len(flat):
             break
-        k = states * (states + 1)
-        counts = hmm.Counts(flat[:states], flat[states:k].reshape(states, states), flat[k : k + states * classes].reshape(states, classes))
+        counts = hmm.Counts.of(flat, states, classes)
         model = hmm.maximised(counts, unigram)
-    return model
+        trace.append(counts.log10)
+        if len(trace) > 1 and trace[-1] - trace[-2] < least_gain * counts.emit.sum():
+            break
+    return model, trace
 
 
 def lm_scores(docs: DataFrame, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
@@ -134,13 +142,14 @@ def lm_scores(docs: DataFrame, states: int = STATES, classes: int = CLASSES, rou
     _, n_bytes = text_bytes(docs)
     n = max(2 * partitions(spark), n_bytes // HOME_BYTES)
     rows = docs.select("doc_id", "text", held_out(HELD_OUT_OF).alias("held_out")).withColumn("home", home_column(order_id(), n))
-    sent = rows.select("home", "held_out", "text").groupBy("home").applyInArrow(lambda key, table: _own_words(key, table, n), _PACKED)
-    back = written(sent.groupBy("place").applyInArrow(lambda key, table: _totals(key, table, classes), _PACKED), "word-totals")
+    tasks = max(partitions(spark), n // HOMES_OF_TASK)
+    sent = rows.select("home", "held_out", "text").repartition(tasks, "home").groupBy("home").applyInArrow(lambda key, table: _own_words(key, table, n), _PACKED)
+    back = written(sent.repartition(tasks, "place").groupBy("place").applyInArrow(lambda key, table: _totals(key, table, classes), _PACKED), "word-totals")
     sums = _summed(back.where("kind = 2").select(F.lit(0).alias("key"), "payload"), classes + 2)
     stats = sums[0] if len(sums) else np.zeros(classes + 2)
     distinct, tokens, within = stats[0], stats[1], stats[2:]
     unigram = (within + 0.5) / (within + 0.5).sum()
-    model = train(rows, unigram, states, rounds)
+    model, _ = train(rows, unigram, states, rounds)
     base_log, class_log = float(np.log10(tokens + 0.5 * (distinct + 1))), np.log10(within + 0.5)
 
     def score(key: tuple, own: pa.Table, totals: pa.Table) -> pa.Table:
@@ -166,5 +175,5 @@ def lm_scores(docs: DataFrame, states: int = STATES, classes: int = CLASSES, rou
 
     schema = "doc_id long, held_out boolean, train_tokens long, n_tokens long, n_known long, base_score double, score double"
     replies = back.where("kind = 1").select("home", "payload")
-    scored = rows.select("home", F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").groupBy("home").cogroup(replies.groupBy("home")).applyInArrow(score, schema)
+    scored = rows.select("home", F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").repartition(tasks, "home").groupBy("home").cogroup(replies.repartition(tasks, "home").groupBy("home")).applyInArrow(score, schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
