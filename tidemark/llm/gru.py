@@ -14,8 +14,16 @@ from tidemark.llm.tokens import Words, mix
 
 WINDOW, STRIDE = 48, 24
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 13, 1 << 13, 8, 8
-#: Share of words whose word vector is left out in a training step, and the pull of the tables towards zero.
-WORD_DROP, DECAY = 0.3, 1e-4
+#: Share of words whose word vector is left out in a training step, and the pull of the tables towards zero, to be divided by the square of how many texts the rarer label has.
+WORD_DROP, DECAY = 0.3, 67.0
+#: Table rows that fewer training texts reach stay zero, so that no text is learnt by heart from its own rare words.
+LEAST_TEXTS = 3
+#: Signed root of a likelihood ratio that a row reaches by chance.
+BY_CHANCE = 2.5
+#: Share of the training texts that only tell when to stop, and how many steps pass between two looks at them.
+WATCHED, LOOK = 0.15, 20
+#: Weight of a step in the running mean of the parameters.
+AVERAGED = 0.02
 _CLOSE = np.uint64(0x100)
 
 
@@ -128,7 +136,7 @@ def _tabled(rows: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, weights=grad[:, k], minlength=n) for k in range(grad.shape[1])], axis=1).astype(np.float32)
 
 
-def gradients(net: Network, vocab: Vocabulary, keep: dict, d_logit: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
+def gradients(net: Network, vocab: Vocabulary, keep: dict, d_logit: np.ndarray, known: np.ndarray, decay: float) -> dict[str, np.ndarray]:
     p, both, weight = net.params, keep["both"], keep["weight"]
     g = {"o": keep["pooled"].T @ d_logit, "d": np.array([d_logit.sum()], np.float32)}
     d_pool = d_logit[:, None] * p["o"]
@@ -162,15 +170,33 @@ def gradients(net: Network, vocab: Vocabulary, keep: dict, d_logit: np.ndarray,
         g[f"w{side}"] = keep["source"].T @ per_word
         d_source += per_word @ p[f"w{side}"].T
     size = np.diff(vocab.first)
-    g["words"] = _tabled(vocab.word, d_source[:, :WIDTH] * known[:, None], WORD_ROWS) + DECAY * p["words"]
-    g["grams"] = _tabled(vocab.grams, np.repeat(d_source[:, WIDTH:] / size[:, None], size, axis=0), GRAM_ROWS) + DECAY * p["grams"]
+    g["words"] = _tabled(vocab.word, d_source[:, :WIDTH] * known[:, None], WORD_ROWS) + decay * p["words"]
+    g["grams"] = _tabled(vocab.grams, np.repeat(d_source[:, WIDTH:] / size[:, None], size, axis=0), GRAM_ROWS) + decay * p["grams"]
     return g
 
 
+def text_counts(blocks: list[tuple], rows: int, of: str) -> np.ndarray:
+    """How many of the texts reach each row of a table."""
+    seen = np.zeros(rows, np.int64)
+    for vocab, *_ in blocks:
+        seen[np.unique(getattr(vocab, of))] += 1
+    return seen
+
+
+def leaning(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """What the tables start from: the signed root of each row's likelihood ratio against no association with the label, beyond chance."""
+    n = clean + toxic
+    share = n_toxic / (n_clean + n_toxic)
+    g = toxic * np.log(np.maximum(toxic, 1) / np.maximum(n * share, 1e-9)) + clean * np.log(np.maximum(clean, 1) / np.maximum(n * (1 - share), 1e-9))
+    return (np.sign(toxic - n * share) * np.maximum(np.sqrt(2 * np.maximum(g, 0)) - BY_CHANCE, 0) / 2).astype(np.float32)
+
+
 def train(texts: list[Words], labels: np.ndarray, steps: int = 260, batch: int = 24, rate: float = 0.02, seed: int = 3) -> Network:
     """Adam on balanced batches of texts; a text's logit is the softmax-weighted mean of its windows', ever nearer their maximum.
 
-    texts holds one text each.  Without both labels the network stays neutral and gives every text a score of 0.5 or less.
+    texts holds one text each.  A seeded part of them is only watched: of the running means of the parameters, those of the
+    least loss on it are kept.
+    Without both labels the network stays neutral and gives every text a score of 0.5 or less.
     """
     net = Network.fresh(seed)
     groups = [np.flatnonzero(labels == y) for y in (0, 1)]
@@ -179,8 +205,18 @@ def train(texts: list[Words], labels: np.ndarray, steps: int = 260, batch: int =
         return net
     rng = np.random.default_rng(seed)
     blocks = [(*vocabulary(w), *window_spans(w.first)) for w in texts]
+    watched = [rng.permutation(g)[: int(len(g) * WATCHED)] for g in groups]
+    groups = [np.setdiff1d(g, x) for g, x in zip(groups, watched)]
+    common = {}
+    for k, rows, of in (("words", WORD_ROWS, "word"), ("grams", GRAM_ROWS, "grams")):
+        seen = [text_counts([blocks[i] for i in g], rows, of) for g in groups]
+        common[k] = sum(seen) >= LEAST_TEXTS
+        net.params[k] *= common[k][:, None]
+        net.params[k][:, 0] = leaning(*seen, *map(len, groups))
     m = {k: np.zeros_like(v) for k, v in net.params.items()}
     s = {k: np.zeros_like(v) for k, v in net.params.items()}
+    mean = Network({k: v.copy() for k, v in net.params.items()})
+    best, kept, decay = np.inf, net, DECAY / min(map(len, groups)) ** 2
     for step in range(1, steps + 1):
         chosen = np.concatenate([rng.choice(g, batch // 2) for g in groups])
         vocab, inverse, text, start, size = _joined([blocks[i] for i in chosen])
@@ -189,21 +225,47 @@ def train(texts: list[Words], labels: np.ndarray, steps: int = 260, batch: int =
         known = rng.random(len(vectors)) >= WORD_DROP
         vectors[:, :WIDTH] *= known[:, None]
         logit = forward(net, vectors, inverse, start, size, keep)
-        sharp = 1.0 + 3.0 * step / steps
-        top = np.full(len(chosen), -1e9)
-        np.maximum.at(top, text, logit)
-        share = np.exp(sharp * (logit - top[text]))
-        share /= np.bincount(text, weights=share)[text]
-        whole = np.bincount(text, weights=share * logit)
+        whole, share = _text_logits(logit, text, len(chosen), 1.0 + 3.0 * step / steps)
         error = (_sigmoid(whole) - labels[chosen])[text] * share / len(chosen)
         rate_now = rate * (1 - 0.8 * step / steps)
-        for k, grad in gradients(net, vocab, keep, error.astype(np.float32), known).items():
+        for k, grad in gradients(net, vocab, keep, error.astype(np.float32), known, decay).items():
+            if k in common:
+                grad = grad * common[k][:, None]
             norm = float(np.sqrt((grad * grad).sum()))
             grad = grad / max(1.0, norm)
             m[k] = 0.9 * m[k] + 0.1 * grad
             s[k] = 0.99 * s[k] + 0.01 * grad * grad
             net.params[k] -= (rate_now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return net
+        for k, v in net.params.items():
+            mean.params[k] += (v - mean.params[k]) * np.float32(max(1 / step, AVERAGED))
+        if step % LOOK == 0 and all(len(x) for x in watched):
+            loss = _watched_loss(mean, blocks, watched)
+            if loss < best:
+                best, kept = loss, Network({k: v.copy() for k, v in mean.params.items()})
+    return kept if np.isfinite(best) else mean
+
+
+def _text_logits(logit: np.ndarray, text: np.ndarray, n: int, sharp: float) -> tuple[np.ndarray, np.ndarray]:
+    """(logit of each text, share of each window in it): a softmax-weighted mean, the nearer the maximum the larger `sharp`."""
+    top = np.full(n, -1e9)
+    np.maximum.at(top, text, logit)
+    share = np.exp(sharp * (logit - top[text]))
+    share /= np.bincount(text, weights=share)[text]
+    return np.bincount(text, weights=share * logit, minlength=n), share
+
+
+def _watched_loss(net: Network, blocks: list[tuple], watched: list[np.ndarray]) -> float:
+    """Mean log loss of the largest window of the watched texts, both labels alike in weight; bounded by the sample's size."""
+    total = 0.0
+    for label, own in enumerate(watched):
+        losses = []
+        for at in range(0, len(own), 64):
+            vocab, inverse, text, start, size = _joined([blocks[i] for i in own[at : at + 64]])
+            top = np.full(len(own[at : at + 64]), -np.inf)
+            np.maximum.at(top, text, forward(net, embed(net, vocab), inverse, start, size))
+            losses.append(np.logaddexp(0, -top if label else top))
+        total += float(np.concatenate(losses).mean())
+    return total
 
 
 def _joined(blocks: list[tuple]) -> tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import gru
@@ -18,13 +18,18 @@ SAMPLE_TEXT_BYTES = 12_000
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, text_bytes: int = SAMPLE_TEXT_BYTES) -> list:
-    """At most per_class labelled texts of each class that are not held out, of at most text_bytes bytes, by a hash of doc_id."""
+    """At most per_class labelled texts of each class that are not held out, of at most text_bytes bytes, by a hash of doc_id.
+
+    Twice as many labels are drawn, so that longer texts among them don't leave the sample short unless they are over half.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF != 1))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
-    drawn = [usable.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    ids = F.broadcast(drawn[0].union(drawn[1]).select("doc_id", "toxic"))  # 2 * per_class rows at most
+    drawn = [usable.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(2 * per_class) for y in (0, 1)]
+    ids = F.broadcast(drawn[0].union(drawn[1]).select("doc_id", "toxic"))  # 4 * per_class rows at most
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= text_bytes).join(ids, "doc_id")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class).collect()
+    order = (F.xxhash64("doc_id"), "doc_id", "text")
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy(*order))).where(F.col("k") <= per_class)
+    return first.orderBy(*order).select("doc_id", "text", "toxic").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> gru.Network:
