@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -10,12 +11,14 @@ import numpy as np
 
 # How HTML elements behave, and words that page templates put in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style head title noscript template svg iframe object select textarea math canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var br wbr".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())  # no markup inside; without an end tag they run to the end
+HEAD = frozenset("title base basefont bgsound link meta noframes style script noscript template".split())  # all that may stand in a head
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var br wbr math mi mo mn ms mtext mrow msup msub mfrac msqrt".split())
+INSETS = frozenset("math svg canvas object select noscript template audio video".split())  # stand in a line, yet are nodes of their own
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"p": frozenset("article aside blockquote body div footer form header main nav section table td th li figure".split()), "li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"])}
-TAG_GROUPS = ("p", "h1 h2", "h3 h4 h5 h6", "li", "ul ol menu dl", "div section", "article main", "nav menu", "header", "footer", "aside", "form fieldset button label", "table tr td th tbody", "blockquote pre figure figcaption", "dialog")
+TAG_GROUPS = ("p", "h1 h2", "h3 h4 h5 h6", "li", "ul ol menu dl", "div section", "article main", "nav menu", "header", "footer", "aside", "form fieldset button label select option optgroup datalist", "table tr td th tbody", "blockquote pre figure figcaption", "dialog", "noscript template", "svg math canvas object audio video")
 TOKEN_GROUPS = {
     "menu": "nav navbar navigation menu submenu breadcrumb breadcrumbs crumbs tabs toc pager pagination skip",
     "frame": "header head masthead top topbar footer foot bottom copyright legal logo site colophon",
@@ -33,6 +36,7 @@ _TAG_GROUP = {w: i for i, words in enumerate(TAG_GROUPS) for w in words.split()}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _NONE_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 N_TAGS, N_TOKENS = len(TAG_GROUPS), len(TOKEN_GROUPS)
 
@@ -67,10 +71,14 @@ def token_groups(attributes: str) -> int:
 
 
 def parse(html: str) -> Page:
-    """Reads the whole page; broken nesting, missing end tags and a cut-off end are taken as browsers do, roughly."""
+    """Reads the whole page; broken nesting, missing end tags and a cut-off end are taken as browsers do, roughly.
+
+    A head ends at the first element that can't stand in one.  Its work grows with the page, however deep its nesting.
+    """
     page = Page()
     stack: list[tuple[str, int]] = []
-    node, block, at, link, n = 0, 0, 0, 0, len(html)
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
+    node, block, at, link, n, in_head = 0, 0, 0, 0, len(html), False
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
@@ -81,12 +89,22 @@ def parse(html: str) -> Page:
     def close_to(k: int) -> None:
         nonlocal node, block, link
         for tag, _ in stack[k:]:
+            places[tag].pop()
             link -= tag == "a"
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in INSETS:
                 block += 1
         del stack[k:]
         node = stack[-1][1] if stack else 0
 
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close_last(tags: Iterable[str], scope: Iterable[str]) -> None:
+        """Closes the last open one of the tags, unless an element of the scope was opened after it."""
+        k = last(tags)
+        if k >= 0 and k > last(scope):
+            close_to(k)
+
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
@@ -101,32 +119,26 @@ def parse(html: str) -> Page:
             continue
         tag, closing = name.lower(), (m[1] if m[2] else m[4]) == "/"
         attributes = (m[3] if m[2] else m[6]) or ""
+        if tag == "head":
+            in_head = not closing
+            continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close_to(k)
-                    break
+            if places.get(tag):
+                close_to(places[tag][-1])
             continue
-        if tag in SKIPPED:
+        in_head = in_head and tag in HEAD
+        if tag in RAW:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?|\Z" if tag != "head" else r"</head\s*>|(?=<body)|\Z", re.I).search(html, at)
-                at = max(end.end(), at)
+                end = _END[tag].search(html, at)
+                at = max(end.end(), at) if end else n
+            continue
+        if in_head and tag in VOID:
             continue
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close_to(k)
-                    break
-                if stack[k][0] in SCOPES["p"]:
-                    break
+            close_last(("p",), SCOPES["p"])
         elif tag in SAME_ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SAME_ENDS[tag]:
-                    close_to(k)
-                    break
-                if stack[k][0] in SCOPES.get(tag, ()):
-                    break
-        if tag not in INLINE:
+            close_last(SAME_ENDS[tag], SCOPES.get(tag, ()))
+        if tag not in INLINE and tag not in INSETS:
             block += 1
         if tag in VOID or attributes.endswith("/"):
             page.tags_inside[node] += 1
@@ -138,7 +150,7 @@ def parse(html: str) -> Page:
         if tag == "a":
             link += 1
             page.links[node] += 1
-        if tag not in INLINE or groups:
+        if tag not in INLINE or tag in INSETS or groups:
             page.parent.append(node)
             page.tag.append(_TAG_GROUP.get(tag, -1))
             page.tokens.append(groups)
@@ -146,6 +158,7 @@ def parse(html: str) -> Page:
             page.links.append(0)
             page.tags_inside.append(0)
             node = len(page.parent) - 1
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, node))
     return page
 
@@ -209,11 +222,11 @@ def chosen_text(page: Page, keep: np.ndarray) -> str:
     block, parts = -1, []
     for node, b, raw, _ in [*page.chunks, (-1, -2, "", False)]:
         if b != block:
-            if line := " ".join(unescape("".join(parts)).split()):
+            if line := " ".join("".join(parts).split()):
                 out.append(line)
             block, parts = b, []
         if node >= 0 and keep[node]:
-            parts.append(raw)
+            parts.append(unescape(raw) if "&" in raw else raw)
     return "\n".join(out)
 
 

@@ -54,7 +54,11 @@ class Layouts:
         return self.wrap(self.links(3, 9), ("nav", "div", "ul"), ("nav", "menu", "navigation", "navbar", "breadcrumb"))
 
     def search(self) -> str:
-        return f'<form action="/s"><label>{self.words(1, 2)}</label><input name="q"><button>{self.words(1, 2)}</button></form>'
+        choice = "<select>" + "".join(f"<option>{self.words(1, 2)}</option>" for _ in range(4)) + "</select>" if self.chance(0.3) else ""
+        return f'<form action="/s"><label>{self.words(1, 2)}</label>{choice}<input name="q"><button>{self.words(1, 2)}</button></form>'
+
+    def unseen(self) -> str:
+        return self.one(f"<noscript><p>{self.sentences(1, 2)}</p></noscript>", f"<template><div>{self.sentences(1, 2)}</div></template>", f"<svg><title>x</title><text>{self.words(1, 3)}</text></svg>")
 
     def form(self) -> str:
         inner = f"<p>{self.sentences(1, 2)}</p><label>{self.words(1, 3)}</label><input><button>{self.words(1, 2)}</button>"
@@ -98,7 +102,7 @@ class Layouts:
                     *[f"<p>{m}{self.sentences(1, 8)}</p>"] * 6, f"<p>{m}{self.sentences(1, 2)}<p>{m}{self.sentences(1, 3)}", f"<h2>{m}{self.words(1, 6)}</h2><p>{m}{self.sentences(2, 5)}</p>",
                     "<ul>" + "".join(f"<li>{m}{self.sentences(1, 1)}</li>" for _ in range(4)) + "</ul>", f"<blockquote><p>{m}{self.sentences(1, 3)}</p></blockquote>", f"<div>{m}{self.sentences(1, 4)}</div>",
                     f"<table><tr><td>{m}{self.words(1, 3)}</td><td>{m}{self.words(1, 3)}</td></tr></table>", f'<p>{m}{self.sentences(1, 3)} <a href="/y">{m}{self.words(1, 3)}</a> {m}{self.sentences(1, 2)}</p>',
-                    f"<figure><figcaption>{m}{self.words(3, 9)}</figcaption></figure>",
+                    f"<figure><figcaption>{m}{self.words(3, 9)}</figcaption></figure>", f"<p>{m}{self.sentences(1, 3)} <math><mi>{m}{self.words(1, 1)}</mi><mo>=</mo><mn>{m}7</mn></math></p>", f"<object><p>{m}{self.sentences(1, 2)}</p></object>",
                 )
             )
             if self.chance(0.12):
@@ -112,4 +116,4 @@ class Layouts:
         if self.chance(0.3):
             body = self.wrap(body + (self.comments() if self.chance(0.3) else "") + (self.sidebar() if self.chance(0.3) else ""), ("main", "div", "div"), ("main", "wrapper", "container", "page", "layout"), 0.3)
         some = lambda p, f: f() if self.chance(p) else ""
-        return "<html><head><title>x</title></head><body>" + some(0.5, self.header) + some(0.7, self.menu) + some(0.3, self.notice) + some(0.5, self.advert) + some(0.3, self.sidebar) + body + some(0.3, self.share) + some(0.4, self.comments) + some(0.4, self.sidebar) + some(0.2, self.form) + some(0.2, self.advert) + some(0.8, self.footer) + "</body></html>"
+        return "<html><head><title>x</title></head><body>" + some(0.5, self.header) + some(0.7, self.menu) + some(0.15, self.unseen) + some(0.3, self.notice) + some(0.5, self.advert) + some(0.3, self.sidebar) + body + some(0.3, self.share) + some(0.4, self.comments) + some(0.4, self.sidebar) + some(0.2, self.form) + some(0.2, self.advert) + some(0.8, self.footer) + "</body></html>"
