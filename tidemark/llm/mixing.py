@@ -54,7 +54,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, mo
     rows = rows.withColumn("target", F.when(F.col("stopped"), F.col("cap")).otherwise(F.least(share, F.col("cap"))))
     high = F.sum("target").over(Window.orderBy("sid"))
     sum_all = F.sum("target").over(everything)
-    return rows.select("sid", "source", "source_size", "target", ((high - F.col("target")) / sum_all).alias("low"), (high / sum_all).alias("high"), sum_all.alias("all"))
+    part = F.nullif(sum_all, F.lit(0.0))  # without a word no source has a part of the schedule
+    return rows.select("sid", "source", "source_size", "target", ((high - F.col("target")) / part).alias("low"), (high / part).alias("high"), sum_all.alias("all"))
 
 
 def points() -> Column:
@@ -88,9 +89,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     spark = docs.sparkSession
     sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     sources = written(targets(sizes, weights, total_share, most), "mix-sources")
-    total = sources.agg(F.count(F.lit(1)).alias("n"), F.max("all").alias("all")).first()
+    words = float(sources.agg(F.max("all")).first()[0] or 0.0)
     n_rows = sizes.count()
-    words = float(total["all"] or 0.0)
 
     buckets = max(64, n_rows // 20_000)
     keyed = sizes.join(sources.select("sid", F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
