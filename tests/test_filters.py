@@ -22,7 +22,8 @@ def test_repeated_updates_shrink_uncertainty():
     f = filters.Filter.fresh(filters.Config())
     h = filters.vector(c.STREAM_LOADINGS["US_CPI_YOY"])
     before = f.p[0, 0]
-    for _ in range(10):
+    assert f.p[0, 0] == pytest.approx(0.1)
+    for _ in range(60):
         f.update(h, 0.1, 3.0)
     assert f.p[0, 0] < before
     assert h @ f.x == pytest.approx(3.0, abs=0.1)

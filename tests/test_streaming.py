@@ -16,7 +16,7 @@ def observations():
     return [(e, day(i), k, s, float(rng.standard_normal())) for e in (1, 2) for i in range(12) for k, s in enumerate(("SP500", "US_CPI_YOY"))]
 
 
-def test_stream_equals_batch_and_leaves_out_late_rows(spark, tmp_path, observations):
+def test_stream_equals_batch_and_late_rows_go_aside(spark, tmp_path, observations):
     df = spark.createDataFrame(observations, online.INPUT_SCHEMA)
     batch = {(r.entity, r.day): r for r in filters.replay(df, {"base": filters.Config()}, every=1).collect()}
     (tmp_path / "in").mkdir()
@@ -28,7 +28,9 @@ def test_stream_equals_batch_and_leaves_out_late_rows(spark, tmp_path, observati
         spark.createDataFrame(part, online.INPUT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
         q.awaitTermination()
-    got = {(r.entity, r.day): r for r in spark.read.parquet(out).collect()}
+    written = spark.read.parquet(out)
+    assert [tuple(r) for r in online.late_rows(written).collect()] == [(1, dt.date(2024, 1, 1), 1)]
+    got = {(r.entity, r.day): r for r in online.states(written).collect()}
     assert got.keys() == batch.keys()
     for k, r in got.items():
         assert r.n_updates == batch[k].n_updates and np.allclose(r.factors, batch[k].factors) and np.allclose(r.probabilities, batch[k].probabilities)

@@ -23,6 +23,7 @@ CROSS_DYNAMICS = (  # from, to, coefficient
     ("housing_momentum", "financial_conditions", 0.04),
 )
 Q_SCALE = 0.01
+INITIAL_VARIANCE = 0.1
 STREAM_LOADINGS = {
     "US_CPI_YOY": {"inflation_trend": 0.85, "growth_trend": 0.10, "labor_pressure": 0.05, "housing_momentum": 0.15, "commodity_pressure": 0.20, "policy_stance": 0.10},
     "CORE_CPI": {"inflation_trend": 0.90, "growth_trend": 0.05, "labor_pressure": 0.10, "housing_momentum": 0.20, "policy_stance": 0.10},
@@ -132,3 +133,69 @@ SUB_TRANSITIONS = {
 }
 SUB_FLOOR = 0.05
 ACTIVE_AT = 0.20
+#: Exits that a regime's age raises: regime, targets, weeks of half the rise, least and most total chance, slope.
+DURATION_EXITS = ((2, (0,), 39, 0.050, 0.150, 0.08), (0, (1, 2), 180, 0.030, 0.060, 0.03))
+#: Loadings by regime: factors of the loadings on each factor (an option that the shipped stack leaves off).
+REGIME_LOADINGS = {
+    "soft_landing": {},
+    "stagflation": {"inflation_trend": 1.3, "commodity_pressure": 1.4, "growth_trend": 0.7, "consumer_sentiment": 0.8, "policy_stance": 1.2},
+    "recession": {"labor_pressure": 1.4, "financial_conditions": 1.3, "housing_momentum": 1.3, "growth_trend": 1.2, "inflation_trend": 0.7, "commodity_pressure": 0.8, "consumer_sentiment": 1.2},
+}
+#: Triggers: hours of cooldown, default action, place in the order of urgency.
+TRIGGERS = {
+    "tier_crossing": (1.0, "llm_reevaluate", 6),
+    "anomalous_data": (0.5, "alert_user", 3),
+    "sustained_drift": (6.0, "llm_reevaluate", 7),
+    "convergence": (12.0, "suggest_merge", 9),
+    "narrative_stale": (24.0, "refresh_narrative", 10),
+    "branch_extinction": (12.0, "suggest_prune", 8),
+    "structural_break": (1.0, "llm_reevaluate", 1),
+    "innovation_streak": (6.0, "alert_user", 5),
+    "multi_factor_surprise": (8.0, "llm_reevaluate", 4),
+    "boundary_approach": (4.0, "alert_user", 2),
+}
+#: Qualitative signals: noise and value by size of the impact, half-life in days by kind.
+SIGNAL_SIZES = {"minor": (5.0, 0.15), "moderate": (1.0, 0.40), "major": (0.3, 0.80)}
+SIGNAL_HALF_LIVES = {"breaking": 3, "sentiment": 5, "commentary": 14, "action": 60, "structural": 30, "pattern": 45, "geopolitical": 21, "scenario": 14}
+#: Sticky transitions of sub-regimes when evidence is smoothed over time.
+STICKY_TRANSITIONS = {
+    "soft_landing": ((0.85, 0.10, 0.05), (0.12, 0.78, 0.10), (0.15, 0.05, 0.80)),
+    "stagflation": ((0.88, 0.12), (0.12, 0.88)),
+    "recession": ((0.85, 0.15), (0.15, 0.85)),
+}
+#: Evidence for sub-regimes: weight and quantity; a quantity counts where it is above zero. Slopes and their change are a hundredfold.
+EVIDENCE = {
+    "goldilocks": (
+        (1.5, "least(growth + 0.5, 1.0)"), (-0.5, "growth - 1.0"), (1.5, "1.0 - abs(inflation)"), (1.0, "0.5 - abs(policy)"),
+        (1.0, "1.0 - abs(inflation_slope)"), (0.5, "1.0 - abs(growth_slope)"), (0.5, "1.5 - stress"), (0.5, "sentiment"),
+        (-1.0, "labor - 0.5"), (-0.5, "housing - 0.8"), (-1.0, "inflation - 0.8"), (-1.5, "1.0"),
+    ),
+    "boom": (
+        (1.5, "growth - 0.3"), (1.0, "growth_slope"), (1.0, "labor"), (1.0, "inflation + inflation_slope"), (1.0, "housing"), (1.0, "hot - 1"),
+        (1.0, "least(1.5, 1.5 * stocks_20)"), (0.5, "finance"), (0.5, "sentiment"), (-1.0, "-inflation_slope - 0.5"), (-1.0, "-finance - 0.3"), (-0.5, "-sentiment - 0.3"),
+    ),
+    "disinflation": (
+        (1.5, "-inflation_slope - 0.15"), (0.5, "-inflation_change - 0.1"), (1.0, "inflation + 0.1"), (1.5, "policy"), (1.0, "rate_change_10"), (0.5, "growth"),
+        (0.5, "-inflation_surprise"), (-2.0, "inflation_slope"), (-1.0, "-growth - 0.3"), (-1.0, "-policy"),
+        (-1.5, "greatest(labor - 0.3, 0) + greatest(housing - 0.3, 0) + greatest(growth - 0.3, 0) - 0.3"),
+    ),
+    "cost_push": (
+        (1.5, "commodity"), (1.5, "least(2.5, 1.5 * oil_20)"), (1.5, "price_spread"), (1.0, "inflation"), (1.0, "-growth"), (0.5, "-growth_slope"), (0.5, "-sentiment"),
+        (-1.5, "growth - 0.3"), (-1.0, "sentiment - 0.3"), (-0.5, "labor - 0.3"),
+    ),
+    "demand_pull": (
+        (1.5, "growth"), (1.0, "labor"), (1.0, "sentiment"), (1.0, "inflation"), (0.5, "least(1.5, stocks_20)"), (0.5, "-price_spread"),
+        (-1.0, "least(2.0, oil_20)"), (-1.0, "commodity - 0.5"), (-0.5, "-growth"),
+    ),
+    "credit_crunch": (
+        (1.5, "-finance"), (1.0, "-finance_slope"), (1.0, "least(2.5, -stocks_60) * (case when finance_lead > 0 then 1.0 else 0.3 end)"), (1.5, "finance_lead"),
+        (0.5, "-yield_curve"), (1.0, "-housing"), (2.0, "-housing_slope"), (-0.5, "-finance_lead - 0.3"),
+    ),
+    "demand_shock": (
+        (2.0, "greatest(-growth, 0) + greatest(-sentiment, 0) + greatest(-labor, 0) + greatest(-housing, 0)"), (1.5, "-growth_slope_5"), (1.0, "-sentiment_slope_5"), (0.5, "-labor_slope_5"),
+        (0.5, "stress - 1.0"), (0.5, "least(1.5, 2 * unemployment_change)"), (0.5, "least(1.5, 2 * claims_change)"), (1.5, "-finance_lead"), (-0.5, "finance_lead - 0.3"),
+    ),
+}
+SOFTMAX_TEMPERATURE, DELTA_AMPLIFICATION, ENSEMBLE_SHARE = 0.5, 3.0, 0.6
+#: Streams whose surprises count towards inflation and growth.
+INFLATION_STREAMS, GROWTH_STREAMS = ("US_CPI_YOY", "CORE_CPI", "PPI"), ("RETAIL_SALES", "HOUSING_STARTS", "SP500")

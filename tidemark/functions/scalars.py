@@ -41,3 +41,30 @@ def daily_persistence(monthly: Column) -> Column:
 
 def normal_density(x: Column, variance: Column) -> Column:
     return F.exp(-x * x / (2 * variance)) / F.sqrt(2 * F.lit(math.pi) * variance)
+
+
+def pseudo_value(direction: Column, size: Column, confidence: Column) -> Column:
+    """What a qualitative signal says of a factor."""
+    return direction * size * confidence
+
+
+def denormalised(z: Column, mean: Column, variance: Column, floor: float = 0.01) -> Column:
+    return z * F.greatest(F.sqrt(variance), F.lit(floor)) + mean
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def matrix_vector(rows: Column, x: Column) -> Column:
+    """An array of row arrays times an array."""
+    return F.transform(rows, lambda r: dot(r, x))
+
+
+def map_value(m: Column, key: str, default: float = 0.0) -> Column:
+    return F.coalesce(F.element_at(m, key), F.lit(default))
+
+
+def map_argmax(m: Column) -> Column:
+    """The first key, in the map's order, of the largest value."""
+    return F.element_at(F.map_keys(F.map_filter(m, lambda k, v: v == F.array_max(F.map_values(m)))), 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as c
@@ -139,3 +139,109 @@ def switching_model(y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.nda
         sd = np.sqrt((smooth * (y[:, None] - mean) ** 2).sum(axis=0) / weight) + 1e-6
     order = np.argsort(mean)
     return mean[order], sd[order], float(np.diag(tpm).mean()), smooth[:, order[0]]
+
+
+def rank_bins(df: DataFrame, keys: list[str], order: list[str], bins: int = 20) -> DataFrame:
+    """Adds bin: consecutive ranks of a group in so many parts of equal count. A group is as long as its calendar."""
+    w = Window.partitionBy(*keys)
+    rank = F.row_number().over(w.orderBy(*order)) - 1
+    return df.withColumn("bin", F.floor(rank * bins / F.count(F.lit(1)).over(w)))
+
+
+def calibrators(df: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
+    """(keys, bin, n, p, calibrated): isotonic points over bins of equal count of (p, outcome), ties by `day`."""
+    binned = rank_bins(df, keys, ["p", "day"], bins).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"), F.avg("outcome").alias("y"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        return pdf.assign(calibrated=pava(pdf["y"].to_numpy(float), pdf["n"].to_numpy(float)))[[*keys, "bin", "n", "p", "calibrated"]]
+
+    schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ["bin long", "n long", "p double", "calibrated double"])
+    return binned.groupBy(*keys).applyInPandas(run, schema)
+
+
+def recalibrated(df: DataFrame, points: DataFrame, key: str = "regime") -> DataFrame:
+    """df (day, key, p, ...) with p mapped through its key's points, linear between them, and scaled to one over the keys of a day."""
+    knots = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", F.col("p").alias("x"), F.col("calibrated").alias("y")))).alias("__k"))
+    x = F.greatest(F.least(F.col("p"), F.lit(1.0)), F.lit(0.0))
+    below, above = F.filter("__k", lambda k: k["x"] <= x), F.filter("__k", lambda k: k["x"] > x)
+    a, b = F.element_at(below, -1), F.element_at(above, 1)
+    y = F.when(F.size(below) == 0, b["y"]).when(F.size(above) == 0, a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"]))
+    rows = df.join(F.broadcast(knots), key, "left").withColumn("__y", F.when(F.size("__k") > 0, y).otherwise(F.col("p"))).drop("__k")  # a row for each key
+    total = F.sum("__y").over(Window.partitionBy("day"))
+    return rows.withColumn("calibrated", F.when(total > 1e-12, F.col("__y") / total).otherwise(F.col("p"))).drop("__y")
+
+
+def metrics(p: np.ndarray, truth: np.ndarray, regimes: list[str], bins: int = 10) -> dict[str, float]:
+    """Brier score, reliability and AUC of each regime, and sharpness: ten numbers for three regimes; NaN where undefined."""
+    out = {}
+    for k, name in enumerate(regimes):
+        f, y = p[:, k], (truth == name).astype(float)
+        cell = np.minimum((f * bins).astype(int), bins - 1)
+        n = np.bincount(cell, minlength=bins)
+        used = n > 0
+        mean_f, mean_y = (np.bincount(cell, weights=v, minlength=bins)[used] / n[used] for v in (f, y))
+        order = np.argsort(f, kind="stable")
+        rank = np.empty(len(f))
+        rank[order] = np.arange(1, len(f) + 1)
+        _, inverse = np.unique(f, return_inverse=True)
+        rank = (np.bincount(inverse, weights=rank) / np.bincount(inverse))[inverse]
+        ones = y.sum()
+        out[f"{name}_brier"] = float(((f - y) ** 2).mean())
+        out[f"{name}_reliability"] = float((n[used] * (mean_f - mean_y) ** 2).sum() / len(f))
+        out[f"{name}_auc"] = float((rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))) if 0 < ones < len(y) else float("nan")
+    out["sharpness"] = float(p.max(axis=1).mean())
+    return out
+
+
+def bootstrap_suite(snapshots: DataFrame, regimes: list[str], order: str = "day", truth: str = "truth", replicates: int = 500, seed: int = 7) -> DataFrame:
+    """(metric, replicate, value) of stationary block replicates of one panel; every share of 50 replicates is a task with generators of its own."""
+    shares = snapshots.select(order, truth, *regimes).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 50))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, share = pdf.sort_values(order), int(pdf["share"].iloc[0])
+        p, y, n = pdf[regimes].to_numpy(float), pdf[truth].to_numpy(), len(pdf)
+        rows = []
+        for r in range(share * 50, min(share * 50 + 50, replicates)):
+            at = np.sort(bootstrap_indices(n, max(n ** (1 / 3), 2.0), np.random.default_rng([seed, r])))
+            rows += [(k, r, v) for k, v in metrics(p[at], y[at], regimes).items() if np.isfinite(v)]
+        return pd.DataFrame(rows, columns=["metric", "replicate", "value"])
+
+    return shares.groupBy("share").applyInPandas(run, "metric string, replicate int, value double")
+
+
+def valid_interval(replicates: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
+    """`interval` of the column value; with fewer than `least` replicates both ends and the error are null."""
+    rows = interval(replicates, keys, "value")
+    return rows.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(x)).alias(x) for x in ("low", "high", "se")])
+
+
+def var_one(panel: DataFrame, order: str, streams: list[str]) -> DataFrame:
+    """VAR(1) with intercept by least squares: (target, source, coefficient, residual_cov): the sums of products are taken in Spark, the small system is solved once.
+
+    The panel has a row for each date; rows with a missing value in it or before it are left out.
+    """
+    w = Window.orderBy(order)
+    lagged = panel.select(*streams, *[F.lag(s).over(w).alias(f"lag_{s}") for s in streams]).dropna()
+    terms = [F.lit(1.0), *[F.col(f"lag_{s}") for s in streams], *[F.col(s) for s in streams]]
+    cells = [F.sum(a * b).alias(f"c{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if i <= j]
+    sums, k = lagged.agg(*cells), len(streams)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, m = pdf.iloc[0], 2 * k + 1
+        g = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)], float)
+        beta = np.linalg.lstsq(g[: k + 1, : k + 1], g[: k + 1, k + 1 :], rcond=None)[0]
+        rest = (g[k + 1 :, k + 1 :] - beta.T @ g[: k + 1, k + 1 :]) / g[0, 0]
+        return pd.DataFrame([(t, s, float(beta[i + 1, j]), float(rest[j, i])) for j, t in enumerate(streams) for i, s in enumerate(streams)], columns=["target", "source", "coefficient", "residual_cov"])
+
+    return sums.groupBy(F.lit(0).alias("g")).applyInPandas(solve, "target string, source string, coefficient double, residual_cov double")
+
+
+def granger(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, gain, f) of rows (y, y_before, x_before): the gain in R2 of x_before beside y_before, and its F statistic on 1 and n - 3 degrees."""
+    g = pairs.where("y is not null and y_before is not null and x_before is not null").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.corr("y", "y_before").alias("a"), F.corr("y", "x_before").alias("b"), F.corr("y_before", "x_before").alias("c")
+    )
+    full = (F.col("a") * F.col("a") + F.col("b") * F.col("b") - 2 * F.col("a") * F.col("b") * F.col("c")) / (1 - F.col("c") * F.col("c"))
+    g = g.withColumn("full", full).withColumn("gain", full - F.col("a") * F.col("a"))
+    return g.select(*keys, "n", "gain", (F.col("gain") * (F.col("n") - 3) / (1 - F.col("full"))).alias("f"))

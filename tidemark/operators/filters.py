@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -46,6 +48,11 @@ def blended_persistence() -> dict[str, float]:
     return mixed | {"commodity_pressure": c.PERSISTENCE["commodity_pressure"]}
 
 
+def scaled_loadings(stream: str, regime: str) -> np.ndarray:
+    """A stream's loadings as a regime sees them."""
+    return vector(c.STREAM_LOADINGS[stream]) * np.array([c.REGIME_LOADINGS[regime].get(k, 1.0) for k in c.FACTORS])
+
+
 def noise_class(stream: str) -> str:
     return next((k for k, v in c.STREAM_CLASSES.items() if stream in v), "other")
 
@@ -59,6 +66,56 @@ def state_transitions(x: np.ndarray) -> np.ndarray:
     return tpm / tpm.sum(axis=1, keepdims=True)
 
 
+def lengthened(tpm: np.ndarray, weeks: dict[int, int]) -> np.ndarray:
+    """Exits of a regime that has lasted so many weeks rise along a logistic ramp, in proportion, at the cost of its stay."""
+    out = tpm.copy()
+    for regime, targets, half, least, most, slope in c.DURATION_EXITS:
+        age, targets = weeks.get(regime, 0), list(targets)
+        total = least + (most - least) / (1 + np.exp(-slope * (age - half))) if age > 0 else least
+        now = out[regime, targets].sum()
+        if total > now > 0:
+            out[regime, targets] *= total / now
+            out[regime, regime] = max(out[regime, regime] - (total - now), c.LEAST_STAY)
+            out[regime] /= out[regime].sum()
+    return out
+
+
+def sticky(states: int, stay: float = 0.98) -> np.ndarray:
+    """Transitions that mostly stay, else go anywhere alike."""
+    out = np.full((states, states), (1 - stay) / max(states - 1, 1))
+    np.fill_diagonal(out, stay if states > 1 else 1.0)
+    return out
+
+
+def moved_stay(tpm: np.ndarray, change: float) -> np.ndarray:
+    """The chance to stay changed by so much; exits keep their proportions."""
+    stay = np.clip(np.diag(tpm) + change, 0.5, 0.999)
+    out = tpm * ((1 - stay) / np.maximum(1 - np.diag(tpm), 1e-12))[:, None]
+    np.fill_diagonal(out, stay)
+    return out
+
+
+@dataclass(frozen=True)
+class Branch:
+    """A regime hypothesis: prior (None: even), shift of the factors, and its own persistence (None: unchanged) and drift of some of them."""
+
+    name: str
+    shift: dict = field(default_factory=dict)
+    prior: float | None = None
+    overrides: tuple = ()  # (factor, persistence, drift)
+
+
+def branches_of(spec: list[dict]) -> list[Branch]:
+    """Branches from plain records: name, probability, state_adjustments, transition_overrides; names default to branch_id."""
+    return [
+        Branch(x.get("name") or x["branch_id"], dict(x.get("state_adjustments") or {}), x.get("probability"), tuple((o["factor"], o.get("persistence"), o.get("drift") or 0.0) for o in x.get("transition_overrides") or ()))
+        for x in spec
+    ]
+
+
+REGIME_BRANCHES = tuple(Branch(r, c.REGIME_ADJUSTMENTS[r]) for r in c.REGIMES)
+
+
 @dataclass(frozen=True)
 class Config:
     """One variant of the engine; variants are rows of a small table, crossed with the entities."""
@@ -76,6 +133,14 @@ class Config:
     regime_noise: bool = False
     cumulate: bool = False
     state_tpm: bool = False
+    duration_tpm: bool = False
+    shift_scale: float = 1.0
+    persistence_change: float = 0.0
+    stay_change: float = 0.0
+    mixing: bool = True  # off: branches move on their own, without a baseline
+    carry_prior: bool = False  # on: Bayes starts from the propagated probabilities
+    every_day: bool = False  # on: days without a known observation are predicted too
+    branches: tuple = REGIME_BRANCHES
     streams: dict = field(default_factory=lambda: c.STREAM_LOADINGS)
 
 
@@ -91,8 +156,10 @@ class Filter:
     @staticmethod
     def fresh(config: Config, shift: np.ndarray | None = None) -> Filter:
         persistence = blended_persistence() if config.blended else c.PERSISTENCE
+        if config.persistence_change:
+            persistence = {k: float(np.clip(v + config.persistence_change, 0.5, 0.999)) for k, v in persistence.items()}
         q = process_noise(persistence, config.shared_shocks) * config.q_scale
-        return Filter(transition(persistence), q, np.zeros(N) if shift is None else shift.copy(), np.eye(N))
+        return Filter(transition(persistence), q, np.zeros(N) if shift is None else shift.copy(), c.INITIAL_VARIANCE * np.eye(N))
 
     def predict(self, q_scale: float = 1.0) -> None:
         self.x = self.f @ self.x
@@ -111,29 +178,44 @@ class Filter:
 
 
 class Bank:
-    """Regime filters whose weights are the regimes' probabilities."""
+    """Branch filters whose weights are the branches' probabilities."""
 
-    def __init__(self, config: Config, shifts: list[np.ndarray] | None = None, tpm: tuple | None = None, floor: float = c.PROBABILITY_FLOOR, q_scales: tuple[float, ...] | None = None):
-        self.config, self.floor = config, floor
-        self.shifts = shifts or [vector(c.REGIME_ADJUSTMENTS[r]) for r in c.REGIMES]
+    def __init__(self, config: Config, branches: Iterable[Branch] | None = None, tpm: tuple | None = None, floor: float = c.PROBABILITY_FLOOR, q_scales: tuple[float, ...] | None = None):
+        self.config, self.floor, branches = config, floor, list(branches or config.branches)
+        self.shifts = [config.shift_scale * vector(b.shift) for b in branches]
         self.filters = [Filter.fresh(config, s) for s in self.shifts]
-        self.mu = np.full(len(self.shifts), 1 / len(self.shifts))
-        self.tpm = np.array(tpm or config.tpm)
-        self.q_scales = q_scales or (1.0,) * len(self.shifts)
+        self.drifts = [vector({f: d for f, _, d in b.overrides}) for b in branches]
+        for flt, b in zip(self.filters, branches):
+            for factor, persistence, _ in b.overrides:
+                if persistence is not None and factor in _INDEX:
+                    flt.f[_INDEX[factor], _INDEX[factor]] = persistence
+        prior = np.array([1 / len(branches) if b.prior is None else b.prior for b in branches], float)
+        self.mu = prior / prior.sum()
+        given = np.array(tpm or config.tpm)
+        self.tpm = given if len(given) == len(branches) else sticky(len(branches))
+        if config.stay_change:
+            self.tpm = moved_stay(self.tpm, config.stay_change)
+        self.base_tpm = self.tpm.copy()
+        self.q_scales = q_scales or (1.0,) * len(branches)
         self.n = 0
 
     def predict(self) -> None:
-        """Mixes the filters by their transition weights, then moves each one and pulls it towards its regime."""
-        flow = np.maximum(self.tpm.T @ self.mu, 1e-15)
-        share = self.tpm * self.mu[:, None] / flow
-        xs, ps = np.array([f.x for f in self.filters]), np.array([f.p for f in self.filters])
-        for j, flt in enumerate(self.filters):
-            flt.x = share[:, j] @ xs
-            apart = xs - flt.x
-            flt.p = np.einsum("i,ijk->jk", share[:, j], ps + apart[:, :, None] * apart[:, None, :])
-        for flt, shift, scale in zip(self.filters, self.shifts, self.q_scales):
+        """Mixes the filters by their transition weights, then moves each one and pulls it towards its branch."""
+        if self.config.mixing:
+            flow = np.maximum(self.tpm.T @ self.mu, 1e-15)
+            share = self.tpm * self.mu[:, None] / flow
+            xs, ps = np.array([f.x for f in self.filters]), np.array([f.p for f in self.filters])
+            for j, flt in enumerate(self.filters):
+                flt.x = share[:, j] @ xs
+                apart = xs - flt.x
+                flt.p = np.einsum("i,ijk->jk", share[:, j], ps + apart[:, :, None] * apart[:, None, :])
+            if self.config.carry_prior:
+                self.mu = flow / flow.sum()
+        for flt, shift, drift, scale in zip(self.filters, self.shifts, self.drifts, self.q_scales):
             flt.predict(scale)
-            flt.x = flt.x + self.config.pull * shift if shift.any() else flt.x * c.NEUTRAL_SHRINK
+            flt.x = flt.x + drift
+            if self.config.mixing:
+                flt.x = flt.x + self.config.pull * shift if shift.any() else flt.x * c.NEUTRAL_SHRINK
 
     def update(self, h: np.ndarray, r: float, value: float) -> None:
         """Tempered Bayes on the filters' likelihoods, probabilities kept within bounds."""
@@ -159,6 +241,8 @@ class Replay:
     def __init__(self, config: Config):
         self.config = config
         scales = tuple(c.REGIME_Q[r] for r in c.REGIMES) if config.regime_noise else None
+        self.streak = [-1, 0]  # the likeliest branch by week, and for how many weeks
+        self.records: list[tuple] | None = None  # of every update, where a list is put here
         self.base, self.bank = Filter.fresh(config), Bank(config, q_scales=scales)
         self.log_r: dict[str, float] = {}
         self.seen: dict[str, int] = {}
@@ -180,13 +264,28 @@ class Replay:
             r *= float(mu @ [c.REGIME_NOISE[k][noise_class(key)] for k in c.REGIMES])
         return r
 
-    def day(self, observed: list[tuple[str, float]]) -> None:
-        """One prediction for the day if anything known was observed, then the updates in order."""
-        known = [(k, v) for k, v in observed if k in self.config.streams and v == v]
-        if not known:
-            return
-        if self.config.state_tpm and self.step % 7 == 0:
+    def _weekly(self) -> None:
+        top = int(self.bank.mu.argmax())
+        self.streak = [top, self.streak[1] + 1 if top == self.streak[0] else 1]
+        if self.config.state_tpm:
             self.bank.tpm = state_transitions(self.base.x)
+        elif self.config.duration_tpm:
+            self.bank.tpm = lengthened(self.bank.base_tpm, {self.streak[0]: self.streak[1]})
+
+    def loadings(self, key: str) -> np.ndarray:
+        """Of a stream, or of a qualitative signal on one factor: '@' and its name."""
+        return vector({key[1:]: 1.0}) if key.startswith("@") else vector(self.config.streams[key])
+
+    def day(self, observed: list[tuple]) -> None:
+        """One prediction for the day if anything known was observed, then the updates in order.
+
+        Observations are (stream, value) or (stream, value, noise); a noise given replaces the stream's.
+        """
+        known = [x for x in observed if (x[0] in self.config.streams or x[0][1:] in _INDEX and x[0][0] == "@") and x[1] == x[1]]
+        if not known and not self.config.every_day:
+            return
+        if self.step % 7 == 0:
+            self._weekly()
         self.step += 1
         mu = self.bank.mu.copy()
         self.base.predict(float(mu @ [c.REGIME_Q[r] for r in c.REGIMES]) if self.config.regime_noise else 1.0)
@@ -196,10 +295,12 @@ class Replay:
                 total = self.sums.setdefault(key, [0.0, 0])
                 total[0] += float(vector(self.config.streams[key]) @ self.base.x)
                 total[1] += 1
-        for key, value in known:
-            h, r = vector(self.config.streams[key]), self.noise(key, mu)
+        for key, value, *given in known:
+            h = self.loadings(key)
+            r = given[0] if given and given[0] == given[0] and given[0] is not None else self.noise(key, mu)
+            before = self.base.x
             predicted = self.sums[key][0] / self.sums[key][1] if self.sums.get(key, (0, 0))[1] else float(h @ self.base.x)
-            gap, s, _ = self.base.update(h, r, value - predicted + float(h @ self.base.x))
+            gap, s, gain = self.base.update(h, r, value - predicted + float(h @ self.base.x))
             self.ll += -0.5 * (np.log(2 * np.pi * s) + gap * gap / s)
             self.anomalies += abs(gap) / np.sqrt(s) > c.ANOMALY_THRESHOLD
             if self.config.gas:
@@ -210,6 +311,30 @@ class Replay:
                 self.sums[key] = [0.0, 0]
             self.seen[key] = self.step
             self.n += 1
+            if self.records is not None:
+                self.records.append((self.step, self.n, key, value, predicted, gap, s, gap / float(np.sqrt(s)), gain.tolist(), before.tolist(), self.base.x.tolist(), self.bank.mu.tolist()))
+
+    def state(self) -> str:
+        """All that a later run needs to go on, as JSON; numbers come back exactly."""
+        own = {k: getattr(self, k) for k in ("step", "n", "ll", "anomalies", "log_r", "seen", "sums", "streak")}
+        bank = {"mu": self.bank.mu.tolist(), "n": self.bank.n, "tpm": self.bank.tpm.tolist(), "filters": [{"x": f.x.tolist(), "p": f.p.tolist()} for f in self.bank.filters]}
+        return json.dumps(own | {"ll": float(self.ll), "anomalies": int(self.anomalies), "x": self.base.x.tolist(), "p": self.base.p.tolist(), "bank": bank})
+
+    @staticmethod
+    def resumed(config: Config, state: str | None) -> Replay:
+        """An engine that goes on where the saved one stopped; without a state, a new one."""
+        engine = Replay(config)
+        if not state:
+            return engine
+        saved = json.loads(state)
+        for k in ("step", "n", "ll", "anomalies", "log_r", "seen", "sums", "streak"):
+            setattr(engine, k, saved.get(k, getattr(engine, k)))
+        engine.base.x, engine.base.p = np.array(saved["x"]), np.array(saved["p"])
+        bank = saved["bank"]
+        engine.bank.mu, engine.bank.n, engine.bank.tpm = np.array(bank["mu"]), bank["n"], np.array(bank["tpm"])
+        for flt, one in zip(engine.bank.filters, bank["filters"]):
+            flt.x, flt.p = np.array(one["x"]), np.array(one["p"])
+        return engine
 
     def row(self, entity: int, day: object) -> tuple:
         return entity, self.config.config_id, day, self.step, self.n, float(self.ll), int(self.anomalies), self.base.x.tolist(), self.bank.mu.tolist()
@@ -226,7 +351,8 @@ def nested(obs: DataFrame) -> DataFrame:
         config = Config()
         engine = Replay(config)
         shift = {r: vector(c.REGIME_ADJUSTMENTS[r]) for r in c.REGIMES}
-        banks = {r: Bank(config, [shift[r] + vector(d) for d in subs.values()], c.SUB_TRANSITIONS[r], c.SUB_FLOOR) for r, subs in c.SUB_REGIMES.items()}
+        both = lambda r, d: {k: c.REGIME_ADJUSTMENTS[r].get(k, 0.0) + d.get(k, 0.0) for k in c.FACTORS}
+        banks = {r: Bank(config, [Branch(k, both(r, d)) for k, d in subs.items()], c.SUB_TRANSITIONS[r], c.SUB_FLOOR) for r, subs in c.SUB_REGIMES.items()}
         shadows = {r: Filter.fresh(config, shift[r]) for r in c.REGIMES}
         pdf = pdf.sort_values(["day", "ord"], kind="stable")
         for _, part in pdf.groupby("day", sort=True):
@@ -252,25 +378,105 @@ def configs(rows: list[dict]) -> dict[str, Config]:
     return {r["config_id"]: replace(Config(), **r) for r in rows}
 
 
+def in_days(pdf: pd.DataFrame) -> Iterator[tuple[object, list[tuple]]]:
+    """(day, its observations in order) of one entity; a column r holds noises of their own."""
+    pdf = pdf.sort_values(["day", "ord"], kind="stable")
+    days = pdf["day"].to_numpy()
+    columns = [pdf["stream_key"].tolist(), pdf["z"].tolist()] + ([pdf["r"].tolist()] if "r" in pdf else [])
+    rows = list(zip(*columns))
+    cuts = [0, *(np.flatnonzero(days[1:] != days[:-1]) + 1).tolist(), len(rows)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield days[a], rows[a:b]
+
+
+def _observations(obs: DataFrame) -> DataFrame:
+    return obs.select("entity", "day", "ord", "stream_key", "z", *[x for x in ("r",) if x in obs.columns])
+
+
+def _columns(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def replay(obs: DataFrame, variants: dict[str, Config], every: int = 7) -> DataFrame:
-    """Runs every variant over every entity's (entity, day, ord, stream_key, z), a snapshot every so many steps and at the end.
+    """Runs every variant over every entity's (entity, day, ord, stream_key, z[, r]), a snapshot every so many steps and at the end.
 
-    Each (entity, variant) is a task's group; observations of a group are taken in the order of day and ord.
+    An entity is a task's group, sorted once for all variants; its observations are taken in the order of day and ord.
     """
-    spark = obs.sparkSession
-    names = spark.createDataFrame([(k,) for k in variants], "config_id string")  # a row for each variant
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        engine = Replay(variants[pdf["config_id"].iloc[0]])
-        pdf = pdf.sort_values(["day", "ord"], kind="stable")
-        entity, rows, day = int(pdf["entity"].iloc[0]), [], None
-        for day, part in pdf.groupby("day", sort=True):
-            engine.day(list(zip(part["stream_key"], part["z"])))
-            if engine.step and (engine.step - 1) % every == 0:
-                rows.append(engine.row(entity, day))
-        if engine.step and (not rows or rows[-1][3] != engine.step):
-            rows.append(engine.row(entity, day))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in STATE_SCHEMA.split(", ")])
-
-    crossed = obs.select("entity", "day", "ord", "stream_key", "z").crossJoin(F.broadcast(names))
-    return crossed.groupBy("entity", "config_id").applyInPandas(run, STATE_SCHEMA)
+        entity, days, rows = int(pdf["entity"].iloc[0]), list(in_days(pdf)), []
+        for config in variants.values():
+            engine, last = Replay(config), -1
+            for day, observed in days:
+                engine.day(observed)
+                if engine.step and (engine.step - 1) % every == 0 and engine.step != last:
+                    rows.append(engine.row(entity, day))
+                    last = engine.step
+            if engine.step and last != engine.step:
+                rows.append(engine.row(entity, days[-1][0]))
+        return pd.DataFrame(rows, columns=_columns(STATE_SCHEMA))
+
+    return _observations(obs).groupBy("entity").applyInPandas(run, STATE_SCHEMA)
+
+
+UPDATE_SCHEMA = "entity long, config_id string, day date, step int, n long, stream_key string, observed double, predicted double, innovation double, s double, z double, gain array<double>, before array<double>, after array<double>, probabilities array<double>"
+
+
+def updates(obs: DataFrame, variants: dict[str, Config]) -> DataFrame:
+    """A record of every measurement update: what was observed and predicted, the innovation with its variance, gain, state before and after, probabilities."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        entity, days, rows = int(pdf["entity"].iloc[0]), list(in_days(pdf)), []
+        for name, config in variants.items():
+            engine = Replay(config)
+            for day, observed in days:
+                engine.records = []
+                engine.day(observed)
+                rows += [(entity, name, day, *x) for x in engine.records]
+        return pd.DataFrame(rows, columns=_columns(UPDATE_SCHEMA))
+
+    return _observations(obs).groupBy("entity").applyInPandas(run, UPDATE_SCHEMA)
+
+
+CHECKPOINT_SCHEMA = "entity long, config_id string, step int, engine string"
+
+
+def checkpoints(obs: DataFrame, variants: dict[str, Config], saved: DataFrame | None = None) -> DataFrame:
+    """(entity, config_id, step, engine) at the end of obs; engines saved before go on from their states, others start anew.
+
+    Taking a table in parts, each from the checkpoints of the one before, ends where one run over all of it does.
+    """
+    saved = saved if saved is not None else obs.sparkSession.createDataFrame([], CHECKPOINT_SCHEMA)
+
+    def run(key: tuple, pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        old, rows, days = dict(zip(states["config_id"], states["engine"])), [], list(in_days(pdf))
+        for name, config in variants.items():
+            engine = Replay.resumed(config, old.get(name))
+            for _, observed in days:
+                engine.day(observed)
+            rows.append((int(key[0]), name, engine.step, engine.state()))
+        return pd.DataFrame(rows, columns=_columns(CHECKPOINT_SCHEMA))
+
+    return _observations(obs).groupBy("entity").cogroup(saved.groupBy("entity")).applyInPandas(run, CHECKPOINT_SCHEMA)
+
+
+def pseudo_observations(signals: DataFrame) -> DataFrame:
+    """Qualitative signals (entity, day, kind, factor, direction, magnitude, confidence, age_hours) as observations of single factors.
+
+    The value is direction, size and confidence multiplied, the noise doubles with every half-life of age.  Signals older
+    than five half-lives are left out.
+    """
+    size = lambda i: F.create_map(*[x for k, v in c.SIGNAL_SIZES.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("magnitude")]
+    half_life = F.create_map(*[x for k, v in c.SIGNAL_HALF_LIVES.items() for x in (F.lit(k), F.lit(24.0 * v))])[F.col("kind")]
+    rows = signals.withColumn("ages", F.col("age_hours") / half_life).where("ages <= 5")
+    return rows.select("entity", "day", F.lit(1_000).alias("ord"), F.concat(F.lit("@"), "factor").alias("stream_key"), (F.col("direction") * size(1) * F.col("confidence")).alias("z"), (size(0) * F.pow(F.lit(2.0), F.col("ages"))).alias("r"))
+
+
+#: The perturbations of the sensitivity sweep: shifts, persistence, noise and chance to stay.
+SWEEP = [
+    *[{"config_id": f"shift_x{k}", "shift_scale": k} for k in (0.5, 0.7, 1.0, 1.5, 2.0)],
+    {"config_id": "persistence_-0.03", "persistence_change": -0.03}, {"config_id": "persistence_+0.03", "persistence_change": 0.03},
+    *[{"config_id": f"noise_x{k}", "r_scale": k} for k in (0.5, 1.5, 2.0)],
+    {"config_id": "stay_-0.02", "stay_change": -0.02}, {"config_id": "stay_+0.02", "stay_change": 0.02},
+]

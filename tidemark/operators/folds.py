@@ -17,9 +17,28 @@ def series(df: DataFrame, keys: list[str], order: list[str], *values: str) -> Da
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("obs"))
 
 
+#: Observations of a series that one inner fold takes; only its own results are copied as they grow.
+CHUNK = 128
+
+
 def scanned(obs: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """The state after every observation, by one aggregate() that appends to an array; the first entry is the start."""
-    return F.slice(F.aggregate(obs, F.array(start), lambda acc, o: F.concat(acc, F.array(step(F.element_at(acc, -1), o)))), 2, F.size(obs))
+    """The state after every observation: an aggregate() over chunks, each of which appends its states one by one.
+
+    The work grows with the series, not with its square.  A whole series is one row of one task: that is the limit.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(obs) - 1) / CHUNK).cast("int")), lambda i: F.slice(obs, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def chunk_states(done: Column, chunk: Column) -> Column:
+        before = F.element_at(F.element_at(done, -1), -1)
+        states = F.aggregate(chunk, F.array(before), lambda acc, o: F.concat(acc, F.array(step(F.element_at(acc, -1), o))))
+        return F.concat(done, F.array(F.slice(states, F.lit(2), F.lit(CHUNK))))
+
+    return F.slice(F.flatten(F.aggregate(chunks, F.array(F.array(start)), chunk_states)), F.lit(2), F.size(obs))
+
+
+def final(obs: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The state after the last observation."""
+    return F.aggregate(obs, start, step)
 
 
 def normalised(df: DataFrame, keys: list[str], order: list[str], x: str, a: float, mean: float, var: float, floor: float = 0.01, rolling: bool = False) -> DataFrame:
@@ -54,15 +73,20 @@ def novel(df: DataFrame, keys: list[str], order: list[str], x: str, least: float
     return rows.select(*keys, *[F.col(f"r.obs.{c}").alias(c) for c in [*order, x]])
 
 
-def cooled(df: DataFrame, keys: list[str], order: list[str], seconds: int) -> DataFrame:
-    """Events at least so long after the last event that was let through; a suppressed event does not restart the clock."""
+def cooled(df: DataFrame, keys: list[str], order: list[str], seconds: int | Column) -> DataFrame:
+    """Events at least so long after the last event of the same keys that was let through; a suppressed one does not restart the clock.
+
+    `seconds` may be a column that is constant for the keys, such as the cooldown of a trigger's type.
+    """
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(False).alias("ok"))
+    wait = seconds if isinstance(seconds, Column) else F.lit(seconds)
 
     def step(s: Column, o: Column) -> Column:
-        ok = F.coalesce(o["at"] - s["last"] >= seconds * 1_000_000, F.lit(True))
+        ok = F.coalesce(o["at"] - s["last"] >= o["wait"], F.lit(True))
         return F.struct(F.when(ok, o["at"]).otherwise(s["last"]).alias("last"), ok.alias("ok"))
 
-    rows = series(df.withColumn("at", F.unix_micros(F.col(order[0]).cast("timestamp"))), keys, order, "at").withColumn("state", scanned(F.col("obs"), start, step))
+    timed = df.withColumns({"at": F.unix_micros(F.col(order[0]).cast("timestamp")), "wait": (wait.cast("double") * 1_000_000).cast("long")})
+    rows = series(timed, keys, order, "at", "wait").withColumn("state", scanned(F.col("obs"), start, step))
     rows = rows.select(*keys, F.explode(F.arrays_zip("obs", "state")).alias("r")).where("r.state.ok")
     return rows.select(*keys, *[F.col(f"r.obs.{c}").alias(c) for c in order])
 
@@ -75,5 +99,5 @@ def gas_noise(df: DataFrame, keys: list[str], order: list[str], ratio: str, log_
         r = (1 - beta) * log_r0 + beta * s["r"] + a * (F.least(o[ratio], F.lit(most)) - 1)
         return F.struct(F.least(F.greatest(r, F.lit(low)), F.lit(high)).alias("r"))
 
-    rows = series(df, keys, order, ratio).withColumn("state", scanned(F.col("obs"), start, step))
-    return rows.select(*keys, F.size("obs").alias("n"), F.element_at("state", -1)["r"].alias("log_r"))
+    rows = series(df, keys, order, ratio).withColumn("state", final(F.col("obs"), start, step))
+    return rows.select(*keys, F.size("obs").alias("n"), F.col("state.r").alias("log_r"))

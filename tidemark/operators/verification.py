@@ -117,3 +117,25 @@ def berkowitz(df: DataFrame, keys: list[str], order: str, z: str, span: int = 1
     rss = F.expr("zz - 2 * mu * sz + n * mu * mu - 2 * rho * cov + rho * rho * var_b")
     lr = F.greatest(F.col("zz") - rss / (F.col("sigma") * F.col("sigma")) - 2 * F.col("n") * F.ln("sigma"), F.lit(0.0))
     return g.select(*keys, "n", "rho", "sigma", lr.alias("lr"))
+
+
+def pit_histogram(df: DataFrame, keys: list[str], pit: Column, bins: int = 10) -> DataFrame:
+    """(keys, n, bins, chi_squared): counts of probability integral transforms against uniform; `bins` is how many have any."""
+    h = df.groupBy(*keys, bin_of(pit, bins).alias("__bin")).agg(F.count(F.lit(1)).alias("__k"))
+    e = F.sum("__k") / bins
+    return h.groupBy(*keys).agg(F.sum("__k").alias("n"), F.count(F.lit(1)).alias("bins"), (F.sum(F.col("__k") * F.col("__k")) / e - F.sum("__k")).alias("chi_squared"))
+
+
+def segmented_whiteness(df: DataFrame, keys: list[str], segment: str, order: list[str], x: str, lags: int = 10, least: int = 20) -> DataFrame:
+    """Ljung-Box of each segment of a series, segments of more than `least` values only."""
+    return ljung_box(df, [*keys, segment], order, x, lags).where(F.col("n") > least)
+
+
+def suite(df: DataFrame, bins: int = 10) -> DataFrame:
+    """(regime, metric, value) of forecasts (regime, p, outcome): Brier parts, bias-corrected parts, AUC and best threshold."""
+    parts = [(murphy(df, ["regime"], bins), ["brier", "reliability", "resolution", "uncertainty", "skill"], ""), (bias_corrected(df, ["regime"], bins), ["reliability", "resolution"], "corrected_"), (auc(df, ["regime"], 200), ["auc", "best"], "")]
+    out = None
+    for frame, names, prefix in parts:
+        rows = frame.select("regime", *[F.col(n).cast("double").alias(prefix + n) for n in names]).unpivot(["regime"], [prefix + n for n in names], "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out

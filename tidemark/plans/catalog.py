@@ -1,7 +1,7 @@
 """All queries of the library, by importing the modules that register them."""
 
-from tidemark.plans import events, prepare, state, verify
+from tidemark.plans import engine, events, prepare, state, verify
 from tidemark.plans.registry import ORACLES, QUERIES
 
-MODULES = (prepare, verify, state, events)
+MODULES = (prepare, verify, state, events, engine)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants, distributions
-from tidemark.operators import estimation, folds, joins, verification, windows
+from tidemark.operators import estimation, folds, joins, triggers, verification, windows
 from tidemark.plans.registry import query
 from tidemark.plans.verify import _INNOVATIONS, _innovations
 from tidemark.sources import tables
@@ -29,7 +29,7 @@ def _triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("e1_a34_triggers", _INNOVATIONS + f", {_ACTIONS_SQL}, t AS (SELECT *, {_KIND} AS kind FROM z) SELECT kind, action, priority, stream_key, count(*) AS n, max(seq) AS last_seq FROM t JOIN actions USING (kind) GROUP BY 1, 2, 3, 4")
-def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trigger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triggers by kind with their default actions, counted by stream."""
     actions = spark.createDataFrame(ACTIONS, "kind string, action string, priority int")
     t = _triggers(spark, sf_dir).join(F.broadcast(actions), "kind")
@@ -90,8 +90,7 @@ def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = tables.snapshots_long(spark, sf_dir)
     a, b = long.select("day", F.col("regime").alias("first"), F.col("p").alias("p1")), long.select("day", F.col("regime").alias("second"), F.col("p").alias("p2"))
     pairs = a.join(b, "day").where("first < second")
-    runs = windows.islands(pairs, ["first", "second"], ["day"], F.abs(F.col("p1") - F.col("p2")) < 0.15).where("flag")
-    return runs.groupBy("first", "second", "run").agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("run")
+    return triggers.convergence(pairs, ["first", "second"], ["day"], F.col("p1") - F.col("p2"), near=0.15, length=2).select("first", "second", "first_day", "n")
 
 
 _TRUTH = ", t AS (SELECT s.*, coalesce(w.label, 'none') AS label FROM snap s LEFT JOIN windows w ON s.day BETWEEN w.w_start AND w.w_end)"
@@ -109,12 +108,6 @@ def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.snapshots_long(spark, sf_dir).groupBy("regime").agg(F.round(F.avg((F.abs(F.col("p") - 0.333) < 0.25).cast("double")), 6).alias("matched"), F.count(F.lit(1)).alias("n"))
 
 
-@query("a28_segmented_whiteness")
-def segmented_whiteness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ljung-Box by entity and stream, segments of more than 20 innovations."""
-    return verification.ljung_box(_innovations(spark, sf_dir), ["entity", "stream_key"], ["ts", "seq"], "z", 3).where("n > 5")
-
-
 @query(
     "a32_era_persistence",
     with_ctes("long", "windows") + ", t AS (SELECT w.w_start, l.regime, l.p, lag(l.p) OVER (PARTITION BY w.w_start, l.regime ORDER BY l.day) AS b FROM long l JOIN windows w ON l.day BETWEEN w.w_start AND w.w_end) SELECT w_start, round(corr(CASE WHEN regime = 'expansion' THEN p END, CASE WHEN regime = 'expansion' THEN b END), 6) AS expansion, round(corr(CASE WHEN regime = 'contraction' THEN p END, CASE WHEN regime = 'contraction' THEN b END), 6) AS contraction FROM t WHERE b IS NOT NULL GROUP BY 1",
@@ -167,7 +160,7 @@ def sticky_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct((s["k"] + 1).alias("k"), *[F.when(first, third).otherwise(x / total).alias(n) for x, n in zip(e, "abc")])
 
     rows = folds.series(tables.snapshots(spark, sf_dir).withColumn("year", F.year("day")), ["year"], ["day"], "expansion", "stagflation", "contraction")
-    rows = rows.withColumn("s", F.element_at(folds.scanned(F.col("obs"), start, step), -1))
+    rows = rows.withColumn("s", folds.final(F.col("obs"), start, step))
     return rows.select(F.col("year").cast("long").alias("year"), F.col("s.k").cast("long").alias("n"), F.round("s.a", 6).alias("expansion"), F.round("s.b", 6).alias("stagflation"), F.round("s.c", 6).alias("contraction"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, windows
+from tidemark.operators import joins, triggers, windows
 from tidemark.plans.registry import query
 from tidemark.sources import tables
 from tidemark.sources.tables import with_ctes
@@ -247,9 +247,8 @@ _STREAK = "g AS (SELECT *, sum(CASE WHEN flag = b THEN 0 ELSE 1 END) OVER (PARTI
 
 @query("w18_extinction", with_ctes("long") + f", f AS (SELECT day, regime, p < 0.2 AS flag FROM long), {_STREAK} SELECT regime, min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM g WHERE flag GROUP BY regime, run HAVING count(*) >= 3")
 def extinction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of at least three snapshots of a probability under the bound."""
-    runs = windows.islands(tables.snapshots_long(spark, sf_dir), ["regime"], ["day"], F.col("p") < 0.2).where("flag")
-    return runs.groupBy("regime", "run").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("run")
+    """Runs of at least three snapshots of a probability under a fifth."""
+    return triggers.extinction(tables.snapshots_long(spark, sf_dir), ["regime"], ["day"], bound=0.2, length=3).drop("flag")
 
 
 @query(
@@ -257,9 +256,8 @@ def extinction(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_ctes("long") + f", m AS (SELECT day, regime, p - lag(p) OVER (PARTITION BY regime ORDER BY day) AS d FROM long), f AS (SELECT day, regime, CASE WHEN d > 0.001 THEN 1 WHEN d < -0.001 THEN -1 ELSE 0 END AS flag FROM m WHERE d IS NOT NULL), {_STREAK} SELECT regime, flag AS direction, min(day) AS first_day, count(*) AS n FROM g WHERE flag <> 0 GROUP BY regime, run, flag HAVING count(*) >= 3",
 )
 def sustained_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = tables.snapshots_long(spark, sf_dir).withColumn("d", windows.difference(F.col("p"), windows.along(["regime"], ["day"]))).where("d is not null")
-    runs = windows.islands(moves, ["regime"], ["day"], F.when(F.col("d") > 0.001, 1).when(F.col("d") < -0.001, -1).otherwise(0))
-    return runs.where("flag <> 0").groupBy("regime", "run", F.col("flag").alias("direction")).agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("run")
+    """Runs of at least three moves in one direction."""
+    return triggers.sustained_drift(tables.snapshots_long(spark, sf_dir), ["regime"], ["day"], length=3).select("regime", F.col("flag").alias("direction"), "first_day", "n")
 
 
 _ARGMAX = "CASE WHEN expansion >= stagflation AND expansion >= contraction THEN 'expansion' WHEN stagflation >= contraction THEN 'stagflation' ELSE 'contraction' END"

@@ -184,6 +184,8 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"config_id": "no_pull", "pull": 0.0}, {"config_id": "ceiling_1", "ceiling": 1.0}, {"config_id": "gas", "gas": True}, {"config_id": "gap", "gap": True},
         {"config_id": "blended", "blended": True}, {"config_id": "shared_shocks", "shared_shocks": True}, {"config_id": "regime_noise", "regime_noise": True}, {"config_id": "cumulate", "cumulate": True},
         {"config_id": "full", "regime_noise": True, "state_tpm": True, "cumulate": True, "gas": True, "shared_shocks": True},
+        {"config_id": "duration", "duration_tpm": True}, {"config_id": "no_mixing", "mixing": False}, {"config_id": "carry_prior", "carry_prior": True},
+        *filters.SWEEP,
     ])
     last = filters.replay(_daily_z(spark, sf_dir), variants, every=1_000_000).groupBy("entity", "config_id").agg(F.max_by("log_likelihood", "step").alias("ll"), F.max("anomalies").alias("anomalies"))
     best = Window.partitionBy("entity").orderBy(F.desc("ll"), "config_id")
@@ -219,4 +221,4 @@ def online_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.folder(spark, "daily-z")
     _daily_z(spark, sf_dir).repartitionByRange(3, "day").write.parquet(path)
     stream = online.online_replay(online.files(spark, path, online.INPUT_SCHEMA), filters.Config())
-    return online.run_to_end(spark, stream, "online-replay")
+    return online.states(online.run_to_end(spark, stream, "online-replay"))

@@ -263,8 +263,8 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(c, "scenario").where("baseline < candidate").select("scenario", "baseline", "candidate", rule.alias("verdict"))
 
 
-@query("a10_pit_histogram", with_ctes("fc") + f", h AS (SELECT scenario, {_BIN} AS bin, count(*) AS n FROM fc GROUP BY 1, 2) SELECT scenario, round(sum((n - t / 10.0) * (n - t / 10.0) / (t / 10.0)), 4) AS chi_squared, count(*) AS bins FROM (SELECT *, sum(n) OVER (PARTITION BY scenario) AS t FROM h) GROUP BY 1")
+@query("a10_pit_histogram", with_ctes("fc") + f", h AS (SELECT scenario, {_BIN} AS bin, count(*) AS n FROM fc GROUP BY 1, 2) SELECT scenario, round(sum((n - t / 10.0) * (n - t / 10.0) / (t / 10.0)) + (10 - count(*)) * max(t) / 10.0, 4) AS chi_squared, count(*) AS bins FROM (SELECT *, sum(n) OVER (PARTITION BY scenario) AS t FROM h) GROUP BY 1")
 def pit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = tables.forecasts(spark, sf_dir).groupBy("scenario", verification.bin_of(F.col("p"), 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    h = h.withColumn("e", F.sum("n").over(Window.partitionBy("scenario")) / 10.0)
-    return h.groupBy("scenario").agg(F.round(F.sum(F.pow(F.col("n") - F.col("e"), 2) / F.col("e")), 4).alias("chi_squared"), F.count(F.lit(1)).alias("bins"))
+    """Chi-squared of ten bins against uniform; a bin without values adds the expected count."""
+    h = verification.pit_histogram(tables.forecasts(spark, sf_dir), ["scenario"], F.col("p"))
+    return h.select("scenario", F.round("chi_squared", 4).alias("chi_squared"), "bins")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,26 +13,40 @@ from tidemark.operators.filters import STATE_SCHEMA, Config, Replay
 from tidemark.sources import shared
 
 INPUT_SCHEMA = "entity long, day date, ord int, stream_key string, z double"
-_COLUMNS = [x.split()[0] for x in STATE_SCHEMA.split(", ")]
+ONLINE_SCHEMA = STATE_SCHEMA + ", late long"
+_COLUMNS = [x.split()[0] for x in ONLINE_SCHEMA.split(", ")]
 
 
 def online_replay(stream: DataFrame, config: Config) -> DataFrame:
-    """A row for each entity and day as it is taken in. Days go in order within a micro-batch; a row for a day already passed is late and left out."""
+    """A row for each entity and day as it is taken in, `late` 0; for days already passed a row that only counts the late observations.
+
+    Days go in order within a micro-batch.  Late observations never move a state; `states` and `late_rows` tell the two apart.
+    """
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        engine, last = pickle.loads(state.get[0]) if state.exists else (Replay(config), None)
-        pdf = pd.concat(list(parts)).sort_values(["day", "ord"], kind="stable")
-        rows = []
-        for day, part in pdf.groupby("day", sort=True):
-            if last is not None and day <= last:
+        saved, last = state.get if state.exists else (None, None)
+        engine, rows = Replay.resumed(config, saved), []
+        pdf = pd.concat(list(parts))
+        for day, part in pdf.sort_values(["day", "ord"], kind="stable").groupby("day", sort=True):
+            if last is not None and str(day) <= last:
+                rows.append((int(key[0]), config.config_id, day, None, None, None, None, None, None, len(part)))
                 continue
             engine.day(list(zip(part["stream_key"], part["z"])))
-            last = day
-            rows.append(engine.row(int(key[0]), day))
-        state.update((pickle.dumps((engine, last)),))
+            last = str(day)
+            rows.append((*engine.row(int(key[0]), day), 0))
+        state.update((engine.state(), last))
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return stream.groupBy("entity").applyInPandasWithState(advance, STATE_SCHEMA, "engine binary", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("entity").applyInPandasWithState(advance, ONLINE_SCHEMA, "engine string, day string", "append", GroupStateTimeout.NoTimeout)
+
+
+def states(out: DataFrame) -> DataFrame:
+    return out.where("late = 0").drop("late")
+
+
+def late_rows(out: DataFrame) -> DataFrame:
+    """(entity, day, late): observations that came after their day had passed."""
+    return out.where("late > 0").select("entity", "day", "late")
 
 
 def windowed(stream: DataFrame, late: str, size: str) -> DataFrame:
