@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import map_columns
+from tidemark.llm.storage import written
 from tidemark.llm.tokens import Words, blocks, mix, segment_hashes
 
 WIDTH = 8
@@ -133,6 +134,8 @@ class Item:
     item_id: int
     windows: list[int]  # how many in each form
     fillers: list[list[str | None]]  # of its tokens in each form; None: literal
+    leads: int  # the first item of the same template, itself or another
+    alike: int = 1  # how many items have it
 
 
 @dataclass
@@ -158,22 +161,33 @@ def _fillers(words: Words, template: Stream, at: range, end: int) -> list[str |
     return out
 
 
+def _pattern(fillers: list[str | None]) -> tuple[int, ...]:
+    """Where each filler stands first: items of one pattern agree with the same texts, whatever their fillers are."""
+    first: dict[str, int] = {}
+    return tuple(-1 if x is None else first.setdefault(x, i) for i, x in enumerate(fillers))
+
+
 def benchmark_of(rows: list[tuple[int, str]]) -> Benchmark:
-    """The windows of these items in both forms."""
+    """The windows of these items in all forms; items of one template share its windows, so a templated benchmark is no larger for its copies."""
     items: list[Item] = []
+    templates: dict[tuple, int] = {}
     found: dict[tuple[int, int], list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
     for item_id, text in rows:
         for _, _, words in blocks(pa.array([text])):
             forms = streams(words)
             counts = []
+            fillers = [_fillers(words, stream, range(len(stream.hashes)), int(words.first[-1])) for stream in forms]
+            template = tuple(x for stream, own in zip(forms[1:], fillers[1:]) for x in (stream.hashes.tobytes(), _pattern(own)))
+            lead = templates.setdefault(template, len(items))
+            if lead < len(items):
+                items[lead].alike += 1
             for f, stream in enumerate(forms):
                 width = min(WIDTH, int(stream.first[-1]))
                 hashes, _, position = stream.windows(width) if width >= LEAST_WIDTH else (np.zeros(0, np.uint64), None, np.zeros(0, np.int64))
                 counts.append(len(hashes))
-                if len(hashes):
+                if len(hashes) and (f == 0 or lead == len(items)):
                     found[f, width].append((hashes, len(items), position))
-            fillers = [_fillers(words, stream, range(len(stream.hashes)), int(words.first[-1])) for stream in forms]
-            items.append(Item(item_id, counts, fillers))
+            items.append(Item(item_id, counts, fillers, lead))
     tables = {}
     for key, parts in found.items():
         hashes = np.concatenate([h for h, _, _ in parts])
@@ -253,8 +267,11 @@ def _chains(pieces: list[Piece], size: int) -> Iterator[tuple[int, int, int, int
         yield (*top[:4], b.text + b.length)
 
 
-def matches(words: Words, bench: Benchmark) -> list[tuple[int, int, int, float, bool, int, int]]:
-    """(text, item_id, windows met, cover, literal, from word, to word) of each item that a text of the block holds."""
+def matches(words: Words, bench: Benchmark) -> list[tuple[int, int, int, float, bool, int, int, int]]:
+    """(text, item_id, windows met, cover, literal, from word, to word, items alike) of what a text of the block holds.
+
+    Of the items of one template those held whole, word for word, each count; without such the best met alone does.
+    """
     forms = streams(words)
     best: dict[tuple[int, int], tuple] = {}
     for (form, width), (hashes, owner, place) in bench.tables.items():
@@ -276,25 +293,39 @@ def matches(words: Words, bench: Benchmark) -> list[tuple[int, int, int, float,
                     continue
                 if (t, o) not in best or cover > best[t, o][3]:
                     base, at = int(words.first[t]), int(stream.first[t])
-                    best[t, o] = (t, item.item_id, n, cover, form == 0, int(stream.word[at + a]) - base, int(stream.word[at + b - 1]) + 1 - base)
-    return [best[k] for k in sorted(best)]
+                    best[t, o] = (t, item.item_id, n, cover, form == 0, int(stream.word[at + a]) - base, int(stream.word[at + b - 1]) + 1 - base, 1 if form == 0 else item.alike)
+    classes: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for t, o in sorted(best):
+        classes[t, bench.items[o].leads].append((t, o))
+    kept = []
+    for own in classes.values():
+        whole = [k for k in own if best[k][4] and best[k][3] >= 1]
+        kept += whole or [max(own, key=lambda k: (best[k][3], best[k][4], -k[1]))]
+    return [best[k] for k in sorted(kept)]
 
 
-_MATCHES = "doc_id long, item_id long, n_windows long, cover double, literal boolean, from_word long, to_word long"
+_MATCHES = "doc_id long, item_id long, n_windows long, cover double, literal boolean, from_word long, to_word long, n_alike long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, cover, literal, from_word, to_word): each item that a document's whole text holds.
+    """(doc_id, item_id, n_windows, cover, literal, from_word, to_word, n_alike): what a document's whole text holds.
+
+    Items of one template give a row for each that is held whole, word for word, else one row for the best met; n_alike is
+    1 in literal form, else how many items have the template, which then stands under its first item_id.
 
     cover is the share of the item's windows met in one chain, small where a quoted stretch alone counts;
     literal tells that they were met word for word; from_word and to_word bound what was met.
     Null texts and items hold nothing, and items of fewer than four tokens can't be told from ordinary text.  Rows of
     equal doc_id are told of together, null doc_ids as null; items of equal item_id are one row.  Empty tables give no rows.
     """
-    found = [_against(docs, block) for block in benchmark_blocks(benchmark)]
-    if not found:
+    done, now = [], None
+    for block in benchmark_blocks(benchmark):
+        if now is not None:  # written before the next but one block is read: the driver never holds more than two
+            done.append(written(now, "matches"))
+        now = _against(docs, block)
+    if now is None:
         return docs.sparkSession.createDataFrame([], _MATCHES)
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [*done, now])
 
 
 def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
@@ -307,8 +338,8 @@ def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
                 if rows:
                     ids = batch.column("doc_id").take(pa.array([lo + r[0] for r in rows]))
                     columns = list(zip(*rows))[1:]
-                    types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, types)]], names=["doc_id", "item_id", "n_windows", "cover", "literal", "from_word", "to_word"])
+                    types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, types)]], names=["doc_id", "item_id", "n_windows", "cover", "literal", "from_word", "to_word", "n_alike"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _MATCHES)
 
