@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.frames import field, kept_columns
+from tidemark.llm.frames import field, kept_columns, slices
 from tidemark.llm.storage import written
 from tidemark.llm.tokens import string_buffers
 
@@ -118,7 +118,7 @@ def character_logs(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             total += np.bincount(string_buffers(batch.column("text"))[0], minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
@@ -139,7 +139,7 @@ def scan(docs: DataFrame, text_log: np.ndarray) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in keep] + [field("base", f"array<{_SPAN}>"), field("maybe", "array<struct<start:int,end:int,class:int,bin:int>>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             bases, maybes = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text or "")
