@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import field, kept_columns, order_id
-from tidemark.llm.homes import home_column, home_of, parts
+from tidemark.llm.homes import HOMES_OF_TASK, home_column, home_of, parts
 from tidemark.llm.storage import partitions, text_bytes
 from tidemark.llm.tokens import blocks, mix, pack, unpack, words_of
 
@@ -109,7 +109,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     homes = max(2 * partitions(spark), n_bytes // BUCKET_BYTES)
     told_apart = docs.select(F.count_distinct("doc_id").alias("n")).first()["n"] < n_rows
     packed = window_rows(docs, width, buckets, homes, told_apart).withColumn("salt", F.when(F.col("kind") == 1, F.xxhash64("payload")).otherwise(0))
-    found = packed.groupBy("kind", "place", "salt").applyInArrow(lambda key, table: _repeats(key[:2], table, homes), _PACKED)
+    tasks = max(partitions(spark), buckets // HOMES_OF_TASK)
+    found = packed.repartition(tasks, "kind", "place", "salt").groupBy("kind", "place", "salt").applyInArrow(lambda key, table: _repeats(key[:2], table, homes), _PACKED)
 
     added = {"text": "string", "n_words": "long", "n_removed": "long", "intervals": "array<struct<start:long,end:long>>"}
     keep = kept_columns(docs, list(added))
@@ -144,4 +145,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         new = {"text": pa.array(texts, pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "intervals": pa.array(intervals, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
         return pa.table([own.column(c) for c in keep] + [new[c] for c in added], names=keep + list(added))
 
-    return placed.groupBy("__home").cogroup(found.groupBy("place")).applyInArrow(rebuild, schema)
+    return placed.repartition(tasks, "__home").groupBy("__home").cogroup(found.repartition(tasks, "place").groupBy("place")).applyInArrow(rebuild, schema)
