@@ -116,4 +116,5 @@ class Layouts:
         if self.chance(0.3):
             body = self.wrap(body + (self.comments() if self.chance(0.3) else "") + (self.sidebar() if self.chance(0.3) else ""), ("main", "div", "div"), ("main", "wrapper", "container", "page", "layout"), 0.3)
         some = lambda p, f: f() if self.chance(p) else ""
-        return "<html><head><title>x</title></head><body>" + some(0.5, self.header) + some(0.7, self.menu) + some(0.15, self.unseen) + some(0.3, self.notice) + some(0.5, self.advert) + some(0.3, self.sidebar) + body + some(0.3, self.share) + some(0.4, self.comments) + some(0.4, self.sidebar) + some(0.2, self.form) + some(0.2, self.advert) + some(0.8, self.footer) + "</body></html>"
+        start = self.one(*["<html><head><title>x</title></head><body>"] * 5, "<html><head><title>x</title><link rel=x>", "<title>x</title>")
+        return start + some(0.5, self.header) + some(0.7, self.menu) + some(0.15, self.unseen) + some(0.3, self.notice) + some(0.5, self.advert) + some(0.3, self.sidebar) + body + some(0.3, self.share) + some(0.4, self.comments) + some(0.4, self.sidebar) + some(0.2, self.form) + some(0.2, self.advert) + some(0.8, self.footer) + "</body></html>"
