@@ -216,6 +216,13 @@ def test_mixing_awkward_rows(awkward, empty):
     assert mixing.mix(empty).documents.count() == 0
 
 
+def test_mixing_without_any_word(spark):
+    rows = [(1, None, "en", "a", 0), (2, " \n ", "en", None, 3), (3, "", "en", "b", 0)]
+    mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixed.documents.collect()) == [(i, 0, 0, 0.0, 0) for i in (1, 2, 3)]
+    assert mixed.pieces.count() == 0
+
+
 def test_schedule_is_even(spark):
     sources = spark.createDataFrame([(0, 0.0, 0.5, 1.0), (1, 0.5, 0.75, 1.0), (2, 0.75, 1.0, 1.0)], "sid int, low double, high double, target double")
     rows = mixing.schedule(sources, 1000, 128).collect()
@@ -226,18 +233,58 @@ def test_schedule_is_even(spark):
         assert all(abs((k + 1) - share * (slot + 1)) < 4 for k, (slot, _) in enumerate(own))
 
 
-def test_fingerprints_match_brute_force(docs, texts):
+def brute_vector(text, hashes):
+    """(number of paragraphs, sums of both halves and of all 64 bits of both hashes)."""
+    pieces = [x for x in re.split(r"\n|(?<=[.!?]) ", text) if x]
+    out = [len(pieces)]
+    for k in range(2):
+        h = [hashes[k, x] & (1 << 64) - 1 for x in pieces]
+        out += [sum(x & 0xFFFFFFFF for x in h), sum(x >> 32 for x in h)] + [(sum(x >> i & 1 for x in h), sum(x >> (i + 32) & 1 for x in h)) for i in range(32)]
+    return out
+
+
+def brute_print(v):
+    wide = "".join(f"{x % (1 << 32):08x}" for x in v if isinstance(x, int))
+    return wide + "".join(f"{hi % (1 << 16):08x}{lo % (1 << 16):08x}" for lo, hi in (x for x in v if isinstance(x, tuple)))
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    signs = lambda v: np.array([2 * y - v[0] for x in v if isinstance(x, tuple) for y in x], float)
+    x, y = signs(a), signs(b)
+    norm = np.sqrt((x @ x) * (y @ y))
+    return float(min(1.0, max(0.0, x @ y / norm))) if norm > 0 else 0.0
+
+
+def test_fingerprints_match_brute_force(spark, docs, texts):
+    from pyspark.sql import functions as F
+
     rows = {r.doc_id: r for r in fingerprint.edit_report(docs).collect()}
     order = sorted(texts, reverse=True)
+    edits = {}
     for k, i in enumerate(order):
-        t, nxt = texts[i], texts[order[(k + 1) % len(order)]]
+        t, following = texts[i], texts[order[(k + 1) % len(order)]]
         cut = len(t) // 3
-        edited = t[: len(t) - cut] + nxt[:cut]
-        assert rows[i].n_chars == len(t)
+        edits[i] = (t[: len(t) - cut] + following[:cut], following)
+    pieces = {x for t in [*texts.values(), *[e for e, _ in edits.values()]] for x in re.split(r"\n|(?<=[.!?]) ", t) if x}
+    table = spark.createDataFrame([(x,) for x in pieces], "x string").select("x", *[F.xxhash64(F.lit(k), "x").alias(f"h{k}") for k in range(2)])
+    hashes = {(k, r.x): r[f"h{k}"] for r in table.collect() for k in range(2)}
+    for i, (edited, following) in edits.items():
+        own, new, after = (brute_vector(x, hashes) for x in (texts[i], edited, following))
+        assert rows[i].n_chars == len(texts[i])
         assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= rows[i].near_next <= 1 and 0 <= rows[i].near_edited <= 1
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (brute_print(own), brute_print(new))
+        assert rows[i].near_edited == pytest.approx(brute_likeness(own, new)) and rows[i].near_next == pytest.approx(brute_likeness(own, after))
     assert rows[500].fingerprint == rows[21].fingerprint != rows[501].fingerprint
-    assert np.mean([r.near_edited for r in rows.values()]) > np.mean([r.near_next for r in rows.values()]) + 0.3
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    rows = [(7, "One. Two."), (7, "One. Two."), (7, "Other text here."), (None, "Last one."), (3, None)]
+    got = fingerprint.edit_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in got) == [(-1, 9), (3, 0), (7, 9), (7, 9), (7, 16)]
+    twins = [r for r in got if r.doc_id == 7 and r.n_chars == 9]
+    assert len({r.fingerprint for r in twins}) == 1 and any(r.near_next == 1.0 for r in twins)
 
 
 def test_fingerprints_add_up(spark):
@@ -299,6 +346,55 @@ def test_lm_scores_match_counts(docs, texts):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_training_raises_the_likelihood_of_whole_texts(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):  # two topics, some texts much longer than a piece
+        words = [f"{'ab'[i % 2]}{rng.randrange(60)}" for _ in range(900 if i % 7 == 0 else 80)]
+        rows.append((i, " ".join(words), False))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    model, trace = lm_scoring.train(docs, np.full(64, 1 / 64), 2, 5, least_gain=-1.0)
+    assert len(trace) == 5 and all(b > a for a, b in zip(trace, trace[1:]))
+    assert len(lm_scoring.train(docs, np.full(64, 1 / 64), 2, 9, least_gain=1e9)[1]) == 2
+    assert model.start.sum() == pytest.approx(1) and np.allclose(model.move.sum(axis=1), 1)
+
+
+def test_expected_counts_of_long_sequences_are_exact():
+    rng = np.random.default_rng(3)
+    k, m = 3, 6
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(m), k))
+    first = np.array([0, 4, 4, 1300, 1301, 2400])
+    classes = rng.integers(0, m, 2400)
+    want = hmm.Counts.zero(k, m)
+    for a, b in zip(first, first[1:]):
+        f, s, v = [], [], model.start
+        for x in classes[a:b]:
+            v = (v @ model.move) * model.emit[:, x]
+            s.append(v.sum())
+            v = v / s[-1]
+            f.append(v)
+        back = np.ones(k)
+        for t in range(b - a - 1, -1, -1):
+            x = classes[a + t]
+            want.emit[:, x] += f[t] * back
+            ahead = model.emit[:, x] * back / s[t]
+            want.move += np.outer(f[t - 1] if t else model.start, ahead) * model.move
+            back = model.move @ ahead
+        want.start += model.start * back if b > a else 0
+    got = hmm.Counts.zero(k, m)
+    hmm.expect(model, classes, first, got)
+    assert np.allclose(got.start, want.start, rtol=1e-4) and np.allclose(got.move, want.move, rtol=1e-4) and np.allclose(got.emit, want.emit, rtol=1e-4)
+
+
+def test_long_texts_beyond_a_block(spark):
+    text = " ".join(f"word{i % 997}" for i in range(320_000)) + " secret=abcdefghijklmnop"
+    docs = spark.createDataFrame([(1, text), (2, "short one"), (3, None)], "doc_id long, text string")
+    scored = {r.doc_id: r for r in lm_scoring.lm_scores(docs, rounds=1).collect()}
+    assert scored[1].n_tokens == 320_002 and math.isfinite(scored[1].score)
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert found[1].spans == f"assign:{len(text) - 23}:{len(text)}"
+
+
 def test_lm_awkward_rows(awkward, empty):
     rows = lm_scoring.lm_scores(awkward, rounds=1).collect()
     assert len(rows) == 6 and all(math.isfinite(r.score) for r in rows)
@@ -391,6 +487,21 @@ def test_decontamination_of_items_broken_up(spark):
     assert _held(spark, [" ".join(words[:36])], [backwards]) == []
 
 
+def test_templated_benchmarks_give_a_row_for_each_template(spark):
+    items = [f"A farmer sells {i + 3} sacks of wheat at the old market for {2 * i + 50} coins, how many coins does the farmer get in all?" for i in range(40)]
+    docs = spark.createDataFrame([(1, "Now. " + items[0].replace("3 sacks", "900 sacks").replace("50 coins", "777 coins")), (2, items[5])], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.literal, r.n_alike) for r in decontamination.contaminated(docs, bench).collect() if r.n_alike == 40 or r.cover == 1.0)
+    assert got == [(1, 0, False, 40), (2, 5, True, 1)]
+
+
+def test_decontamination_awkward_rows(spark, awkward):
+    bench = spark.createDataFrame([(9, " ".join(f"alpha{i}" for i in range(30)))] * 2, "item_id long, text string")
+    got = sorted((r.doc_id or -1, r.item_id) for r in decontamination.contaminated(awkward, bench).collect())
+    assert set(got) == {(-1, 9), (4, 9)}
+    assert sorted(r.doc_id for r in decontamination.without_contaminated(awkward, bench).collect()) == [4, 9]
+
+
 def test_decontamination_of_names_that_open_sentences(spark):
     item = "Tom has 12 red marbles. Tom gives 5 marbles to Ann. How many marbles does Tom have left?"
     changed = item.replace("Tom", "Bob").replace("12", "31").replace("5", "7")
@@ -421,6 +532,57 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(docs.limit(0), marks).count() == 0
 
 
+def test_toxicity_awkward_rows(spark, awkward):
+    marks = spark.createDataFrame([(4, 1), (4, 1), (9, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(awkward, marks).collect()
+    assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.text and r.text.startswith("alpha0")}) == 1
+
+
+def extracted(spark, *pages):
+    rows = list(enumerate(pages))
+    got = {r.page_id: r.text for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+PROSE = "A first paragraph of the article, which has many words and goes on for a while. It ends here."
+
+
+def test_html_heads_without_end(spark):
+    bare = f"<html><head><title>T</title><link rel=x><article><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></article>"
+    plain = f"<html><head><title>T</title></head><body><article><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></article></body></html>"
+    assert extracted(spark, bare, plain) == [f"Title\n{PROSE}\n{PROSE}"] * 2
+
+
+def test_html_unclosed_insets_and_split_references(spark):
+    page = f"<body><article><h1>Title</h1><p>{PROSE}</p><p>{PROSE} where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds &<b>lt;</b></p><svg><path d=x><p>{PROSE}</p></article>"
+    text = extracted(spark, page)[0]
+    assert text.count(PROSE) == 3 and "where x=1 holds &lt;" in text
+
+
+def test_html_awkward_rows(spark):
+    rows = [(1, "old", "<p>x"), (1, "old", "<p>x"), (None, None, "")]
+    got = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, text string, html string"))
+    assert got.columns == ["page_id", "html", "text"] and got.count() == 3
+    assert len({r.text for r in got.where("page_id = 1").collect()}) == 1
+    assert html_extraction.extract_text(got.select("page_id", "html").limit(0)).count() == 0
+
+
+def test_reading_pages_takes_time_in_proportion():
+    import time
+
+    from tidemark.llm import dom
+
+    def took(n):
+        page = "<div>" * n + "</span>" * n + "<p>" * n
+        began = time.perf_counter()
+        dom.parse(page)
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(32_000) < 40 * max(took(2000), 0.005)
+
+
 def test_html_extraction(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><!-- x --><div class=ad>Buy this now.</div>"

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +125,3 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, batches: int =
         return {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
 
     return map_columns(rest, {"text": "string", "n_lines": "long", "n_dropped": "long"}, keep, drop=("__d", "__drop"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -24,11 +24,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Paths of the intermediate tables of this process, for `clean`.
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back: lineage ends here and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    writer = df.write
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +43,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes all intermediate tables written so far, once results that read them are written themselves: how many."""
+    done = 0
+    while _WRITTEN:
+        drop_path(spark, _WRITTEN.pop())
+        done += 1
+    return done
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """(rows, bytes of text), by one aggregate."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()
