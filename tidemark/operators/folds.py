@@ -82,11 +82,11 @@ def cooled(df: DataFrame, keys: list[str], order: list[str], seconds: int | Colu
     wait = seconds if isinstance(seconds, Column) else F.lit(seconds)
 
     def step(s: Column, o: Column) -> Column:
-        ok = F.coalesce(o["at"] - s["last"] >= o["wait"], F.lit(True))
-        return F.struct(F.when(ok, o["at"]).otherwise(s["last"]).alias("last"), ok.alias("ok"))
+        ok = F.coalesce(o["__at"] - s["last"] >= o["__wait"], F.lit(True))
+        return F.struct(F.when(ok, o["__at"]).otherwise(s["last"]).alias("last"), ok.alias("ok"))
 
-    timed = df.withColumns({"at": F.unix_micros(F.col(order[0]).cast("timestamp")), "wait": (wait.cast("double") * 1_000_000).cast("long")})
-    rows = series(timed, keys, order, "at", "wait").withColumn("state", scanned(F.col("obs"), start, step))
+    timed = df.withColumns({"__at": F.unix_micros(F.col(order[0]).cast("timestamp")), "__wait": (wait.cast("double") * 1_000_000).cast("long")})
+    rows = series(timed, keys, order, "__at", "__wait").withColumn("state", scanned(F.col("obs"), start, step))
     rows = rows.select(*keys, F.explode(F.arrays_zip("obs", "state")).alias("r")).where("r.state.ok")
     return rows.select(*keys, *[F.col(f"r.obs.{c}").alias(c) for c in order])
 
