@@ -68,3 +68,10 @@ def map_value(m: Column, key: str, default: float = 0.0) -> Column:
 def map_argmax(m: Column) -> Column:
     """The first key, in the map's order, of the largest value."""
     return F.element_at(F.map_keys(F.map_filter(m, lambda k, v: v == F.array_max(F.map_values(m)))), 1)
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation of the rows that hold both, as an aggregate; null where one of them never moves, which corr() takes for an error."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.when(spread > 0, F.greatest(F.least(F.covar_pop(a, b) / spread, F.lit(1.0)), F.lit(-1.0)))

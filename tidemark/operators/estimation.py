@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as c
+from tidemark.functions import scalars
 
 
 def kim_smoother(filtered: np.ndarray, tpm: np.ndarray) -> np.ndarray:
@@ -238,10 +239,10 @@ def var_one(panel: DataFrame, order: str, streams: list[str]) -> DataFrame:
 
 
 def granger(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, gain, f) of rows (y, y_before, x_before): the gain in R2 of x_before beside y_before, and its F statistic on 1 and n - 3 degrees."""
+    """(keys, n, gain, f) of rows (y, y_before, x_before): the gain in R2 of x_before beside y_before, and its F statistic on 1 and n - 3 degrees; null where the two before move as one or not at all."""
     g = pairs.where("y is not null and y_before is not null and x_before is not null").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("y", "y_before").alias("a"), F.corr("y", "x_before").alias("b"), F.corr("y_before", "x_before").alias("c")
+        F.count(F.lit(1)).alias("n"), scalars.correlation("y", "y_before").alias("a"), scalars.correlation("y", "x_before").alias("b"), scalars.correlation("y_before", "x_before").alias("c")
     )
-    full = (F.col("a") * F.col("a") + F.col("b") * F.col("b") - 2 * F.col("a") * F.col("b") * F.col("c")) / (1 - F.col("c") * F.col("c"))
+    full = F.try_divide(F.col("a") * F.col("a") + F.col("b") * F.col("b") - 2 * F.col("a") * F.col("b") * F.col("c"), 1 - F.col("c") * F.col("c"))
     g = g.withColumn("full", full).withColumn("gain", full - F.col("a") * F.col("a"))
-    return g.select(*keys, "n", "gain", (F.col("gain") * (F.col("n") - 3) / (1 - F.col("full"))).alias("f"))
+    return g.select(*keys, "n", "gain", F.try_divide(F.col("gain") * (F.col("n") - 3), 1 - F.col("full")).alias("f"))

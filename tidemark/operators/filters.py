@@ -142,6 +142,8 @@ class Config:
     every_day: bool = False  # on: days without a known observation are predicted too
     branches: tuple = REGIME_BRANCHES
     streams: dict = field(default_factory=lambda: c.STREAM_LOADINGS)
+    noises: dict = field(default_factory=dict)  # of streams, in place of the constants'
+    transition: tuple | None = None  # rows of F, in place of the constants'
 
 
 @dataclass
@@ -159,7 +161,8 @@ class Filter:
         if config.persistence_change:
             persistence = {k: float(np.clip(v + config.persistence_change, 0.5, 0.999)) for k, v in persistence.items()}
         q = process_noise(persistence, config.shared_shocks) * config.q_scale
-        return Filter(transition(persistence), q, np.zeros(N) if shift is None else shift.copy(), c.INITIAL_VARIANCE * np.eye(N))
+        f = transition(persistence) if config.transition is None else np.array(config.transition)
+        return Filter(f, q, np.zeros(N) if shift is None else shift.copy(), c.INITIAL_VARIANCE * np.eye(N))
 
     def predict(self, q_scale: float = 1.0) -> None:
         self.x = self.f @ self.x
@@ -250,7 +253,8 @@ class Replay:
         self.step, self.n, self.ll, self.anomalies = 0, 0, 0.0, 0
 
     def base_noise(self, key: str) -> float:
-        return c.STREAM_NOISE.get(key, 0.10) * c.FREQUENCY_SCALE.get(key, 1.0) * self.config.r_scale
+        r = self.config.noises[key] if key in self.config.noises else c.STREAM_NOISE.get(key, 0.10) * c.FREQUENCY_SCALE.get(key, 1.0)
+        return r * self.config.r_scale
 
     def noise(self, key: str, mu: np.ndarray) -> float:
         """Score-driven, then for the gap since the stream was seen, then for the regimes' probabilities before the day."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
+
 
 def along(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -47,9 +49,9 @@ def slope(x: Column, w: WindowSpec, steps: int) -> Column:
 def autocorrelation(df: DataFrame, keys: list[str], order: list[str], x: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Lag-1 Pearson correlation of each series, clamped if bounds are given."""
     before = df.withColumn("__before", F.lag(x).over(along(keys, order))).where(F.col("__before").isNotNull())
-    rho = F.corr(x, "__before")
+    rho = scalars.correlation(x, "__before")
     if low is not None and high is not None:
-        rho = F.least(F.greatest(rho, F.lit(low)), F.lit(high))
+        rho = F.when(rho.isNotNull(), F.least(F.greatest(rho, F.lit(low)), F.lit(high)))
     return before.groupBy(*keys).agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

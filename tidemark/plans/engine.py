@@ -267,7 +267,7 @@ def reference_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stream's daily mean against every other as its reference: correlation, p-value, and whether it is at least 0.15 in size."""
     d = tables.daily(spark, sf_dir)
     a, b = d.select("day", F.col("stream_key").alias("factor"), F.col("x").alias("x1")), d.select("day", F.col("stream_key").alias("reference"), F.col("x").alias("x2"))
-    g = a.join(b, "day").where("factor <> reference").groupBy("factor", "reference").agg(F.corr("x1", "x2").alias("r"), F.count(F.lit(1)).alias("n"))
+    g = a.join(b, "day").where("factor <> reference").groupBy("factor", "reference").agg(scalars.correlation("x1", "x2").alias("r"), F.count(F.lit(1)).alias("n"))
     return g.withColumn("p_value", distributions.correlation_p("r", "n")).withColumn("passed", F.abs("r") >= 0.15)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import constants, distributions
+from tidemark.functions import constants, distributions, scalars
 from tidemark.operators import estimation, folds, joins, triggers, verification, windows
 from tidemark.plans.registry import query
 from tidemark.plans.verify import _INNOVATIONS, _innovations
@@ -127,7 +127,7 @@ def model_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation on common months, the second series with its sign turned; too few months give null."""
     m = tables.monthly_sales(spark, sf_dir)
     a, b = m.select("month", F.col("series").alias("first"), F.col("x").alias("x1")), m.select("month", F.col("series").alias("second"), (-F.col("x")).alias("x2"))
-    g = a.join(b, "month").where("first < second").groupBy("first", "second").agg(F.corr("x1", "x2").alias("r"), F.count(F.lit(1)).alias("n"))
+    g = a.join(b, "month").where("first < second").groupBy("first", "second").agg(scalars.correlation("x1", "x2").alias("r"), F.count(F.lit(1)).alias("n"))
     return g.select("first", "second", F.when(F.col("n") >= 10, F.round("r", 6)).alias("r"), "n")
 
 
@@ -199,7 +199,7 @@ def principal_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal components of the streams' daily correlation matrix, loadings by varimax; the matrix has a row for each stream."""
     d = tables.daily(spark, sf_dir)
     a, b = d.select("day", F.col("stream_key").alias("i"), F.col("x").alias("xi")), d.select("day", F.col("stream_key").alias("j"), F.col("x").alias("xj"))
-    cells = a.join(b, "day").groupBy("i", "j").agg(F.corr("xi", "xj").alias("r"))
+    cells = a.join(b, "day").groupBy("i", "j").agg(scalars.correlation("xi", "xj").alias("r"))
 
     def components(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.pivot(index="i", columns="j", values="r").fillna(0.0)
@@ -244,7 +244,7 @@ def covariance_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Condition number and effective rank of the streams' daily correlations, a matrix with a row for each stream."""
     d = tables.daily(spark, sf_dir)
     a, b = d.select("day", F.col("stream_key").alias("i"), F.col("x").alias("xi")), d.select("day", F.col("stream_key").alias("j"), F.col("x").alias("xj"))
-    cells = a.join(b, "day").groupBy("i", "j").agg(F.corr("xi", "xj").alias("r"))
+    cells = a.join(b, "day").groupBy("i", "j").agg(scalars.correlation("xi", "xj").alias("r"))
 
     def health(pdf: pd.DataFrame) -> pd.DataFrame:
         value = np.maximum(np.linalg.eigvalsh(pdf.pivot(index="i", columns="j", values="r").fillna(0.0).to_numpy()), 1e-12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.operators import joins, triggers, windows
 from tidemark.plans.registry import query
 from tidemark.sources import tables
@@ -205,7 +206,7 @@ def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = m.select("series", (F.col("x") / F.lag("x").over(_series()) - 1).alias("r"), F.row_number().over(_series()).alias("i"))
     a = d.select(F.col("series").alias("cause"), F.col("r").alias("ra"), "i", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("lag")).withColumn("i", F.col("i") + F.col("lag"))
     b = d.select(F.col("series").alias("effect"), F.col("r").alias("rb"), "i")
-    c = a.join(b, "i").where("cause <> effect").groupBy("cause", "effect", F.col("lag").cast("long").alias("lag")).agg(F.corr("ra", "rb").alias("r"))
+    c = a.join(b, "i").where("cause <> effect").groupBy("cause", "effect", F.col("lag").cast("long").alias("lag")).agg(scalars.correlation("ra", "rb").alias("r"))
     best = c.withColumn("rn", F.row_number().over(Window.partitionBy("cause", "effect").orderBy(F.abs("r").desc(), "lag")))
     return best.where((F.col("rn") == 1) & (F.abs("r") > 0.15)).select("cause", "effect", "lag", F.round(0.1 * F.col("r"), 6).alias("coefficient"))
 

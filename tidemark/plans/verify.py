@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.operators import joins, verification, windows
 from tidemark.plans.registry import query
 from tidemark.sources import tables
@@ -213,7 +214,7 @@ def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 def innovation_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.daily(spark, sf_dir)
     a, b = d.select("day", F.col("stream_key").alias("first"), F.col("x").alias("x1")), d.select("day", F.col("stream_key").alias("second"), F.col("x").alias("x2"))
-    return a.join(b, "day").where("first < second").groupBy("first", "second").agg(F.round(F.corr("x1", "x2"), 6).alias("r"), F.count(F.lit(1)).alias("n"))
+    return a.join(b, "day").where("first < second").groupBy("first", "second").agg(F.round(scalars.correlation("x1", "x2"), 6).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -224,7 +225,7 @@ def acf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = windows.along(["entity"], ["ts", "seq"])
     z = _innovations(spark, sf_dir).select("entity", "z", *[F.lag("z", k).over(w).alias(f"l{k}") for k in (1, 2, 5)])
     same = F.when((F.col("z") > 0) == (F.col("l1") > 0), 1.0).otherwise(0.0)
-    return z.groupBy("entity").agg(*[F.round(F.corr("z", f"l{k}"), 6).alias(f"acf_{k}") for k in (1, 2, 5)], F.round(F.avg(same), 6).alias("same_sign"))
+    return z.groupBy("entity").agg(*[F.round(scalars.correlation("z", f"l{k}"), 6).alias(f"acf_{k}") for k in (1, 2, 5)], F.round(F.avg(same), 6).alias("same_sign"))
 
 
 @query(
@@ -235,7 +236,7 @@ def filter_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = windows.along(["entity"], ["ts", "seq"])
     back = Window.partitionBy("entity").orderBy(F.desc("ts"), F.desc("seq"))
     r = _innovations(spark, sf_dir).withColumns({"b": F.lag("z").over(w), "k": F.row_number().over(back)}).where("k <= 100")
-    h = r.groupBy("entity").agg(F.avg("z").alias("m"), F.stddev_samp("z").alias("s"), F.corr("z", "b").alias("rho"), F.avg((F.abs("z") > 2).cast("double")).alias("tail"))
+    h = r.groupBy("entity").agg(F.avg("z").alias("m"), F.stddev_samp("z").alias("s"), scalars.correlation("z", "b").alias("rho"), F.avg((F.abs("z") > 2).cast("double")).alias("tail"))
     return h.select("entity", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), F.expr("abs(m) < 0.5 and s > 0.5 and s < 2 and abs(rho) < 0.3 and tail < 0.15").alias("healthy"))
 
 

@@ -28,6 +28,13 @@ def read_innovations(spark: SparkSession, path: str) -> DataFrame:
     return r.select("r.stream_key", "r.observed", "r.predicted", "r.innovation", F.col("r.innovation_zscore").alias("z"))
 
 
+def read_trajectories(spark: SparkSession, path: str, factors: list[str]) -> DataFrame:
+    """(day, a column for each factor) from JSON results that keep a daily_log of dates with their factors; a factor that is missing is null."""
+    log = f"daily_log array<struct<date:date,factors:struct<{','.join(f'{x}:double' for x in factors)}>>>"
+    e = spark.read.schema(log).json(path, multiLine=True).select(F.explode("daily_log").alias("e"))
+    return e.select(F.col("e.date").alias("day"), *[F.col(f"e.factors.{x}").alias(x) for x in factors])
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """One JSON record for each row."""
     df.write.mode("overwrite").json(path)
