@@ -169,10 +169,11 @@ def diagnosis(updates: DataFrame, keys: list[str], order: str = "n", z: str = "z
     return g.withColumn("status", F.when(F.col("n") < 10, "insufficient_data").when(healthy, "healthy").otherwise("needs_recalibration"))
 
 
-def auto_calibrated(config: filters.Config, updates: DataFrame, panel: DataFrame, force: bool = False, order: str = "day", updates_order: str = "n") -> filters.Config | None:
-    """A configuration estimated anew from the panel, or None while the innovations of this configuration are healthy."""
+def auto_calibrated(config: filters.Config, updates: DataFrame, panel: DataFrame, force: bool = False, order: str = "day", updates_order: str = "n", last: int = 500) -> filters.Config | None:
+    """A configuration estimated anew from the panel, or None while the last innovations of this configuration are healthy."""
     if not force:
-        one = diagnosis(updates.withColumn("__g", F.lit(0)), ["__g"], updates_order).select("status").first()
+        recent = updates.orderBy(F.desc(updates_order)).limit(last)  # the test is of the last innovations
+        one = diagnosis(recent.withColumn("__g", F.lit(0)), ["__g"], updates_order, last=last).select("status").first()
         if one is not None and one["status"] == "healthy":
             return None
     return applied(config, estimated(panel, order).collect())
