@@ -630,3 +630,36 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     want = {i: len(WORD.findall(lines[i])) for i in lines if comps[i] == i and i != 700}
     assert {r.doc_id: r.size for r in got} == want
     assert abs(sum(r.taken for r in got) - 1.5 * sum(want.values())) <= len({r[3] for r in rows}) + 1
+
+
+def _written_tables(spark, path, rows, labels, items):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null and blank texts: texts without words all stay, of equal texts the smallest id's."""
+    import corpus_pipeline
+
+    line = " ".join(f"alpha{i}" for i in range(30))
+    rows = [(None, line, "en", "a", 1), (None, line, "en", "a", 1), (4, line, None, None, None), (4, line, None, None, None), (9, None, "en", "b", 0), (10, " \n ", None, "b", 3), (11, None, None, None, None), (12, ITEM, "en", "b", 5)]
+    _written_tables(spark, tmp_path, rows, [(4, 0), (None, 1), (9, None)], [(9, ITEM), (9, ITEM), (None, None)])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 12 not in {r.doc_id for r in got} and {9, 10, 11} <= {r.doc_id for r in got}
+    assert sum(r.size for r in got if r.doc_id == 4) == 30 and all(0 <= r.taken <= 2 * r.size for r in got)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    _written_tables(spark, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_without_any_word(spark, tmp_path):
+    import corpus_pipeline
+
+    _written_tables(spark, tmp_path, [(1, None, "en", "a", 0), (2, " \n", None, None, 2)], [(1, 0)], [(9, ITEM)])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.size, r.taken) for r in got) == [(1, 0, 0), (2, 0, 0)]
