@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontamination, fingerprint, html_extraction, line_dedup, lm_scoring, minhash_dedup, mixing, secrets, substring_dedup, toxicity
+from tidemark.llm import decontamination, fingerprint, html_extraction, line_dedup, lm_scoring, minhash_dedup, mixing, more_queries, secrets, substring_dedup, toxicity
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -137,8 +137,8 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.do
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_minhash": op5_minhash, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_hmm_scores": op8_hmm_scores, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint, "pipeline": corpus_pipeline.run}
+    return {"op1_html_text": op1_html_text, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_minhash": op5_minhash, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op8_hmm_scores": op8_hmm_scores, "op9_line_dedup": op9_line_dedup, "op10_fingerprint": op10_fingerprint, "pipeline": corpus_pipeline.run} | more_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op9_line_dedup": OP9_SQL} | more_queries.ORACLES

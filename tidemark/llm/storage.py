@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as Parquet in the shared folder and read back: lineage ends here and survives lost executors."""
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows written once as Parquet in the shared folder, in folders by the columns `by`, and read back: lineage ends here and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
