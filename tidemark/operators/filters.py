@@ -48,9 +48,9 @@ def blended_persistence() -> dict[str, float]:
     return mixed | {"commodity_pressure": c.PERSISTENCE["commodity_pressure"]}
 
 
-def scaled_loadings(stream: str, regime: str) -> np.ndarray:
-    """A stream's loadings as a regime sees them."""
-    return vector(c.STREAM_LOADINGS[stream]) * np.array([c.REGIME_LOADINGS[regime].get(k, 1.0) for k in c.FACTORS])
+def scaled_loadings(loadings: np.ndarray, regime: str) -> np.ndarray:
+    """A stream's loadings as a regime sees them; unknown regimes change nothing."""
+    return loadings * np.array([c.REGIME_LOADINGS.get(regime, {}).get(k, 1.0) for k in c.FACTORS])
 
 
 def noise_class(stream: str) -> str:
@@ -137,6 +137,9 @@ class Config:
     shift_scale: float = 1.0
     persistence_change: float = 0.0
     stay_change: float = 0.0
+    regime_loadings: bool = False  # on: branches see a stream through loadings of their own, the shared filter through their mean
+    branch_noise: bool = False  # on: a branch takes its regime's noise, not the mean over regimes
+    likelihood_after: bool = False  # on: branches are weighed by what they say after their update
     mixing: bool = True  # off: branches move on their own, without a baseline
     carry_prior: bool = False  # on: Bayes starts from the propagated probabilities
     every_day: bool = False  # on: days without a known observation are predicted too
@@ -220,13 +223,16 @@ class Bank:
             if self.config.mixing:
                 flt.x = flt.x + self.config.pull * shift if shift.any() else flt.x * c.NEUTRAL_SHRINK
 
-    def update(self, h: np.ndarray, r: float, value: float) -> None:
-        """Tempered Bayes on the filters' likelihoods, probabilities kept within bounds."""
+    def update(self, h: np.ndarray, r: float | np.ndarray, value: float) -> None:
+        """Tempered Bayes on the filters' likelihoods, probabilities kept within bounds; h and r are one for all, or one for each branch."""
         self.n += 1
         power = c.TEMPER_FLOOR + (self.config.ceiling - c.TEMPER_FLOOR) * min(self.n / c.TEMPER_HORIZON, 1.0)
         likely = np.empty(len(self.filters))
+        hs, rs = np.broadcast_to(h, (len(self.filters), N)), np.broadcast_to(r, len(self.filters))
         for k, flt in enumerate(self.filters):
-            gap, s, _ = flt.update(h, r, value)
+            gap, s, _ = flt.update(hs[k], float(rs[k]), value)
+            if self.config.likelihood_after:
+                gap, s = value - float(hs[k] @ flt.x), float(hs[k] @ flt.p @ hs[k] + rs[k])
             likely[k] = max(np.exp(-gap * gap / (2 * s)) / np.sqrt(2 * np.pi * s), c.LIKELIHOOD_FLOOR)
         weight = likely**power * self.mu
         if weight.sum() > 0:
@@ -256,17 +262,17 @@ class Replay:
         r = self.config.noises[key] if key in self.config.noises else c.STREAM_NOISE.get(key, 0.10) * c.FREQUENCY_SCALE.get(key, 1.0)
         return r * self.config.r_scale
 
-    def noise(self, key: str, mu: np.ndarray) -> float:
-        """Score-driven, then for the gap since the stream was seen, then for the regimes' probabilities before the day."""
+    def noise_scales(self, key: str) -> np.ndarray:
+        """How much noisier each branch takes a stream to be: by its regime and the stream's class, 1 for other branches."""
+        return np.array([c.REGIME_NOISE[b.name][noise_class(key)] if b.name in c.REGIME_NOISE else 1.0 for b in self.config.branches])
+
+    def noise(self, key: str) -> float:
+        """Score-driven, then for the gap since the stream was seen."""
         r = self.base_noise(key)
         if self.config.gas:
             r = float(np.exp(self.log_r.setdefault(key, np.log(r))))
         gap = self.sums[key][1] if key in self.sums else self.step - self.seen.get(key, self.step) if self.config.gap else 1
-        if gap > 1:
-            r *= 1 + c.GAP_SLOPE * np.log(gap)
-        if self.config.regime_noise:
-            r *= float(mu @ [c.REGIME_NOISE[k][noise_class(key)] for k in c.REGIMES])
-        return r
+        return r * (1 + c.GAP_SLOPE * np.log(gap)) if gap > 1 else r
 
     def _weekly(self) -> None:
         top = int(self.bank.mu.argmax())
@@ -280,6 +286,10 @@ class Replay:
         """Of a stream, or of a qualitative signal on one factor: '@' and its name."""
         return vector({key[1:]: 1.0}) if key.startswith("@") else vector(self.config.streams[key])
 
+    def branch_loadings(self, key: str) -> np.ndarray:
+        """(branches, N): the loadings as each branch sees them."""
+        return np.array([scaled_loadings(self.loadings(key), b.name) if self.config.regime_loadings and key[0] != "@" else self.loadings(key) for b in self.config.branches])
+
     def day(self, observed: list[tuple]) -> None:
         """One prediction for the day if anything known was observed, then the updates in order.
 
@@ -300,17 +310,22 @@ class Replay:
                 total[0] += float(vector(self.config.streams[key]) @ self.base.x)
                 total[1] += 1
         for key, value, *given in known:
-            h = self.loadings(key)
-            r = given[0] if given and given[0] == given[0] and given[0] is not None else self.noise(key, mu)
+            own_h = self.branch_loadings(key) if self.config.regime_loadings else self.loadings(key)
+            h = mu @ own_h if self.config.regime_loadings else own_h
+            r = own_r = given[0] if given and given[0] is not None and given[0] == given[0] else None
+            if r is None:
+                r = own_r = self.noise(key)
+                r = r * float(mu @ self.noise_scales(key)) if self.config.regime_noise else r
+                own_r = own_r * self.noise_scales(key) if self.config.branch_noise else r
             before = self.base.x
             predicted = self.sums[key][0] / self.sums[key][1] if self.sums.get(key, (0, 0))[1] else float(h @ self.base.x)
             gap, s, gain = self.base.update(h, r, value - predicted + float(h @ self.base.x))
             self.ll += -0.5 * (np.log(2 * np.pi * s) + gap * gap / s)
             self.anomalies += abs(gap) / np.sqrt(s) > c.ANOMALY_THRESHOLD
             if self.config.gas:
-                moved = (1 - c.GAS_BETA) * np.log(self.base_noise(key)) + c.GAS_BETA * self.log_r[key] + c.GAS_ALPHA * (min(gap * gap / s, c.GAS_MAX_RATIO) - 1)
+                moved = (1 - c.GAS_BETA) * np.log(self.base_noise(key)) + c.GAS_BETA * self.log_r.setdefault(key, np.log(self.base_noise(key))) + c.GAS_ALPHA * (min(gap * gap / s, c.GAS_MAX_RATIO) - 1)
                 self.log_r[key] = float(np.clip(moved, c.GAS_LOW, c.GAS_HIGH))
-            self.bank.update(h, r, value)
+            self.bank.update(own_h, own_r, value)
             if key in self.sums:
                 self.sums[key] = [0.0, 0]
             self.seen[key] = self.step
@@ -403,7 +418,7 @@ def _columns(schema: str) -> list[str]:
 
 
 def replay(obs: DataFrame, variants: dict[str, Config], every: int = 7) -> DataFrame:
-    """Runs every variant over every entity's (entity, day, ord, stream_key, z[, r]), a snapshot every so many steps and at the end.
+    """The plain form of `lockstep.replay`, one entity at a time. Runs every variant over every entity's (entity, day, ord, stream_key, z[, r]), a snapshot every so many steps and at the end.
 
     An entity is a task's group, sorted once for all variants; its observations are taken in the order of day and ord.
     """
@@ -428,7 +443,7 @@ UPDATE_SCHEMA = "entity long, config_id string, day date, step int, n long, stre
 
 
 def updates(obs: DataFrame, variants: dict[str, Config]) -> DataFrame:
-    """A record of every measurement update: what was observed and predicted, the innovation with its variance, gain, state before and after, probabilities."""
+    """The plain form of `lockstep.updates`, one entity at a time. A record of every measurement update: what was observed and predicted, the innovation with its variance, gain, state before and after, probabilities."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         entity, days, rows = int(pdf["entity"].iloc[0]), list(in_days(pdf)), []

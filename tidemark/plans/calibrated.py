@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as c
-from tidemark.operators import calibration, filters, joins, regimes, rival, windows
+from tidemark.operators import calibration, filters, joins, lockstep, regimes, rival, windows
 from tidemark.plans.registry import query
 from tidemark.plans.state import _daily_z
 from tidemark.plans.verify import _INNOVATIONS, _innovations
@@ -86,11 +86,11 @@ def estimated_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calibrated_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entity under the engine's parameters and, where innovations ask for it, under estimated ones."""
     obs, base = _daily_z(spark, sf_dir), filters.Config()
-    u = filters.updates(obs, {"base": base}).withColumn("at", F.struct("day", "entity", "n"))
+    u = lockstep.updates(obs, {"base": base}).withColumn("at", F.struct("day", "entity", "n"))
     panel = _complete(spark, sf_dir).withColumn("x", (F.col("x") - 50) / 50)
     new = calibration.auto_calibrated(base, u, panel, updates_order="at")
     variants = {"base": base} | ({} if new is None else {"calibrated": new})
-    last = filters.replay(obs, {k: filters.replace(v, config_id=k) for k, v in variants.items()}, every=1_000_000)
+    last = lockstep.replay(obs, {k: filters.replace(v, config_id=k) for k, v in variants.items()}, every=1_000_000)
     return last.select("entity", "config_id", "n_updates", F.col("log_likelihood").alias("ll"), "anomalies")
 
 
@@ -108,7 +108,7 @@ def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entity's sub-regimes at its last day: the bank's probabilities and the factors' distances to their targets, blended and scaled to one."""
     obs = _daily_z(spark, sf_dir)
-    x = filters.replay(obs, {"base": filters.Config()}, every=1_000_000).groupBy("entity").agg(F.max_by("factors", "step").alias("x"))
+    x = lockstep.replay(obs, {"base": filters.Config()}, every=1_000_000).groupBy("entity").agg(F.max_by("factors", "step").alias("x"))
     cols = {k: v for r in c.REGIMES for k, v in regimes.discriminant(F.col("x"), r).items()}
     scored = x.select("entity", *[v.alias(k) for k, v in cols.items()]).unpivot(["entity"], list(cols), "sub_regime", "scored")
     both = filters.nested(obs).select("entity", "regime", "sub_regime", "p").join(scored, ["entity", "sub_regime"]).withColumn("e", regimes.ensemble(F.col("p"), F.col("scored")))

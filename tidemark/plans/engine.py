@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as c
 from tidemark.functions import distributions, scalars
-from tidemark.operators import estimation, filters, joins, regimes, triggers, verification, windows
+from tidemark.operators import estimation, filters, joins, lockstep, regimes, triggers, verification, windows
 from tidemark.plans.registry import query
 from tidemark.plans.state import _daily_z
 from tidemark.plans.verify import _INNOVATIONS, _innovations
@@ -18,7 +18,7 @@ _REGIMES = ["expansion", "stagflation", "contraction"]
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.updates(_daily_z(spark, sf_dir), filters.configs([{"config_id": "base"}]))
+    return lockstep.updates(_daily_z(spark, sf_dir), filters.configs([{"config_id": "base"}]))
 
 
 @query("d7_state_updates")

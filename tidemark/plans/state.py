@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import estimation, filters, folds
+from tidemark.operators import estimation, filters, folds, lockstep
 from tidemark.plans.registry import query
 from tidemark.sources import shared, tables
 from tidemark.sources.tables import with_ctes
@@ -173,7 +173,7 @@ def _daily_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r32_replay")
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kalman filter and regime bank over every entity: factors, probabilities, likelihood, anomalies by snapshot."""
-    return filters.replay(_daily_z(spark, sf_dir), filters.configs([{"config_id": "base"}]))
+    return lockstep.replay(_daily_z(spark, sf_dir), filters.configs([{"config_id": "base"}]))
 
 
 @query("r43_sweep")
@@ -187,7 +187,7 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"config_id": "duration", "duration_tpm": True}, {"config_id": "no_mixing", "mixing": False}, {"config_id": "carry_prior", "carry_prior": True},
         *filters.SWEEP,
     ])
-    last = filters.replay(_daily_z(spark, sf_dir), variants, every=1_000_000).groupBy("entity", "config_id").agg(F.max_by("log_likelihood", "step").alias("ll"), F.max("anomalies").alias("anomalies"))
+    last = lockstep.replay(_daily_z(spark, sf_dir), variants, every=1_000_000).groupBy("entity", "config_id").agg(F.max_by("log_likelihood", "step").alias("ll"), F.max("anomalies").alias("anomalies"))
     best = Window.partitionBy("entity").orderBy(F.desc("ll"), "config_id")
     return last.withColumn("rank", F.row_number().over(best)).select("entity", "config_id", F.round("ll", 4).alias("ll"), "anomalies", "rank")
 
@@ -217,8 +217,8 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s4_online_replay")
 def online_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replay as a stream over written daily observations, a row for each entity and day."""
+    """The replay as a stream over written daily observations, a row for each entity and day; files cut days in two, and each is a micro-batch."""
     path = shared.folder(spark, "daily-z")
-    _daily_z(spark, sf_dir).repartitionByRange(3, "day").write.parquet(path)
-    stream = online.online_replay(online.files(spark, path, online.INPUT_SCHEMA), filters.Config())
+    _daily_z(spark, sf_dir).repartitionByRange(3, "day", "ord").write.parquet(path)
+    stream = online.online_replay(online.files(spark, path, online.INPUT_SCHEMA, 1), filters.Config(), lateness=366)
     return online.states(online.run_to_end(spark, stream, "online-replay"))
