@@ -14,6 +14,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())  # no markup inside; without an end tag they run to the end
 HEAD = frozenset("title base basefont bgsound link meta noframes style script noscript template".split())  # all that may stand in a head
 INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var br wbr math mi mo mn ms mtext mrow msup msub mfrac msqrt".split())
+FOREIGN = ("svg", "math")  # the only elements that may close themselves, with those inside them
 INSETS = frozenset("math svg canvas object select noscript template audio video".split())  # stand in a line, yet are nodes of their own
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -37,6 +38,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+_UNQUOTED_END = re.compile(r"""=\s*[^\s"'][^\s]*\Z""")  # a "/" at the end of such a value belongs to it
 _NONE_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 N_TAGS, N_TOKENS = len(TAG_GROUPS), len(TOKEN_GROUPS)
 
@@ -73,7 +75,8 @@ def token_groups(attributes: str) -> int:
 def parse(html: str) -> Page:
     """Reads the whole page; broken nesting, missing end tags and a cut-off end are taken as browsers do, roughly.
 
-    A head ends at the first element that can't stand in one.  Its work grows with the page, however deep its nesting.
+    A head ends at the first element that can't stand in one, "/" before ">" ends an element only in svg and math, and a
+    CDATA section counts only there; elsewhere it is a comment up to the first ">".  Its work grows with the page, however deep its nesting.
     """
     page = Page()
     stack: list[tuple[str, int]] = []
@@ -105,6 +108,9 @@ def parse(html: str) -> Page:
         if k >= 0 and k > last(scope):
             close_to(k)
 
+    def foreign() -> bool:
+        return any(places.get(t) for t in FOREIGN)
+
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
@@ -115,7 +121,10 @@ def parse(html: str) -> Page:
         name = m[2] or m[5]
         if not name:
             if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+                if foreign():
+                    text(m[0][9:].removesuffix("]]>"))
+                else:  # a comment up to the first ">"
+                    at = (html.find(">", m.start()) + 1) or n
             continue
         tag, closing = name.lower(), (m[1] if m[2] else m[4]) == "/"
         attributes = (m[3] if m[2] else m[6]) or ""
@@ -127,10 +136,11 @@ def parse(html: str) -> Page:
                 close_to(places[tag][-1])
             continue
         in_head = in_head and tag in HEAD
-        if tag in RAW:
-            if not attributes.endswith("/"):
-                end = _END[tag].search(html, at)
-                at = max(end.end(), at) if end else n
+        inside = foreign()
+        self_closed = attributes.endswith("/") and (inside or tag in FOREIGN) and not _UNQUOTED_END.search(attributes)
+        if tag in RAW and not (inside and (self_closed or tag == "title")):
+            end = _END[tag].search(html, at)
+            at = max(end.end(), at) if end else n
             continue
         if in_head and tag in VOID:
             continue
@@ -140,7 +150,7 @@ def parse(html: str) -> Page:
             close_last(SAME_ENDS[tag], SCOPES.get(tag, ()))
         if tag not in INLINE and tag not in INSETS:
             block += 1
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or self_closed:
             page.tags_inside[node] += 1
             if tag in ("br", "wbr"):
                 text(" ")

@@ -47,8 +47,10 @@ class Layouts:
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
     def header(self) -> str:
-        inner = self.one(f"<h1>{self.words(1, 3)}</h1>", f"<div>{self.words(1, 3)}</div>", f'<a href="/">{self.words(1, 3)}</a>') + (f"<p>{self.words(2, 6)}</p>" if self.chance(0.5) else "")
-        return self.wrap(inner + (self.search() if self.chance(0.3) else "") + (self.menu() if self.chance(0.3) else ""), ("header", "div"), ("header", "masthead", "topbar", "top", "site-header"))
+        named = self.chance(0.25)
+        inner = f"<h1>{self.words(1, 3)}</h1>" if named else self.one(f"<div>{self.words(1, 3)}</div>", f'<a href="/">{self.words(1, 3)}</a>')
+        inner += f"<p>{self.words(2, 6)}</p>" if self.chance(0.5) else ""
+        return self.wrap(inner + (self.search() if self.chance(0.3) else "") + (self.menu() if self.chance(0.3) else ""), ("header", "div"), ("header", "masthead", "topbar", "top", "site-header"), 0.0 if named else 0.1)
 
     def menu(self) -> str:
         return self.wrap(self.links(3, 9), ("nav", "div", "ul"), ("nav", "menu", "navigation", "navbar", "breadcrumb"))
@@ -92,7 +94,12 @@ class Layouts:
 
     def content(self) -> str:
         m = MARK
-        parts = [self.one(f"<h1>{m}{self.words(2, 9)}</h1>", f"<header><h1>{m}{self.words(2, 9)}</h1></header>", "")]
+        parts = [self.one(*[f"<h1>{m}{self.words(1, 9)}</h1>"] * 4, f"<header><h1>{m}{self.words(2, 9)}</h1></header>", "")]
+        if self.chance(0.25):
+            parts.append(f"<{(tag := self.one('h2', 'h2', 'h3', 'p'))}>{m}{self.words(2, 9)}</{tag}>")
+        if self.chance(0.5):
+            lead = self.one(*[f' class="{x}"' for x in ("lead", "intro", "summary", "standfirst", "teaser", "dek")], *[""] * 6)
+            parts.append(f"<{(tag := self.one('div', 'div', 'div', 'p'))}{lead}>{m}{self.sentences(1, 2)}</{tag}>")
         if self.chance(0.3):
             parts.append(f"<p><b>{m}{self.sentences(1, 2)}<br>")
         extra: list[Callable[[], str]] = [self.advert, self.share, self.notice, self.form, self.sidebar]
@@ -100,7 +107,7 @@ class Layouts:
             parts.append(
                 self.one(
                     *[f"<p>{m}{self.sentences(1, 8)}</p>"] * 6, f"<p>{m}{self.sentences(1, 2)}<p>{m}{self.sentences(1, 3)}", f"<h2>{m}{self.words(1, 6)}</h2><p>{m}{self.sentences(2, 5)}</p>",
-                    "<ul>" + "".join(f"<li>{m}{self.sentences(1, 1)}</li>" for _ in range(4)) + "</ul>", f"<blockquote><p>{m}{self.sentences(1, 3)}</p></blockquote>", f"<div>{m}{self.sentences(1, 4)}</div>",
+                    "<ul>" + "".join(f"<li>{m}{self.sentences(1, 1)}</li>" for _ in range(4)) + "</ul>", f"<blockquote><p>{m}{self.sentences(1, 3)}</p></blockquote>", *[f"<div>{m}{self.sentences(1, 3)}</div>"] * 2,
                     f"<table><tr><td>{m}{self.words(1, 3)}</td><td>{m}{self.words(1, 3)}</td></tr></table>", f'<p>{m}{self.sentences(1, 3)} <a href="/y">{m}{self.words(1, 3)}</a> {m}{self.sentences(1, 2)}</p>',
                     f"<figure><figcaption>{m}{self.words(3, 9)}</figcaption></figure>", f"<p>{m}{self.sentences(1, 3)} <math><mi>{m}{self.words(1, 1)}</mi><mo>=</mo><mn>{m}7</mn></math></p>", f"<object><p>{m}{self.sentences(1, 2)}</p></object>",
                 )
