@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hmm
-from tidemark.llm.frames import order_id
 from tidemark.llm.homes import HOME_BYTES, HOMES_OF_TASK, home_column, parts
 from tidemark.llm.storage import partitions, text_bytes, written
 from tidemark.llm.tokens import Words, blocks, mix, pack, unpack
@@ -141,7 +140,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, classes: int = CLASSES, rou
     spark = docs.sparkSession
     _, n_bytes = text_bytes(docs)
     n = max(2 * partitions(spark), n_bytes // HOME_BYTES)
-    rows = docs.select("doc_id", "text", held_out(HELD_OUT_OF).alias("held_out")).withColumn("home", home_column(order_id(), n))
+    rows = docs.select("doc_id", "text", held_out(HELD_OUT_OF).alias("held_out")).withColumn("home", home_column(n, F.col("doc_id"), F.col("text")))
     tasks = max(partitions(spark), n // HOMES_OF_TASK)
     sent = rows.select("home", "held_out", "text").repartition(tasks, "home").groupBy("home").applyInArrow(lambda key, table: _own_words(key, table, n), _PACKED)
     back = written(sent.repartition(tasks, "place").groupBy("place").applyInArrow(lambda key, table: _totals(key, table, classes), _PACKED), "word-totals")

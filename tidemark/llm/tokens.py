@@ -6,6 +6,7 @@ longer code point, so bytes and code points agree.  Everything here works on a b
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,12 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE_CODE = np.random.default_rng(20240601).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Two hashes that know nothing of each other: base, its inverse, and codes of the bytes.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+_BYTE_CODES = (_BYTE_CODE, np.random.default_rng(20240602).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+#: Longer words go through a cryptographic hash: a polynomial modulo 2**64 can be made to collide on words of 1,024 bytes.
+LONG_WORD = 64
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -48,11 +53,11 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Rabin-Karp: the polynomial hash of values[start:end] of each segment, from one prefix sum."""
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(_BASE, len(values)), dtype=np.uint64, out=sums[1:])
-    return (sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, len(values) + 1)[starts]
+    np.cumsum(values * _powers(_BASES[which], len(values)), dtype=np.uint64, out=sums[1:])
+    return (sums[ends] - sums[starts]) * _powers(_INVERSES[which], len(values) + 1)[starts]
 
 
 @dataclass
@@ -69,6 +74,16 @@ class Words:
         data = _LOWER[self.data] if lower else self.data
         return mix(segment_hashes(_BYTE_CODE[data], self.starts, self.ends)) if len(self.starts) else np.zeros(0, np.uint64)
 
+    def strong_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each word, on which two words of any length collide by chance alone."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        both = tuple(mix(segment_hashes(_BYTE_CODES[i][self.data], self.starts, self.ends, i), 5 * i) for i in (0, 1))
+        for k in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.data[self.starts[k] : self.ends[k]].tobytes(), digest_size=16).digest()
+            both[0][k], both[1][k] = np.frombuffer(digest, np.uint64)
+        return both
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -81,6 +96,11 @@ class Words:
         at = self.first[:-1][text] + position
         return mix(segment_hashes(hashes, at, at + width), 1), text, position
 
+    def second_windows(self, hashes: np.ndarray, text: np.ndarray, position: np.ndarray, width: int) -> np.ndarray:
+        """A hash of the same windows independent of the first one, from the words' second hashes."""
+        at = self.first[:-1][text] + position
+        return mix(segment_hashes(hashes, at, at + width, 1), 6)
+
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, words) of runs of texts of about so many bytes; a longer text is a run of its own. Null: no words."""
