@@ -1,7 +1,7 @@
 """Ordered folds: recursions in which each row needs the state that the row before left.
 
-Short recursions run in the JVM as aggregate() over a series' sorted observations; filters with matrices run as grouped
-Arrow functions.  Series, configurations and replicates are the parallel axes, time is not.
+Recursions that can be summed up over a range of a series run range by range (`ranged`).  Others of a few numbers run in
+the JVM as aggregate() over a series' sorted observations, filters with matrices entity by entity (`lockstep`).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranged
+
 
 def series(df: DataFrame, keys: list[str], order: list[str], *values: str) -> DataFrame:
     """One row for each series with obs, its sorted observations: arrays of struct(order..., values...)."""
@@ -41,63 +43,31 @@ def final(obs: Column, start: Column, step: Callable[[Column, Column], Column])
     return F.aggregate(obs, start, step)
 
 
-def normalised(df: DataFrame, keys: list[str], order: list[str], x: str, a: float, mean: float, var: float, floor: float = 0.01, rolling: bool = False) -> DataFrame:
-    """Adds z, each value against the statistics before it, which then move towards it.
+def normalised(df: DataFrame, keys: list[str], order: list[str], x: str, a: float, mean: float, var: float, floor: float = 0.01, rolling: bool = False, range_rows: int = ranged.RANGE_ROWS) -> DataFrame:
+    """Adds z, each value against the statistics m and v before it, which then move towards it.
 
-    The variance takes in the squared step from the old mean, or with rolling the one from the new mean.
+    The variance takes in the squared step from the old mean, or with rolling the one from the new mean.  A missing value
+    moves nothing and has no z.
     """
-    start = F.struct(F.lit(mean).alias("m"), F.lit(var).alias("v"), F.lit(0.0).alias("z"))
-
-    def step(s: Column, o: Column) -> Column:
-        d = o[x] - s["m"]
-        m = s["m"] + a * d
-        v = (1 - a) * s["v"] + a * F.pow(o[x] - m, 2) if rolling else (1 - a) * (s["v"] + a * d * d)
-        return F.struct(m.alias("m"), v.alias("v"), (d / F.greatest(F.sqrt(s["v"]), F.lit(floor))).alias("z"))
-
-    rows = series(df, keys, order, x).withColumn("state", scanned(F.col("obs"), start, step))
-    rows = rows.select(*keys, F.explode(F.arrays_zip("obs", "state")).alias("r"))
-    return rows.select(*keys, *[F.col(f"r.obs.{c}").alias(c) for c in [*order, x]], F.col("r.state.m").alias("m"), F.col("r.state.v").alias("v"), F.col("r.state.z").alias("z"))
-
-
-def novel(df: DataFrame, keys: list[str], order: list[str], x: str, least: float) -> DataFrame:
-    """Rows whose value differs by more than `least`, relative, from the last accepted one; the first is accepted."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(False).alias("ok"))
+    return ranged.scan(df, keys, order, ranged.Normaliser(x, a, mean, var, floor, rolling), range_rows)
 
-    def step(s: Column, o: Column) -> Column:
-        change = F.abs(o[x] - s["last"]) / F.greatest(F.abs(s["last"]), F.abs(o[x]), F.lit(1e-10))
-        ok = F.coalesce(change > least, F.lit(True))
-        return F.struct(F.when(ok, o[x]).otherwise(s["last"]).alias("last"), ok.alias("ok"))
 
-    rows = series(df, keys, order, x).withColumn("state", scanned(F.col("obs"), start, step))
-    rows = rows.select(*keys, F.explode(F.arrays_zip("obs", "state")).alias("r")).where("r.state.ok")
-    return rows.select(*keys, *[F.col(f"r.obs.{c}").alias(c) for c in [*order, x]])
+def novel(df: DataFrame, keys: list[str], order: list[str], x: str, least: float, range_rows: int = ranged.RANGE_ROWS) -> DataFrame:
+    """Rows whose value differs by more than `least`, relative, from the last accepted one; the first is accepted, missing values aren't."""
+    return ranged.scan(df, keys, order, ranged.Novelty(x, least), range_rows).where("ok = 1").select(*keys, *order, x)
 
 
-def cooled(df: DataFrame, keys: list[str], order: list[str], seconds: int | Column) -> DataFrame:
+def cooled(df: DataFrame, keys: list[str], order: list[str], seconds: int | Column, range_rows: int = ranged.RANGE_ROWS) -> DataFrame:
     """Events at least so long after the last event of the same keys that was let through; a suppressed one does not restart the clock.
 
     `seconds` may be a column that is constant for the keys, such as the cooldown of a trigger's type.
     """
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(False).alias("ok"))
     wait = seconds if isinstance(seconds, Column) else F.lit(seconds)
+    timed = df.withColumns({"__at": F.unix_micros(F.col(order[0]).cast("timestamp")), "__wait": wait.cast("double") * 1_000_000})
+    return ranged.scan(timed, keys, order, ranged.Cooldown("__at", "__wait"), range_rows).where("ok = 1").select(*keys, *order)
 
-    def step(s: Column, o: Column) -> Column:
-        ok = F.coalesce(o["__at"] - s["last"] >= o["__wait"], F.lit(True))
-        return F.struct(F.when(ok, o["__at"]).otherwise(s["last"]).alias("last"), ok.alias("ok"))
-
-    timed = df.withColumns({"__at": F.unix_micros(F.col(order[0]).cast("timestamp")), "__wait": (wait.cast("double") * 1_000_000).cast("long")})
-    rows = series(timed, keys, order, "__at", "__wait").withColumn("state", scanned(F.col("obs"), start, step))
-    rows = rows.select(*keys, F.explode(F.arrays_zip("obs", "state")).alias("r")).where("r.state.ok")
-    return rows.select(*keys, *[F.col(f"r.obs.{c}").alias(c) for c in order])
-
-
-def gas_noise(df: DataFrame, keys: list[str], order: list[str], ratio: str, log_r0: float, beta: float, a: float, most: float, low: float, high: float) -> DataFrame:
-    """Score-driven log noise: log R' = clip((1 - beta) log R0 + beta log R + a (min(ratio, most) - 1), low, high)."""
-    start = F.struct(F.lit(log_r0).alias("r"))
-
-    def step(s: Column, o: Column) -> Column:
-        r = (1 - beta) * log_r0 + beta * s["r"] + a * (F.least(o[ratio], F.lit(most)) - 1)
-        return F.struct(F.least(F.greatest(r, F.lit(low)), F.lit(high)).alias("r"))
 
-    rows = series(df, keys, order, ratio).withColumn("state", final(F.col("obs"), start, step))
-    return rows.select(*keys, F.size("obs").alias("n"), F.col("state.r").alias("log_r"))
+def gas_noise(df: DataFrame, keys: list[str], order: list[str], ratio: str, log_r0: float, beta: float, a: float, most: float, low: float, high: float, range_rows: int = ranged.RANGE_ROWS) -> DataFrame:
+    """Score-driven log noise after each series: log R' = clip((1 - beta) log R0 + beta log R + a (min(ratio, most) - 1), low, high)."""
+    rows = ranged.last(df, keys, order, ranged.ClippedNoise(ratio, log_r0, beta, a, most, low, high), range_rows)
+    return rows.select(*keys, "n", F.element_at("__state", 1).alias("log_r"))

@@ -40,3 +40,23 @@ def carried_panel(panel: DataFrame, key: str, streams: list[str]) -> DataFrame:
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     filled = panel.select(key, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in streams])
     return filled.dropna(subset=streams)
+
+
+def positions(df: DataFrame, keys: list[str], order: str, span: int = 1 << 16, ties: list[str] | None = None) -> DataFrame:
+    """Adds __pos, each row's place from 0 in its keys by `order` (whole numbers), those of one number by `ties`.
+
+    Rows are counted in ranges of this span of `order` and ranked within them, so a long series is many tasks.
+    """
+    rows = df.withColumn("__range", F.floor(F.col(order) / span))
+    counts = rows.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(order, *(ties or []))) - 1)
+    return ranked.join(counts, [*keys, "__range"]).withColumn("__pos", F.col("__k") + F.col("__before")).drop("__range", "__k", "__before")
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: list[str], order: str, span: int = 1 << 16) -> DataFrame:
+    """Rows of both sides that stand at one position of their keys by `order`, ties by the other columns; what one side has more is left out."""
+    others = lambda df: [x for x in df.columns if x != order and x not in keys]
+    a, b = positions(left, keys, order, span, others(left)), positions(right, keys, order, span, others(right))
+    return a.join(b.drop(order), [*keys, "__pos"])

@@ -356,3 +356,56 @@ def updates(obs: DataFrame, variants: dict[str, Config]) -> DataFrame:
             yield from records(pdf, name, config)
 
     return by_slabs(obs, run, UPDATE_SCHEMA)
+
+
+BRANCH_SCHEMA = "entity long, config_id string, day date, step int, factors array<double>, branches array<struct<name: string, p: double, factors: array<double>>>"
+
+
+def branch_states(obs: DataFrame, variants: dict[str, Config], every: int = 7) -> DataFrame:
+    """At the snapshots of `replay`: the shared filter's factors beside those of every branch, with the branch's probability."""
+
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for name, config in variants.items():
+            keys, names = known_keys(config), [b.name for b in config.branches]
+            slab = slab_of(pdf, config, keys)
+            engine = Lockstep(config, len(slab.entity), keys)
+
+            def rows(which: np.ndarray, day: np.ndarray, name: str = name, names: list[str] = names, slab: Slab = slab, engine: Lockstep = engine) -> pd.DataFrame:
+                branches = [[{"name": b, "p": p, "factors": x.tolist()} for b, p, x in zip(names, ps, xs)] for ps, xs in zip(engine.bank.mu[which].tolist(), engine.bank.x[which])]
+                return pd.DataFrame({"entity": slab.entity[which], "config_id": name, "day": day, "step": engine.step[which].astype(np.int32), "factors": list(engine.base.x[which, 0]), "branches": branches})
+
+            for k, at in stepped(slab, engine):
+                if k % every == 0:
+                    yield rows(np.arange(len(at)), slab.day[at])
+            left = np.flatnonzero((slab.n_days > 0) & ((slab.n_days - 1) % every != 0))
+            yield rows(left, slab.last_day[left])
+
+    return by_slabs(obs, run, BRANCH_SCHEMA)
+
+
+HEALTH_SCHEMA = "entity long, config_id string, day date, condition double, effective_rank int, deviations array<double>"
+
+
+def health(p: np.ndarray, share: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
+    """(condition, effective rank) of covariances (n, N, N): the largest by the smallest eigenvalue, and how many are over this share of the largest."""
+    value = np.linalg.eigvalsh((p + p.transpose(0, 2, 1)) / 2)
+    return value[:, -1] / np.maximum(value[:, 0], 1e-10), (value > share * value[:, -1:]).sum(1)
+
+
+def covariance_health(obs: DataFrame, variants: dict[str, Config]) -> DataFrame:
+    """Condition, effective rank and standard deviations of the shared filter's covariance at every entity's last day."""
+
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for name, config in variants.items():
+            keys = known_keys(config)
+            slab = slab_of(pdf, config, keys)
+            engine = Lockstep(config, len(slab.entity), keys)
+            for _ in stepped(slab, engine):
+                pass
+            which = np.flatnonzero(slab.n_days > 0)
+            p = engine.base.p[which, 0]
+            condition, rank = health(p)
+            deviations = np.sqrt(np.maximum(np.diagonal(p, axis1=1, axis2=2), 0))
+            yield pd.DataFrame({"entity": slab.entity[which], "config_id": name, "day": slab.last_day[which], "condition": condition, "effective_rank": rank.astype(np.int32), "deviations": list(deviations)})
+
+    return by_slabs(obs, run, HEALTH_SCHEMA)

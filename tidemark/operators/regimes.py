@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as c
 from tidemark.functions import scalars
-from tidemark.operators import folds
+from tidemark.operators import ranged
 from tidemark.operators.filters import vector
 
 #: Names of the quantities that evidence is written in, by factor.
@@ -40,18 +40,9 @@ def shares(scored: DataFrame, temperature: float = c.SOFTMAX_TEMPERATURE) -> Dat
 
 def smoothed(df: DataFrame, keys: list[str], order: list[str], regime: str) -> DataFrame:
     """(keys, order, sub-regimes): each row's shares times what the sticky transitions carry over from the row before, scaled to one."""
-    subs, tpm = list(c.SUB_REGIMES[regime]), c.STICKY_TRANSITIONS[regime]
-    start = F.struct(*[F.lit(None).cast("double").alias(x) for x in subs])
-
-    def step(s: Column, o: Column) -> Column:
-        carried = [sum((s[a] * tpm[i][j] for i, a in enumerate(subs)), F.lit(0.0)) for j in range(len(subs))]
-        weights = [F.coalesce(x * o[b], o[b]) for x, b in zip(carried, subs)]
-        total = sum(weights[1:], weights[0])
-        return F.struct(*[F.when(total > 1e-15, w / total).otherwise(o[b]).alias(b) for w, b in zip(weights, subs)])
-
-    rows = folds.series(df, keys, order, *subs).withColumn("state", folds.scanned(F.col("obs"), start, step))
-    rows = rows.select(*keys, F.explode(F.arrays_zip("obs", "state")).alias("r"))
-    return rows.select(*keys, *[F.col(f"r.obs.{x}").alias(x) for x in order], *[F.col(f"r.state.{x}").alias(x) for x in subs])
+    subs = tuple(c.SUB_REGIMES[regime])
+    rows = ranged.scan(df, keys, order, ranged.Sticky(subs, tuple(map(tuple, c.STICKY_TRANSITIONS[regime]))))
+    return rows.select(*keys, *order, *[F.col(f"smoothed_{s}").alias(s) for s in subs])
 
 
 def targets(regime: str, amplified: float = c.DELTA_AMPLIFICATION) -> tuple[dict[str, np.ndarray], np.ndarray]:

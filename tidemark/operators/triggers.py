@@ -101,6 +101,21 @@ def early_warnings(updates: DataFrame, rules: Rules | None = None) -> DataFrame:
     return updates.select("entity", "at", "n", "stream_key", "z", "gain", "probabilities").groupBy("entity").applyInPandas(run, WARNING_SCHEMA)
 
 
+def structural_breaks(states: DataFrame, sigma: float = 3.0, spread: float = 0.3, least: int = 2) -> DataFrame:
+    """Adds to rows of `lockstep.branch_states`: outside, the factors that no branch comes near (name and value), broken where there are `least`, and the text that tells so.
+
+    A branch is near a factor when it differs by less than sigma * spread.  A row holds all that is compared, so nothing is joined.
+    """
+    names = F.array(*[F.lit(x) for x in c.FACTORS])
+    named = F.zip_with(names, "factors", lambda name, value: F.struct(name.alias("name"), value.alias("value")))
+    far = lambda i, value: F.forall("branches", lambda b: F.abs(value - F.get(b["factors"], i)) >= sigma * spread)
+    outside = F.filter(named, lambda f, i: far(i, f["value"]))
+    told = F.array_join(F.transform(F.slice("outside", 1, 4), lambda f: F.format_string("%s=%+.3f", f["name"], f["value"])), ", ")
+    rows = states.withColumn("outside", outside).withColumn("broken", F.size("outside") >= least)
+    detail = F.concat(F.lit("State outside all branch models on "), F.size("outside").cast("string"), F.lit(" factors: "), told)
+    return rows.withColumn("detail", F.when(F.col("broken"), detail))
+
+
 def _runs(df: DataFrame, keys: list[str], order: list[str], flag: Column, length: int) -> DataFrame:
     runs = windows.islands(df, keys, order, flag).where(F.col("flag").cast("int") != 0)
     return runs.groupBy(*keys, "run", "flag").agg(F.min(order[0]).alias("first_day"), F.max(order[0]).alias("last_day"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= length).drop("run")

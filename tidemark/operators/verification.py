@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import distributions, scalars
+
 
 def bin_of(p: Column, bins: int) -> Column:
     """Equal-width bin from 0, the last one closed."""
@@ -98,6 +100,55 @@ def diebold_mariano(df: DataFrame, keys: list[str], order: list[str], horizon: i
     return sums.select(*keys, "n", (F.col("m") / F.sqrt(variance) * factor).alias("statistic"))
 
 
+def diebold_mariano_test(df: DataFrame, keys: list[str], d: str, horizon: int, span: int = 1 << 12) -> DataFrame:
+    """(keys, n, mean_difference, statistic, p_value, verdict) of loss differences d at positions __pos: negative, the first is better.
+
+    The sample variance, with mean products at lags up to horizon - 1 and the small-sample factor; two-sided by the normal
+    distribution.  A difference that hardly varies is none.  Lags are taken in ranges of positions, each with the last
+    horizon - 1 rows of the range before.
+    """
+    last = horizon - 1
+    rows = df.select(*keys, "__pos", F.col(d).alias("__d")).withColumn("__own", F.floor(F.col("__pos") / span))
+    reach = F.when((F.col("__pos") % span >= span - last) & F.lit(last > 0), F.array(F.col("__own"), F.col("__own") + 1)).otherwise(F.array("__own"))
+    means = rows.groupBy(*keys).agg(F.avg("__d").alias("__m"), F.count("__d").alias("n"), F.var_samp("__d").alias("__v"))
+    w = Window.partitionBy(*keys, "__range").orderBy("__pos")
+    lagged = rows.withColumn("__range", F.explode(reach)).select("*", *[F.lag("__d", k).over(w).alias(f"__l{k}") for k in range(1, horizon)]).where("__range = __own")
+    products = [F.avg((F.col("__d") - F.col("__m")) * (F.col(f"__l{k}") - F.col("__m"))) for k in range(1, horizon)]
+    spread = F.col("__v") + 2 * sum((F.col(f"__g{k}") for k in range(1, horizon)), F.lit(0.0))
+    g = lagged.join(means, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.max("__m").alias("mean_difference"), F.max("__v").alias("__v"), *[p.alias(f"__g{k}") for k, p in enumerate(products, 1)])
+    g = g.withColumn("__se", F.sqrt(F.greatest(spread, F.lit(0.0)) / F.col("n")))
+    n, h = F.col("n"), horizon
+    statistic = F.col("mean_difference") / F.nullif(F.col("__se"), F.lit(0.0)) * F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
+    g = g.withColumn("statistic", F.when(F.col("__se") < 1e-12, 0.0).otherwise(statistic)).withColumn("p_value", 2 * (1 - distributions.normal_cdf(F.abs("statistic"))))
+    verdict = F.when(F.col("p_value") >= 0.05, "no significant difference").when(F.col("statistic") < 0, "first better").otherwise("second better")
+    return g.select(*keys, "n", "mean_difference", "statistic", "p_value", verdict.alias("verdict"))
+
+
+def whiteness_detail(df: DataFrame, keys: list[str], order: list[str], x: str, lags: int = 10, least: int = 50, same: float = 1e-10) -> DataFrame:
+    """Autocorrelations at lags 1, 2, 5 and 10, repeated values and their runs, and the first lag at which Ljung-Box passes, of series of at least so many values."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    means = df.groupBy(*keys).agg(F.avg(x).alias("__m"), F.count(x).alias("n")).where(F.col("n") >= least)
+    rows = df.where(F.col(x).isNotNull()).join(means, keys).withColumn("__c", F.col(x) - F.col("__m"))
+    repeat = F.coalesce(F.abs(F.col(x) - F.lag(x).over(w)) < same, F.lit(False))
+    rows = rows.select(*keys, *order, "n", "__c", repeat.cast("int").alias("__same"), *[F.lag("__c", k).over(w).alias(f"__l{k}") for k in range(1, lags + 1)])
+    rows = rows.withColumn("__run", F.sum(1 - F.col("__same")).over(w))
+    runs = rows.groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("__size")).where("__size > 1").groupBy(*keys).agg(F.max("__size").alias("max_run"), F.avg("__size").alias("avg_run"), F.count(F.lit(1)).alias("n_runs"))
+    g = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("__same").alias("__repeats"), F.sum(F.col("__c") * F.col("__c")).alias("__v"), *[F.sum(F.col("__c") * F.col(f"__l{k}")).alias(f"__s{k}") for k in range(1, lags + 1)])
+    acf = {k: F.try_divide(F.col(f"__s{k}"), F.col("__v")) for k in range(1, lags + 1)}
+    q, passes = F.lit(0.0), F.lit(None).cast("int")
+    tests = []
+    for k, r in acf.items():
+        q = q + r * r / (F.col("n") - k)
+        tests.append(distributions.chi_squared_p(F.col("n") * (F.col("n") + 2) * q, F.lit(k)).alias(f"__p{k}"))
+    g = g.select("*", *tests)
+    for k in reversed(acf):
+        passes = F.when(F.col(f"__p{k}") > 0.05, k).otherwise(passes)
+    found = g.join(runs, keys, "left")
+    shown = [acf[k].alias(f"acf_{k}") for k in (1, 2, 5, 10) if k in acf]
+    none = F.lit(0).cast("long")
+    return found.select(*keys, "n", *shown, (F.col("__repeats") / (F.col("n") - 1)).alias("repeats"), F.coalesce("max_run", none).alias("max_run"), F.coalesce("avg_run", F.lit(0.0)).alias("avg_run"), F.coalesce("n_runs", none).alias("n_runs"), passes.alias("first_pass_lag"))
+
+
 def berkowitz(df: DataFrame, keys: list[str], order: str, z: str, span: int = 1 << 16) -> DataFrame:
     """Likelihood ratio of an AR(1) on normal scores against independent standard ones, over all consecutive pairs of a series.
 
@@ -139,3 +190,16 @@ def suite(df: DataFrame, bins: int = 10) -> DataFrame:
         rows = frame.select("regime", *[F.col(n).cast("double").alias(prefix + n) for n in names]).unpivot(["regime"], [prefix + n for n in names], "metric", "value")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def by_factor(updates: DataFrame, gain: str, z: str, factors: list[str]) -> DataFrame:
+    """A column for each factor: its share of an update's innovation, gain times standardised innovation."""
+    return updates.select("*", *[(F.get(F.col(gain), F.lit(i)) * F.col(z)).alias(f"__f_{f}") for i, f in enumerate(factors)])
+
+
+def factor_correlations(df: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:
+    """(keys, n, first, second, r) of every pair of `by_factor`'s columns, from one aggregation; null where one never moves."""
+    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[scalars.correlation(f"__f_{a}", f"__f_{b}").alias(f"{a}|{b}") for a, b in pairs])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]))
+    return g.select(*keys, "n", each.alias("p")).select(*keys, "n", "p.*")

@@ -66,3 +66,14 @@ def warm_rows(df: DataFrame, order: str, skip: int) -> DataFrame:
     """Rows after the first `skip` distinct dates, numbered from 1 in column step. Dates are ranked once, on their own, then joined."""
     dates = df.select(order).distinct().withColumn("step", F.row_number().over(Window.orderBy(order)))
     return df.join(dates, order).where(F.col("step") > skip)
+
+
+def warmed(df: DataFrame, owner: list[str], own: list[str], order: str, first: int, least: int, instead: int) -> DataFrame:
+    """Rows of each series (owner and own keys) that its statistics start from: those among the first distinct values of `order` of its
+    owner, or where these are under `least`, its first `instead` rows."""
+    series = [*owner, *own]
+    days = df.select(*owner, order).distinct().withColumn("__place", F.row_number().over(along(owner, [order]))).where(F.col("__place") <= first)
+    rows = df.join(days.withColumn("__early", F.lit(1)), [*owner, order], "left")
+    w = Window.partitionBy(*series)
+    rows = rows.withColumns({"__k": F.row_number().over(along(series, [order])), "__n": F.count("__early").over(w)})
+    return rows.where(F.when(F.col("__n") >= least, F.col("__early").isNotNull()).otherwise(F.col("__k") <= instead)).drop("__k", "__n", "__early", "__place")

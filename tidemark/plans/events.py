@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants, distributions, scalars
-from tidemark.operators import estimation, folds, joins, triggers, verification, windows
+from tidemark.operators import estimation, folds, joins, ranged, triggers, verification, windows
 from tidemark.plans.registry import query
 from tidemark.plans.verify import _INNOVATIONS, _innovations
 from tidemark.sources import tables
@@ -69,16 +69,7 @@ def stale_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def streak_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four large innovations in a row fire once and start the count anew."""
-    start = F.struct(F.lit(0).alias("run"), F.lit(False).alias("fired"))
-
-    def step(s: Column, o: Column) -> Column:
-        large = F.abs(o["z"]) > 0.8
-        fired = large & (s["run"] + 1 >= 4)
-        return F.struct(F.when(large & ~fired, s["run"] + 1).otherwise(0).alias("run"), fired.alias("fired"))
-
-    rows = folds.series(_innovations(spark, sf_dir), ["entity"], ["ts", "seq"], "z").withColumn("state", folds.scanned(F.col("obs"), start, step))
-    rows = rows.select("entity", F.explode(F.arrays_zip("obs", "state")).alias("r")).where("r.state.fired")
-    return rows.select("entity", F.col("r.obs.seq").alias("seq"))
+    return ranged.scan(_innovations(spark, sf_dir), ["entity"], ["ts", "seq"], ranged.Streak("z", 0.8, 4)).where("fired = 1").select("entity", "seq")
 
 
 @query(
@@ -260,15 +251,7 @@ def covariance_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def boundary_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two falls in a row that come near the bound from above fire once and start the count anew."""
-    start = F.struct(F.lit(None).cast("double").alias("p"), F.lit(0).alias("run"), F.lit(False).alias("fired"))
-
-    def step(s: Column, o: Column) -> Column:
-        near = F.coalesce((o["p"] < s["p"]) & (o["p"] > 0.3) & (o["p"] - 0.3 < 0.2), F.lit(False))
-        fired = near & (s["run"] + 1 >= 2)
-        return F.struct(o["p"].alias("p"), F.when(near & ~fired, s["run"] + 1).otherwise(0).alias("run"), fired.alias("fired"))
-
-    rows = folds.series(tables.snapshots_long(spark, sf_dir), ["regime"], ["day"], "p").withColumn("state", folds.scanned(F.col("obs"), start, step))
-    return rows.select("regime", F.explode(F.arrays_zip("obs", "state")).alias("r")).where("r.state.fired").select("regime", F.col("r.obs.day").alias("day"))
+    return ranged.scan(tables.snapshots_long(spark, sf_dir), ["regime"], ["day"], ranged.Approach("p", 0.3, 0.2, 2)).where("fired = 1").select("regime", "day")
 
 
 @query("w14_raw_proxies", with_ctes("obs") + " SELECT entity, stream_key, seq, round(sum(raw) OVER w20, 6) AS sum_20, round(raw - lag(raw, 3) OVER w, 6) AS change_3, round(raw - lag(raw, 5) OVER w, 6) AS change_5 FROM obs WHERE raw IS NOT NULL WINDOW w AS (PARTITION BY entity, stream_key ORDER BY ts, seq), w20 AS (PARTITION BY entity, stream_key ORDER BY ts, seq ROWS 19 PRECEDING)")
