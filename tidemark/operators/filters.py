@@ -362,33 +362,33 @@ class Replay:
 SUB_SCHEMA = "entity long, day date, regime string, sub_regime string, p double, joint double, active boolean, shadow_inflation double"
 
 
+def sub_banks(config: Config) -> dict[str, Bank]:
+    """For each regime a bank of its sub-regimes, whose shifts come on top of the regime's."""
+    both = lambda r, d: {k: c.REGIME_ADJUSTMENTS[r].get(k, 0.0) + d.get(k, 0.0) for k in c.FACTORS}
+    return {r: Bank(config, [Branch(k, both(r, d)) for k, d in subs.items()], c.SUB_TRANSITIONS[r], c.SUB_FLOOR) for r, subs in c.SUB_REGIMES.items()}
+
+
 def nested(obs: DataFrame) -> DataFrame:
-    """At the last day of each entity: sub-regimes by a bank of their own in each regime, joint with the regime's probability, beside
-    shadow filters that start from the regime's shift and never compete."""
+    """The plain form of `lockstep.nested`, one entity at a time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         config = Config()
-        engine = Replay(config)
-        shift = {r: vector(c.REGIME_ADJUSTMENTS[r]) for r in c.REGIMES}
-        both = lambda r, d: {k: c.REGIME_ADJUSTMENTS[r].get(k, 0.0) + d.get(k, 0.0) for k in c.FACTORS}
-        banks = {r: Bank(config, [Branch(k, both(r, d)) for k, d in subs.items()], c.SUB_TRANSITIONS[r], c.SUB_FLOOR) for r, subs in c.SUB_REGIMES.items()}
-        shadows = {r: Filter.fresh(config, shift[r]) for r in c.REGIMES}
-        pdf = pdf.sort_values(["day", "ord"], kind="stable")
-        for _, part in pdf.groupby("day", sort=True):
-            engine.day(list(zip(part["stream_key"], part["z"])))
-            for follower in (*banks.values(), *shadows.values()):
+        engine, banks = Replay(config), sub_banks(config)
+        shadows = {r: Filter.fresh(config, vector(c.REGIME_ADJUSTMENTS[r])) for r in c.REGIMES}
+        days = list(in_days(pdf))
+        for _, observed in days:
+            known = [(key, z) for key, z in observed if key in config.streams and z == z]
+            engine.day(observed)
+            for follower in (*banks.values(), *shadows.values()) if known else ():
                 follower.predict()
-            for key, z in zip(part["stream_key"], part["z"]):
-                if key in config.streams and z == z:
-                    h, r = vector(config.streams[key]), engine.base_noise(key)
-                    for follower in (*banks.values(), *shadows.values()):
-                        follower.update(h, r, z)
+                for key, z in known:
+                    follower.update(vector(config.streams[key]), engine.base_noise(key), z)
         rows = []
         for k, regime in enumerate(c.REGIMES):
             up = float(engine.bank.mu[k])
             for name, p in zip(c.SUB_REGIMES[regime], banks[regime].mu):
-                rows.append((int(pdf["entity"].iloc[0]), pdf["day"].iloc[-1], regime, name, float(p), round(up * float(p), 4), up >= c.ACTIVE_AT, float(shadows[regime].x[0])))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in SUB_SCHEMA.split(", ")])
+                rows.append((int(pdf["entity"].iloc[0]), days[-1][0], regime, name, float(p), round(up * float(p), 4), up >= c.ACTIVE_AT, float(shadows[regime].x[0])))
+        return pd.DataFrame(rows, columns=_columns(SUB_SCHEMA))
 
     return obs.select("entity", "day", "ord", "stream_key", "z").groupBy("entity").applyInPandas(run, SUB_SCHEMA)
 

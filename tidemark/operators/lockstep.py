@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.functions import constants as c
-from tidemark.operators.filters import STATE_SCHEMA, UPDATE_SCHEMA, N, Bank, Config, Filter, Replay, vector
+from tidemark.operators.filters import STATE_SCHEMA, SUB_SCHEMA, UPDATE_SCHEMA, N, Bank, Config, Filter, Replay, sub_banks, vector
 
 #: Rows of whole entities that are stepped together; a longer series is a slab of its own.
 SLAB_ROWS = 1 << 17
@@ -409,3 +409,41 @@ def covariance_health(obs: DataFrame, variants: dict[str, Config]) -> DataFrame:
             yield pd.DataFrame({"entity": slab.entity[which], "config_id": name, "day": slab.last_day[which], "condition": condition, "effective_rank": rank.astype(np.int32), "deviations": list(deviations)})
 
     return by_slabs(obs, run, HEALTH_SCHEMA)
+
+
+def nested(obs: DataFrame) -> DataFrame:
+    """At the last day of each entity: sub-regimes by a bank of their own in each regime, joint with the regime's probability, beside
+    shadow filters that start from the regime's shift and never compete. The banks and shadows follow the engine's days."""
+
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        config = Config()
+        keys = known_keys(config)
+        slab = slab_of(pdf, config, keys)
+        entities = len(slab.entity)
+        engine = Lockstep(config, entities, keys)
+        banks = {r: Banks(b, entities) for r, b in sub_banks(config).items()}
+        shadows = Filters([Filter.fresh(config, vector(c.REGIME_ADJUSTMENTS[r])) for r in c.REGIMES], entities)
+
+        def on_predict(active: int) -> None:
+            rows = slice(0, active)
+            shadows.predict(rows)
+            for bank in banks.values():
+                bank.predict(rows)
+
+        def on_update(rows: np.ndarray, obs: np.ndarray, done: tuple[np.ndarray, ...]) -> None:
+            key, value = slab.key[obs], slab.z[obs]
+            h, r = engine.h[key], engine.base_r[key]
+            shadows.update(rows, h, r, value)
+            for bank in banks.values():
+                bank.observe(rows, h, r, value)
+
+        for _ in stepped(slab, engine, on_update, on_predict):
+            pass
+        which = np.flatnonzero(slab.n_days > 0)
+        for k, regime in enumerate(c.REGIMES):
+            up = engine.bank.mu[which, k]
+            for j, name in enumerate(c.SUB_REGIMES[regime]):
+                p = banks[regime].mu[which, j]
+                yield pd.DataFrame({"entity": slab.entity[which], "day": slab.last_day[which], "regime": regime, "sub_regime": name, "p": p, "joint": np.round(up * p, 4), "active": up >= c.ACTIVE_AT, "shadow_inflation": shadows.x[which, k, 0]})
+
+    return by_slabs(obs, run, SUB_SCHEMA)

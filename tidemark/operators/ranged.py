@@ -475,21 +475,31 @@ def _summaries(rows: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
         held: list[list[np.ndarray]] = []
         heads: pa.RecordBatch | None = None
 
-        def flush() -> pa.RecordBatch:
+        done: list[tuple[pa.RecordBatch, int, list[float]]] = []
+
+        def close() -> None:
             columns = [np.concatenate(c) for c in zip(*held)]
-            new = [pa.array([len(columns[0])], pa.int64()), pa.array([fold.summary(columns)], pa.list_(pa.float64()))]
-            return pa.RecordBatch.from_arrays([heads.column(k) for k in by] + new, names=[*by, "n", "summary"])
+            done.append((heads.select(by), len(columns[0]), fold.summary(columns)))
+
+        def rows_done() -> pa.RecordBatch:
+            keyed = pa.Table.from_batches([h for h, _, _ in done]).combine_chunks().to_batches()[0]
+            new = [pa.array([n for _, n, _ in done], pa.int64()), pa.array([s for _, _, s in done], pa.list_(pa.float64()))]
+            done.clear()
+            return pa.RecordBatch.from_arrays([keyed.column(k) for k in by] + new, names=[*by, "n", "summary"])
 
         for batch in batches:
             numbers, starts = _numbers(batch, fold.columns), _segments(batch, by)
             for lo, hi in zip(starts, np.append(starts[1:], batch.num_rows)):
                 if not (held and _values(heads, by, 0) == _values(batch, by, lo)):
                     if held:
-                        yield flush()
+                        close()
                     held, heads = [], batch.slice(lo, 1)
                 held.append([c[lo:hi] for c in numbers])
+            if done:
+                yield rows_done()
         if held:
-            yield flush()
+            close()
+            yield rows_done()
 
     return rows.mapInArrow(run, schema)
 
@@ -497,22 +507,38 @@ def _summaries(rows: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
 def _along(summaries: DataFrame, keys: list[str], fold: Fold, last: bool) -> DataFrame:
     """(keys, __part, __start): the state before each range; or with last (keys, n, __state), the one after the last. A row for each range of a series."""
     by = keys if last else [*keys, "__part"]
-    added = [T.StructField("n", T.LongType()), T.StructField("__state", T.ArrayType(T.DoubleType()))] if last else [T.StructField("__start", T.ArrayType(T.DoubleType()))]
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("__part").to_numpy(), kind="stable")
-        table = table.take(order)
-        state, before = fold.start(), []
-        for summary in table.column("summary").to_pylist():
-            before.append(list(state))
-            state = fold.moved(np.array(summary, float), state)
-        heads = table.select(by)
-        if last:
-            total = sum(table.column("n").to_pylist())
-            return heads.slice(0, 1).append_column("n", pa.array([total], pa.int64())).append_column("__state", pa.array([list(state)], pa.list_(pa.float64())))
-        return heads.append_column("__start", pa.array(before, pa.list_(pa.float64())))
-
-    return summaries.groupBy(*keys).applyInArrow(run, T.StructType([*_key_fields(summaries, by), *added]))
+    numbers = T.ArrayType(T.DoubleType())
+    added = [T.StructField("n", T.LongType()), T.StructField("__state", numbers)] if last else [T.StructField("__start", numbers)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, head, state, n = None, None, fold.start(), 0
+        for batch in batches:
+            heads, values, sizes, found = [], batch.column("summary").to_pylist(), batch.column("n").to_pylist(), []
+            keyed = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            for i, key in enumerate(keyed):
+                if key != open_key:
+                    if last and open_key is not None:
+                        heads.append(head)
+                        found.append((n, list(state)))
+                    open_key, head, state, n = key, batch.slice(i, 1).select(keys), fold.start(), 0
+                if not last:
+                    found.append(list(state))
+                state, n = fold.moved(np.array(values[i], float), state), n + sizes[i]
+            if last and found:
+                yield done(heads, found)
+            elif not last:
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in by] + [pa.array(found, pa.list_(pa.float64()))], names=[*by, "__start"])
+        if last and open_key is not None:
+            yield done([head], [(n, list(state))])
+
+    def done(heads: list[pa.RecordBatch], found: list[tuple[int, list[float]]]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
+        new = [pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays([rows.column(k) for k in keys] + new, names=[*keys, "n", "__state"])
+
+    tasks = int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = summaries.repartition(tasks, *keys).sortWithinPartitions(*keys, "__part")
+    return ordered.mapInArrow(run, T.StructType([*_key_fields(summaries, by), *added]))
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], fold: Fold, range_rows: int = RANGE_ROWS) -> DataFrame:

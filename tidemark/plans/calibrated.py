@@ -111,7 +111,7 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lockstep.replay(obs, {"base": filters.Config()}, every=1_000_000).groupBy("entity").agg(F.max_by("factors", "step").alias("x"))
     cols = {k: v for r in c.REGIMES for k, v in regimes.discriminant(F.col("x"), r).items()}
     scored = x.select("entity", *[v.alias(k) for k, v in cols.items()]).unpivot(["entity"], list(cols), "sub_regime", "scored")
-    both = filters.nested(obs).select("entity", "regime", "sub_regime", "p").join(scored, ["entity", "sub_regime"]).withColumn("e", regimes.ensemble(F.col("p"), F.col("scored")))
+    both = lockstep.nested(obs).select("entity", "regime", "sub_regime", "p").join(scored, ["entity", "sub_regime"]).withColumn("e", regimes.ensemble(F.col("p"), F.col("scored")))
     total = F.sum("e").over(Window.partitionBy("entity", "regime"))
     return both.select("entity", "regime", "sub_regime", F.round(F.col("e") / total, 4).alias("p"))
 

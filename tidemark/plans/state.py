@@ -194,7 +194,7 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r17_r19_nested_regimes")
 def nested_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.nested(_daily_z(spark, sf_dir))
+    return lockstep.nested(_daily_z(spark, sf_dir))
 
 
 @query("r36_em_transitions")
