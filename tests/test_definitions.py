@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as c
 from tidemark.functions import distributions
-from tidemark.operators import asof, filters, joins, lockstep, ranged, resampling, triggers, verification, windows
+from tidemark.operators import asof, filters, joins, lockstep, ranged, resampling, rival, triggers, verification, windows
 
 DAY = dt.date(2024, 1, 1)
 
@@ -219,3 +219,22 @@ def test_regime_loadings_are_used():
     for engine in (base, own):
         engine.day([("US_CPI_YOY", 2.0)])
     assert not np.allclose(base.bank.mu, own.bank.mu)
+
+
+def test_no_start_beats_the_one_that_is_kept(spark):
+    rng = np.random.default_rng(20)
+    rows = []
+    for k in ("a", "b"):
+        state, y = 0, 0.0
+        for t in range(150):
+            state = state if rng.random() < 0.95 else int(rng.integers(3))
+            y = (-2.0, 0.0, 3.0)[state] + 0.2 * y + rng.standard_normal() * (0.3, 1.0, 0.5)[state]
+            rows.append((k, t, float(y), float(rng.standard_normal())))
+    df = spark.createDataFrame(rows + [("short", 0, 1.0, 1.0)], "k string, t long, y double, x double")
+    got = {r.k: r for r in rival.best_of_starts(df, ["k"], "t", "y", ["x"], starts=6).collect()}
+    assert got.keys() == {"a", "b"}
+    for k, r in got.items():
+        y, x = (np.array([row[i] for row in rows if row[0] == k]) for i in (2, 3))
+        lls = [rival.switching_regression(y, x[:, None], start=None if s == 0 else rival.random_start(150, 3, np.random.default_rng([11, s]))).ll for s in range(6)]
+        assert r.ll == pytest.approx(max(lls)) and r.first_ll == pytest.approx(lls[0]) and r.ll >= r.first_ll and r.n == 150
+        assert r.means == sorted(r.means) and 0 < r.stay < 1

@@ -40,12 +40,19 @@ def _filter(like: np.ndarray, tpm: np.ndarray) -> tuple[np.ndarray, float]:
     return out, float(ll)
 
 
-def switching_regression(y: np.ndarray, x: np.ndarray, states: int = 3, rounds: int = 60, tolerance: float = 1e-6) -> Fit:
-    """EM of y = [1, x] beta(state) + sd(state) e; states start from equal parts of y by rank. A state's deviation is at least a hundredth of y's."""
+def random_start(n: int, states: int, rng: np.random.Generator) -> np.ndarray:
+    """(n, states) weights: stretches of geometric length, each mostly of one state."""
+    fresh = rng.random(n) < max(4 * states / max(n, 1), 0.05)
+    stretch = np.cumsum(fresh)
+    return rng.dirichlet(np.full(states, 0.3), int(stretch[-1]) + 1 if n else 0)[stretch] * 0.9 + 0.1 / states
+
+
+def switching_regression(y: np.ndarray, x: np.ndarray, states: int = 3, rounds: int = 60, tolerance: float = 1e-6, start: np.ndarray | None = None) -> Fit:
+    """EM of y = [1, x] beta(state) + sd(state) e; states start from these weights, or from equal parts of y by rank. A state's deviation is at least a hundredth of y's."""
     n, design = len(y), np.column_stack([np.ones(len(y)), x])
     least = max(0.01 * y.std(), 1e-6)
     part = np.argsort(np.argsort(y, kind="stable"), kind="stable") * states // max(n, 1)
-    weight = np.full((n, states), 0.2 / states) + 0.8 * (part[:, None] == np.arange(states))
+    weight = np.full((n, states), 0.2 / states) + 0.8 * (part[:, None] == np.arange(states)) if start is None else start
     tpm = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(tpm, 0.9 if states > 1 else 1.0)
     ridge, before, fit = 1e-6 * np.eye(design.shape[1]), -np.inf, None
@@ -115,3 +122,31 @@ def expanding(df: DataFrame, keys: list[str], y: str, x: list[str], events: list
 
     schema = ", ".join([*[f"{k} {df.schema[k].dataType.simpleString()}" for k in keys], REFIT_COLUMNS])
     return rows.groupBy(*keys, "refit").applyInPandas(run, schema)
+
+
+def best_of_starts(df: DataFrame, keys: list[str], order: str, y: str, x: list[str], starts: int = 10, states: int = 3, seed: int = 11) -> DataFrame:
+    """(keys, start, n, ll, first_ll, means, deviations, stay) of the likeliest of several fits of each series.
+
+    Start 0 is by ranks, the others are random; every start of a series is a task of its own.  Of equally likely fits the
+    first start counts; first_ll is the likelihood from ranks.  States go by their mean of y, rising.  Series of under
+    three values are left out.
+    """
+    rows = df.select(*keys, order, y, *x).dropna(subset=[order, y, *x]).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, s = pdf.sort_values(order), int(pdf["start"].iloc[0])
+        columns = [*keys, "start", "n", "ll", "means", "deviations", "stay"]
+        if len(pdf) < 3:
+            return pd.DataFrame([], columns=columns)
+        values = pdf[y].to_numpy(float)
+        weights = random_start(len(pdf), states, np.random.default_rng([seed, s])) if s else None
+        fit = switching_regression(values, pdf[x].to_numpy(float).reshape(len(pdf), len(x)), states, start=weights)
+        mean = (fit.smoothed * values[:, None]).sum(axis=0) / np.maximum(fit.smoothed.sum(axis=0), 1e-9)
+        by = np.argsort(mean)
+        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), s, len(pdf), fit.ll, mean[by].tolist(), fit.sd[by].tolist(), float(np.diag(fit.tpm).mean()))], columns=columns)
+
+    head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    fits = rows.groupBy(*keys, "start").applyInPandas(run, f"{head}, start int, n long, ll double, means array<double>, deviations array<double>, stay double")
+    top = F.max_by(F.struct("start", "n", "ll", "means", "deviations", "stay"), F.struct(F.round("ll", 9), -F.col("start")))
+    g = fits.groupBy(*keys).agg(top.alias("r"), F.max(F.when(F.col("start") == 0, F.col("ll"))).alias("first_ll"))
+    return g.select(*keys, "r.start", "r.n", "r.ll", "first_ll", "r.means", "r.deviations", "r.stay")

@@ -76,6 +76,15 @@ def expanding_refits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rival.expanding(rows, ["series"], "y", ["before"], _events(), first=48, every=6)
 
 
+@query("r38_many_starts")
+def many_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest of ten fits of the rival to every series' monthly returns given the month before's."""
+    w = windows.along(["series"], ["day"])
+    rows = tables.monthly_sales(spark, sf_dir).select("series", F.col("month").alias("day"), F.col("x").cast("double").alias("x"))
+    rows = rows.withColumn("y", windows.log_return(F.col("x"), w)).withColumn("before", F.lag("y").over(w))
+    return rival.best_of_starts(rows, ["series"], "day", "y", ["before"])
+
+
 @query("m11_estimated_parameters")
 def estimated_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loadings, noise, persistence and channels that the streams' daily means give."""

@@ -77,14 +77,17 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p19_fuzzy_key", "SELECT q.q, min(p_name) AS resolved FROM (SELECT DISTINCT split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) AS q FROM part) q JOIN (SELECT DISTINCT p_name FROM part) p ON contains(p_name, q) GROUP BY 1 HAVING count(*) = 1")
 def fuzzy_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A partial key resolves to the only full key that contains it. Queries and keys meet on the queries' own words, not pairwise."""
+    """A partial key resolves to the only full key that contains it.
+
+    Both meet by an equi-join on grams as long as the shortest query: a query by its first, a key by all of its own.
+    """
     keys = tables.table(spark, sf_dir, "part").select("p_name").distinct()
     asked = keys.select(F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("q")).distinct()
-    tails = keys.select("p_name", F.explode(F.sequence(F.lit(1), F.length("p_name"))).alias("k")).select("p_name", F.expr("substring(p_name, k)").alias("tail"))
-    asked = asked.withColumn("n", F.length("q"))
-    lengths = asked.select("n").distinct()
-    heads = tails.join(F.broadcast(lengths), F.length("tail") >= F.col("n")).select("p_name", F.expr("substring(tail, 1, n)").alias("q")).distinct()
-    found = asked.join(heads, "q").groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("resolved"))
+    size = asked.agg(F.min(F.length("q"))).first()[0] or 1  # one number
+    grams = keys.where(F.length("p_name") >= size).select("p_name", F.explode(F.sequence(F.lit(1), F.length("p_name") - size + 1)).alias("k"))
+    grams = grams.withColumn("gram", F.expr(f"substring(p_name, k, {size})"))
+    met = grams.join(asked.withColumn("gram", F.substring("q", 1, size)), "gram").where("substring(p_name, k, length(q)) = q")
+    found = met.select("q", "p_name").distinct().groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("resolved"))
     return found.where("n = 1").select("q", "resolved")
 
 
