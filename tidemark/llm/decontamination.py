@@ -144,6 +144,7 @@ class Benchmark:
 
     items: list[Item]
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    short: dict[tuple[int, ...], list[int]]  # the tokens of items that have no windows, and which items they are
 
 
 def _fillers(words: Words, template: Stream, at: range, end: int) -> list[str | None]:
@@ -171,11 +172,14 @@ def benchmark_of(rows: list[tuple[int, str]]) -> Benchmark:
     """The windows of these items in all forms; items of one template share its windows, so a templated benchmark is no larger for its copies."""
     items: list[Item] = []
     templates: dict[tuple, int] = {}
+    short: dict[tuple[int, ...], list[int]] = defaultdict(list)
     found: dict[tuple[int, int], list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
     for item_id, text in rows:
         for _, _, words in blocks(pa.array([text])):
             forms = streams(words)
             counts = []
+            if 0 < len(forms[0].hashes) < LEAST_WIDTH:
+                short[tuple(forms[0].hashes.tolist())].append(len(items))
             fillers = [_fillers(words, stream, range(len(stream.hashes)), int(words.first[-1])) for stream in forms]
             template = tuple(x for stream, own in zip(forms[1:], fillers[1:]) for x in (stream.hashes.tobytes(), _pattern(own)))
             lead = templates.setdefault(template, len(items))
@@ -194,20 +198,25 @@ def benchmark_of(rows: list[tuple[int, str]]) -> Benchmark:
         order = np.argsort(hashes, kind="stable")
         owner = np.concatenate([np.full(len(h), i) for h, i, _ in parts])
         tables[key] = (hashes[order], owner[order], np.concatenate([p for _, _, p in parts])[order])
-    return Benchmark(items, tables)
+    return Benchmark(items, tables, dict(short))
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Benchmark]:
     """The benchmark as blocks of items of about block_bytes of text: the driver and the tasks hold one block at a time."""
-    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    n = size // block_bytes + 1
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n = block_count(items, block_bytes)
+    if n > 1:
+        items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), "benchmark-blocks", by=["block"])
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
+        rows = (items.where(F.col("block") == b) if n > 1 else items).select("item_id", "text").collect()
         if rows:
             yield benchmark_of(sorted((int(r["item_id"]), r["text"]) for r in rows))
 
 
+def block_count(benchmark: DataFrame, block_bytes: int) -> int:
+    return benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // block_bytes + 1
+
+
 @dataclass
 class Piece:
     """A stretch of tokens that text and item share: where it starts in both, the windows met (offsets), and its fillers."""
@@ -301,7 +310,20 @@ def matches(words: Words, bench: Benchmark) -> list[tuple[int, int, int, float,
     for own in classes.values():
         whole = [k for k in own if best[k][4] and best[k][3] >= 1]
         kept += whole or [max(own, key=lambda k: (best[k][3], best[k][4], -k[1]))]
-    return [best[k] for k in sorted(kept)]
+    return [best[k] for k in sorted(kept)] + _short_matches(words, forms[0], bench)
+
+
+def _short_matches(words: Words, plain: Stream, bench: Benchmark) -> list[tuple[int, int, int, float, bool, int, int, int]]:
+    """Texts that are a short item and nothing else."""
+    if not bench.short:
+        return []
+    size, out = np.diff(plain.first), []
+    for t in np.flatnonzero((size > 0) & (size < LEAST_WIDTH)).tolist():
+        a, b = int(plain.first[t]), int(plain.first[t + 1])
+        base = int(words.first[t])
+        span = (int(plain.word[a]) - base, int(plain.word[b - 1]) + 1 - base)
+        out += [(t, bench.items[o].item_id, 1, 1.0, True, *span, 1) for o in bench.short.get(tuple(plain.hashes[a:b].tolist()), ())]
+    return out
 
 
 _MATCHES = "doc_id long, item_id long, n_windows long, cover double, literal boolean, from_word long, to_word long, n_alike long"
@@ -315,8 +337,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     cover is the share of the item's windows met in one chain, small where a quoted stretch alone counts;
     literal tells that they were met word for word; from_word and to_word bound what was met.
-    Null texts and items hold nothing, and items of fewer than four tokens can't be told from ordinary text.  Rows of
-    equal doc_id are told of together, null doc_ids as null; items of equal item_id are one row.  Empty tables give no rows.
+    Null texts and items hold nothing.  Items of fewer than four tokens can't be told from ordinary text within a longer
+    one: a document holds such an item where its tokens are all it has.  Rows of equal doc_id are told of together, null doc_ids as null; items of equal item_id are one row.  Empty tables give no rows.
     """
     done, now = [], None
     for block in benchmark_blocks(benchmark):
@@ -344,15 +366,30 @@ def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _MATCHES)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item; a row without a doc_id is judged by its text like any other."""
-    for bench in benchmark_blocks(benchmark):
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no item; a row without a doc_id is judged by its text like any other.
 
-        def run(batch: pa.RecordBatch, bench: Benchmark = bench) -> dict[str, pa.Array]:
-            held = np.zeros(batch.num_rows, bool)
-            for lo, _, words in blocks(batch.column("text")):
-                held[[lo + r[0] for r in matches(words, bench)]] = True
-            return {"__held": pa.array(held)}
+    A benchmark of one block filters where the documents are.  Of a larger one, each block's hashes of the documents that
+    hold its items are written before the next block is read, and those documents leave by one anti-join.
+    """
 
-        docs = map_columns(docs, {"__held": "boolean"}, run).where(~F.col("__held")).drop("__held")
-    return docs
+    def held_rows(batch: pa.RecordBatch, bench: Benchmark) -> np.ndarray:
+        held = np.zeros(batch.num_rows, bool)
+        for lo, _, words in blocks(batch.column("text")):
+            held[[lo + r[0] for r in matches(words, bench)]] = True
+        return held
+
+    if block_count(benchmark.where("text is not null and item_id is not null"), block_bytes) == 1:
+        for bench in benchmark_blocks(benchmark, block_bytes):
+            docs = map_columns(docs, {"__held": "boolean"}, lambda batch, bench=bench: {"__held": pa.array(held_rows(batch, bench))}).where(~F.col("__held")).drop("__held")
+        return docs
+    keys = {"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64(F.lit(1), "text", "doc_id")}
+    keyed, gone = docs.select("text", *[v.alias(k) for k, v in keys.items()]), []
+    for bench in benchmark_blocks(benchmark, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], bench: Benchmark = bench) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select(["__k1", "__k2"]).filter(pa.array(held_rows(batch, bench)))
+
+        gone.append(written(keyed.mapInArrow(run, "__k1 long, __k2 long"), "held-documents"))
+    return docs.withColumns(keys).join(reduce(DataFrame.unionByName, gone).distinct(), list(keys), "left_anti").select(*docs.columns)
