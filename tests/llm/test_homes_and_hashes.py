@@ -104,3 +104,27 @@ def test_an_input_text_column_is_replaced(spark):
     df = spark.createDataFrame([(1, f"<article>{P}</article>", "old", 5)], "page_id long, html string, text string, n_chars int")
     row = html_extraction.extract_text(df).first()
     assert row.text == LINE and row.n_chars == 5
+
+
+def test_a_hot_line_and_many_missing_ids(spark, monkeypatch):
+    """A line of every document is dealt to shares; rows without an id each lose their own lines, whatever the others hold."""
+    from tidemark.llm import hot, line_dedup
+
+    monkeypatch.setattr(hot, "LEAST_SHARE", 8)
+    hot_line = "a line that everyone has"
+    rows = [(i, f"{hot_line}\nonly in document {i} and nowhere else") for i in range(200)]
+    rows += [(None, f"{hot_line}\nwithout an id, number {i} here\nonly in document {i} and nowhere else") for i in range(30)]
+    rows += [(5, f"{hot_line}\nthe same id with another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = line_dedup.line_keys(df)
+    most, n = hot.most_of(keys, "h1", "h2")
+    assert most == 231 and -(-most // max(8, n // (4 * 4))) > 1
+    got = line_dedup.dedup_lines(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id == 0:
+            assert r.n_dropped == 0
+        elif r.doc_id is None:
+            assert r.n_dropped == 2 and r.text.startswith("without an id, number") and "\n" not in r.text
+        else:
+            assert r.n_dropped == 1 and hot_line not in r.text

@@ -12,15 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import map_columns, order_id, slices
+from tidemark.llm.hot import most_of, spread_join
 from tidemark.llm.storage import drop_path, new_path, written
 
 KEY = ["h1", "h2"]
 MIN_KEY_CHARS = 10
-_KEYS_SCHEMA = "d long, h1 long, h2 long"
+_KEYS_SCHEMA = "d long, print long, h1 long, h2 long"
 _RUN_SCHEMA = "h1 long, h2 long, first long"
 
 
@@ -37,21 +38,27 @@ def _hash(key: bytes) -> bytes:
     return hashlib.md5(key, usedforsecurity=False).digest()
 
 
-def line_keys(docs: DataFrame, least: int = MIN_KEY_CHARS) -> DataFrame:
-    """(d, h1, h2): the 128-bit hashes of the distinct line keys of each row, d its order id."""
+def _print(told_apart: bool) -> Column:
+    """What tells rows of one order id apart, where there are any: a hash of their text."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0)) if told_apart else F.lit(0).cast("long")
+
+
+def line_keys(docs: DataFrame, least: int = MIN_KEY_CHARS, told_apart: bool = True) -> DataFrame:
+    """(d, print, h1, h2): the 128-bit hashes of the distinct line keys of each row, d its order id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            ids, digests = [], []
-            for d, text in zip(batch.column("d").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            counts, digests = [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
                 own = {line_key(line) for line in (text or b"").split(b"\n")}
                 found = [_hash(k) for k in own if _long_enough(k, least)]
-                ids += [d] * len(found)
+                counts.append(len(found))
                 digests += found
             both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["d", *KEY])
+            ids = [pa.array(np.repeat(batch.column(c).to_numpy(), counts), pa.int64()) for c in ("d", "print")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(both[:, 0]), pa.array(both[:, 1])], names=["d", "print", *KEY])
 
-    return docs.select(order_id().alias("d"), "text").mapInArrow(run, _KEYS_SCHEMA)
+    return docs.select(order_id().alias("d"), _print(told_apart).alias("print"), "text").mapInArrow(run, _KEYS_SCHEMA)
 
 
 class LineRuns:
@@ -98,18 +105,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, batches: int =
 
     Keys of fewer than min_chars code points are never dropped.  Null text is one empty line and comes back as ''.
     Rows with the same doc_id are one document, so their common lines all stay; a null doc_id comes after all others.
-    An empty table gives an empty result.  Input columns named n_lines or n_dropped are replaced.
+    What a row loses is collected for its own lines, also where many rows share one id or have none, and a line that many
+    documents hold is dealt to shares.  An empty table gives an empty result.  Input columns named n_lines or n_dropped are replaced.
     """
-    keys = written(line_keys(docs, min_chars), "line-keys")
+    ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    told_apart = ids["ids"] < ids["rows"]
+    keys = written(line_keys(docs, min_chars, told_apart), "line-keys")
     runs, bounds = LineRuns(docs.sparkSession, fanout), batch_bounds(keys, batches)
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = keys
         part = part if low is None else part.where(F.col("d") > low)
         runs.add(part if high is None else part.where(F.col("d") <= high))
-    # A run row is unique by key, so a hot key is skewed on the left side only, where AQE can split it.
-    drops = keys.join(runs.rows().hint("merge"), KEY).where(F.col("d") > F.col("first"))
-    per_doc = drops.groupBy("d").agg(F.collect_set(F.struct(*KEY)).alias("__drop"))
-    rest = docs.withColumn("__d", order_id()).join(per_doc.withColumnRenamed("d", "__d"), "__d", "left")
+    most, rows = most_of(keys, *KEY)
+    drops = spread_join(keys, runs.rows(), KEY, "d", most, rows).where(F.col("d") > F.col("first"))
+    per_row = drops.groupBy("d", "print").agg(F.collect_set(F.struct(*KEY)).alias("__drop")).withColumnsRenamed({"d": "__d", "print": "__print"})
+    rest = docs.withColumns({"__d": order_id(), "__print": _print(told_apart)}).join(per_row, ["__d", "__print"], "left")
 
     def keep(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts, n_lines, n_dropped = [], [], []
@@ -124,4 +134,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, batches: int =
             n_dropped.append(n_lines[-1] - len(lines))
         return {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
 
-    return map_columns(rest, {"text": "string", "n_lines": "long", "n_dropped": "long"}, keep, drop=("__d", "__drop"))
+    return map_columns(rest, {"text": "string", "n_lines": "long", "n_dropped": "long"}, keep, drop=("__d", "__print", "__drop"))
