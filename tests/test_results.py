@@ -166,3 +166,13 @@ def test_states_of_streams_are_those_of_the_batch(spark, sf_dir):
     want = {(r.entity, r.day): r for r in lockstep.replay(state._daily_z(spark, sf_dir), {"base": filters.Config()}, every=1).collect()}
     assert got.keys() == want.keys()
     assert all(np.allclose(r.factors, want[k].factors) and r.n_updates == want[k].n_updates for k, r in got.items())
+
+
+def test_a40_success_of_every_entity(spark, sf_dir, updates):
+    rows = {r.entity: r for r in Q["a40_engine_success"](spark, sf_dir).collect()}
+    want = {e: u.sort_values("n") for e, u in updates[updates["n"] > 10].groupby("entity")}
+    assert rows.keys() == want.keys()
+    for e, u in want.items():
+        r, rate = rows[e], (u["z"].abs() > c.ANOMALY_THRESHOLD).mean()
+        change = np.array(u["probabilities"].iloc[-1]) - np.array(u["probabilities"].iloc[0])
+        assert (r.n, r.anomaly_rate, r.success) == (len(u), pytest.approx(rate), rate < 0.2) and np.allclose([r[f"change_{k}"] for k in c.REGIMES], change)

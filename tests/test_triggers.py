@@ -82,3 +82,14 @@ def test_cooldown_by_kind_and_bounded_history(spark):
     done = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "entity long, id int")
     kept = triggers.pending(df, done, kept=2).collect()
     assert sorted(r.id for r in kept if r.resolved) == [2, 3] and sum(not r.resolved for r in kept) == 3
+
+
+def test_pending_triggers_by_urgency(spark):
+    at = lambda h: START + dt.timedelta(hours=h)
+    kinds = ["tier_crossing", "structural_break", "unheard_of", "anomalous_data", "structural_break"]
+    df = spark.createDataFrame([(1, k, f"{i}", at(i)) for i, k in enumerate(kinds)] + [(2, "tier_crossing", "x", at(0))], "entity long, kind string, trigger_key string, at timestamp")
+    rows = triggers.pending(df).where("entity = 1").orderBy("place").collect()
+    assert [(r.place, r.kind, r.id) for r in rows] == [(1, "structural_break", 2), (2, "structural_break", 5), (3, "anomalous_data", 4), (4, "tier_crossing", 1), (5, "unheard_of", 3)]
+    done = spark.createDataFrame([(1, 2)], "entity long, id int")
+    rows = {r.id: r.place for r in triggers.pending(df, done).where("entity = 1").collect()}
+    assert rows == {2: None, 5: 1, 4: 2, 1: 3, 3: 4}

@@ -146,16 +146,21 @@ def extinction(df: DataFrame, keys: list[str], order: list[str], p: str = "p", b
 
 
 def pending(triggers: DataFrame, resolved: DataFrame | None = None, kept: int = 200) -> DataFrame:
-    """Triggers (entity, at, kind, trigger_key, ...) numbered by entity in order of time, with `resolved`; unresolved ones by urgency.
+    """Triggers (entity, at, kind, trigger_key, ...) numbered by entity in order of time, with `resolved` and `place`.
 
-    resolved holds (entity, id); of the resolved ones only the last `kept` of an entity stay.
+    resolved holds (entity, id); of the resolved ones only the last `kept` of an entity stay.  place is where an
+    unresolved trigger stands among its entity's by urgency of its kind, then by id, from 1; null for resolved ones.
     """
     numbered = triggers.withColumn("id", F.row_number().over(windows.along(["entity"], ["at", "kind", "trigger_key"])))
-    if resolved is None:
-        return numbered.withColumn("resolved", F.lit(False))
-    marked = numbered.join(resolved.select("entity", "id").distinct().withColumn("resolved", F.lit(True)), ["entity", "id"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    marked = numbered.withColumn("resolved", F.lit(False))
+    if resolved is not None:
+        done = resolved.select("entity", "id").distinct().withColumn("__done", F.lit(True))
+        marked = numbered.join(done, ["entity", "id"], "left").withColumn("resolved", F.coalesce("__done", F.lit(False))).drop("__done")
     back = F.row_number().over(Window.partitionBy("entity", "resolved").orderBy(F.desc("id")))
-    return marked.withColumn("__back", back).where(~F.col("resolved") | (F.col("__back") <= kept)).drop("__back")
+    marked = marked.withColumn("__back", back).where(~F.col("resolved") | (F.col("__back") <= kept)).drop("__back")
+    urgency = F.create_map(*[x for k, v in c.TRIGGERS.items() for x in (F.lit(k), F.lit(v[2]))])
+    order = Window.partitionBy("entity", "resolved").orderBy(F.coalesce(F.try_element_at(urgency, F.col("kind")), F.lit(len(c.TRIGGERS) + 1)), "id")
+    return marked.withColumn("place", F.when(~F.col("resolved"), F.row_number().over(order)))
 
 
 def cooled_by_kind(triggers: DataFrame, order: list[str]) -> DataFrame:

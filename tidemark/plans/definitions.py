@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import constants as c
 from tidemark.functions import scalars
 from tidemark.operators import asof, filters, joins, lockstep, ranged, regimes, resampling, triggers, verification, windows
-from tidemark.plans.engine import _features, _updates
+from tidemark.plans.engine import _LEVEL_SQL, _PANEL, _SLOPED, _features, _levels, _updates
 from tidemark.plans.registry import ORACLES, query
 from tidemark.plans.state import _daily_z
 from tidemark.plans.verify import _INNOVATIONS, _innovations
@@ -215,6 +215,51 @@ def genuine_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
+#: Levels and other quantities that the panel lacks, as changes of a level that it has over so many days.
+_STAND_INS = {"commodity": ("inflation", 2), "sentiment": ("growth", 1), "policy": ("finance", 3)}
+_STAND_INS |= {name: (_PANEL[i % len(_PANEL)][0], 1 + i % 6) for i, name in enumerate(x for x in regimes.OTHERS if x not in _SLOPED)}
+_FULL_SQL = (
+    _LEVEL_SQL
+    + ", sloped AS (SELECT *, "
+    + ", ".join(f"coalesce((({k} - lag({k}, {n}) OVER (ORDER BY day)) / {n}) * 100, 0.0) AS {name}" for name, (k, n) in _SLOPED.items())
+    + ", "
+    + ", ".join(f"coalesce(2 * ({k} - lag({k}, {n}) OVER (ORDER BY day)), 0.0) AS {name}" for name, (k, n) in _STAND_INS.items())
+    + " FROM levels), features AS (SELECT *, "
+    + ", ".join(f"{v} AS {k}" for k, v in regimes.DERIVED.items())
+    + " FROM sloped) SELECT day, "
+    + ", ".join(f"round({regimes.evidence_sql(k)}, 6) AS {k}" for k in c.EVIDENCE)
+    + " FROM features"
+)
+
+
+@query("r20_full_evidence", _FULL_SQL)
+def full_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven scorecards with every level, slope and proxy moving: those that the panel lacks are changes of those it has."""
+    w = Window.orderBy("day")  # a row for each date
+    slopes = [(F.coalesce((F.col(k) - F.lag(k, n).over(w)) / n, F.lit(0.0)) * 100).alias(name) for name, (k, n) in _SLOPED.items()]
+    others = [F.coalesce(2 * (F.col(k) - F.lag(k, n).over(w)), F.lit(0.0)).alias(name) for name, (k, n) in _STAND_INS.items()]
+    rows = regimes.evidence(_levels(spark, sf_dir).select("*", *slopes, *others))
+    return rows.select("day", *[F.round(k, 6).alias(k) for k in c.EVIDENCE])
+
+
+_REFERENCE_SQL = (
+    with_ctes("daily")
+    + """
+, g AS (SELECT a.stream_key AS factor, b.stream_key AS reference, corr(a.x, b.x) AS r, count(*) AS n FROM daily a JOIN daily b ON a.day = b.day AND a.stream_key <> b.stream_key GROUP BY 1, 2)
+SELECT factor, reference, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t, abs(r) >= 0.15 AS passed FROM g
+"""
+)
+
+
+@query("m9_reference_t", _REFERENCE_SQL)
+def reference_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stream against every other as its reference: correlation, its t value on n - 2 degrees, and whether it is at least 0.15 in size."""
+    from tidemark.plans.engine import reference_correlation
+
+    g = reference_correlation(spark, sf_dir)
+    return g.select("factor", "reference", "n", F.round("r", 6).alias("r"), F.round(F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))), 4).alias("t"), "passed")
+
+
 #: The proxies by name: a feature of one role, and less the same feature of another.
 PROXIES = {
     "oil_impulse_20": ("sum_20", "OIL_PRICE", None), "oil_impulse_60": ("sum_60", "OIL_PRICE", None), "ppi_cpi_spread": ("last", "PPI", "US_CPI_YOY"), "core_headline_gap": ("last", "CORE_CPI", "US_CPI_YOY"),
@@ -268,3 +313,105 @@ def proxies_at_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {k: one(feature, role) - one(feature, less) if less else one(feature, role) for k, (feature, role, less) in PROXIES.items()}
     g = found.groupBy("entity", "at").agg(*[F.round(v, 6).alias(k) for k, v in columns.items()])
     return g.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+#: The series of the monthly totals in the place of five factors.
+_SERIES_FACTORS = {"1-URGENT": "inflation_trend", "2-HIGH": "growth_trend", "3-MEDIUM": "labor_pressure", "4-NOT SPECIFIED": "housing_momentum", "5-LOW": "financial_conditions"}
+_WINDOW_REGIMES = dict(zip(_REGIMES, c.REGIMES))
+_USED = [(label, series, c.REGIME_ADJUSTMENTS[regime].get(factor, 0.0)) for label, regime in _WINDOW_REGIMES.items() for series, factor in _SERIES_FACTORS.items()]
+_MATCH_SQL = (
+    with_ctes("monthly", "windows")
+    + f"""
+, used(label, series, used) AS (VALUES {", ".join(f"('{a}', '{b}', {v})" for a, b, v in _USED)})
+, z AS (SELECT month, series, (x - avg(x) OVER (PARTITION BY series)) / stddev_samp(x) OVER (PARTITION BY series) AS z FROM monthly)
+, d AS (SELECT w.label, z.series, avg(z.z) AS derived FROM z JOIN windows w ON z.month BETWEEN w.w_start AND w.w_end GROUP BY 1, 2)
+SELECT d.label, count(*) AS n, round(avg(CASE WHEN abs(d.derived - u.used) < 0.25 THEN 1.0 ELSE 0.0 END), 6) AS matched, round(max(abs(d.derived - u.used)), 6) AS largest
+FROM d JOIN used u ON u.label = d.label AND u.series = d.series WHERE abs(d.derived) > 0.05 OR abs(u.used) > 0.05 GROUP BY 1
+"""
+)
+
+
+@query("a23_adjustment_match", _MATCH_SQL)
+def adjustment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each regime's adjustments, as the windows' standardised means give them, lie within a quarter of those in use; small ones on both sides don't count."""
+    used = spark.createDataFrame(_USED, "label string, series string, used double")  # a row for each regime and factor
+    w = Window.partitionBy("series")
+    z = tables.monthly_sales(spark, sf_dir).withColumn("z", (F.col("x") - F.avg("x").over(w)) / F.stddev_samp("x").over(w))
+    derived = joins.in_windows(z, tables.windows(spark), "month").groupBy("label", "series").agg(F.avg("z").alias("derived"))
+    gap = F.abs(F.col("derived") - F.col("used"))
+    g = derived.join(F.broadcast(used), ["label", "series"]).where((F.abs("derived") > 0.05) | (F.abs("used") > 0.05)).groupBy("label")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((gap < 0.25).cast("double")), 6).alias("matched"), F.round(F.max(gap), 6).alias("largest"))
+
+
+@query("a40_engine_success")
+def engine_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every entity after its first ten updates: the share of anomalies, how the regimes' probabilities changed from the first to the last, and whether under a fifth were anomalies."""
+    u = _updates(spark, sf_dir).where("n > 10")
+    first, last = F.min_by("probabilities", "n"), F.max_by("probabilities", "n")
+    g = u.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.avg((F.abs("z") > c.ANOMALY_THRESHOLD).cast("double")).alias("anomaly_rate"), first.alias("start"), last.alias("end"))
+    changes = [(F.get("end", F.lit(i)) - F.get("start", F.lit(i))).alias(f"change_{r}") for i, r in enumerate(c.REGIMES)]
+    return g.select("entity", "n", "anomaly_rate", *changes, (F.col("anomaly_rate") < 0.2).alias("success"))
+
+
+_DATES_SQL = (
+    with_ctes("windows")
+    + """
+, f AS (SELECT w.w_start, w.label, w.w_end, max(CAST(o.o_orderdate AS DATE)) AS last_day FROM windows w JOIN orders o ON CAST(o.o_orderdate AS DATE) BETWEEN w.w_start AND w.w_end AND o.o_totalprice > 300000 GROUP BY 1, 2, 3)
+SELECT w_start, label, date_diff('day', w_start, last_day) AS days, round(date_diff('day', w_start, last_day) / 7.0, 4) AS weeks, round(date_diff('day', w_start, last_day) / 30.44, 4) AS months,
+       CAST(w_start - INTERVAL 6 MONTH AS DATE) AS search_from, CAST(w_end + INTERVAL 1 MONTH AS DATE) AS search_to FROM f
+"""
+)
+
+
+@query("f9_dates", _DATES_SQL)
+def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days, weeks and months of 30.44 days to the last large order of each window, and the window widened by months."""
+    o = tables.table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.to_date("o_orderdate").alias("day"))
+    g = joins.in_windows(o, tables.windows(spark)).groupBy("w_start", "label", "w_end").agg(F.max("day").alias("last_day"))
+    days = F.datediff("last_day", "w_start")
+    return g.select("w_start", "label", days.cast("long").alias("days"), F.round(days / 7.0, 4).alias("weeks"), F.round(days / 30.44, 4).alias("months"), F.add_months("w_start", -6).alias("search_from"), F.add_months("w_end", 1).alias("search_to"))
+
+
+_LAG_SQL = (
+    with_ctes("monthly")
+    + """
+, l AS (SELECT series, month, x, lag(x) OVER (PARTITION BY series ORDER BY month) AS b FROM monthly)
+SELECT a.series AS source, t.series AS target, count(*) AS n, round(corr(a.b, t.x), 6) AS r FROM l a JOIN l t ON a.month = t.month WHERE a.b IS NOT NULL AND t.b IS NOT NULL GROUP BY 1, 2
+"""
+)
+
+
+@query("w11_lagged_correlations", _LAG_SQL)
+def lagged_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of every series' standardised value with every other's a month before, over the rows that have one."""
+    rows = tables.monthly_sales(spark, sf_dir).withColumn("b", F.lag("x").over(windows.along(["series"], ["month"]))).where("b is not null")
+    a, t = rows.select("month", F.col("series").alias("source"), "b"), rows.select("month", F.col("series").alias("target"), "x")
+    return a.join(t, "month").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.round(scalars.correlation("b", "x"), 6).alias("r"))
+
+
+_BRANCHES = [(sub, regime, f"{regime}: {sub.replace('_', ' ')}") for sub, regime in regimes.PARENT.items()]
+_PARENT_SQL = f"""
+WITH e AS ({_FULL_SQL})
+, l AS (UNPIVOT e ON {", ".join(c.EVIDENCE)} INTO NAME sub VALUE score)
+, b(sub, parent, name) AS (VALUES {", ".join(f"('{a}', '{p}', '{n}')" for a, p, n in _BRANCHES)})
+SELECT day, parent, name, score FROM l JOIN b USING (sub) QUALIFY row_number() OVER (PARTITION BY day, parent ORDER BY score DESC, sub) = 1
+"""
+
+
+@query("j10_leading_branches", _PARENT_SQL)
+def leading_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sub-regime that each day's evidence favours in every regime, by its parent and full name."""
+    branches = spark.createDataFrame(_BRANCHES, "sub string, parent string, name string")  # a row for each sub-regime
+    scores = full_evidence(spark, sf_dir).unpivot(["day"], list(c.EVIDENCE), "sub", "score").join(F.broadcast(branches), "sub")
+    top = F.row_number().over(Window.partitionBy("day", "parent").orderBy(F.desc("score"), "sub"))
+    return scores.withColumn("k", top).where("k = 1").select("day", "parent", "name", "score")
+
+
+_CLASS_A, _CLASS_B = ("SP500", "INITIAL_CLAIMS"), ("INITIAL_CLAIMS", "US_CPI_YOY", "RETAIL_SALES")
+
+
+@query("u2_union_of_classes", with_ctes("obs") + f" SELECT stream_key, count(*) AS n FROM obs WHERE stream_key IN (SELECT unnest({list(_CLASS_A)}) UNION SELECT unnest({list(_CLASS_B)})) GROUP BY 1")
+def union_of_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of the streams that either of two classes names."""
+    classes = spark.createDataFrame([(k,) for k in _CLASS_A], "stream_key string").union(spark.createDataFrame([(k,) for k in _CLASS_B], "stream_key string")).distinct()  # a row for each stream
+    return tables.observations(spark, sf_dir).join(F.broadcast(classes), "stream_key").groupBy("stream_key").agg(F.count(F.lit(1)).alias("n"))
