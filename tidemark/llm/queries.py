@@ -19,46 +19,55 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null html has none."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_extraction.extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 20 words that start earlier elsewhere or before."""
     kept = substring_dedup.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document, with its source's size and target."""
     mixed = mixing.mix(_documents(spark, sf_dir, "doc_id", "source", "text")).documents
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: base kinds, and the spans that the battery adds."""
     found = secrets.find_secrets(_documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near duplicates."""
     found = minhash_dedup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontamination.contaminated(_documents(spark, sf_dir, "doc_id", "text"), benchmark)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels of those not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     scored = toxicity.toxicity(_documents(spark, sf_dir, "doc_id", "text"), labels)
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's likelihood under words alone and under the hidden Markov model."""
     return lm_scoring.lm_scores(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one holds."""
     kept = line_dedup.dedup_lines(_documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -83,6 +92,7 @@ FROM marked GROUP BY doc_id
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
     return fingerprint.edit_report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
