@@ -128,3 +128,15 @@ def test_a_hot_line_and_many_missing_ids(spark, monkeypatch):
             assert r.n_dropped == 2 and r.text.startswith("without an id, number") and "\n" not in r.text
         else:
             assert r.n_dropped == 1 and hot_line not in r.text
+
+
+def test_parts_of_buckets_give_the_same_repeats(spark, monkeypatch):
+    """With buckets merged in parts first, as a corpus of very many blocks has them."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50 if i % 3 else j}" for j in range(40 + i))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    plain = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(df).collect()}
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(substring_dedup, "BLOCKS_OF_GROUP", 12)
+    assert sum(len(t) for _, t in rows) > 2 * 300 * 12
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(df).collect()} == plain
+    assert any(r[1] for r in plain.values())

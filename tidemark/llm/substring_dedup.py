@@ -25,6 +25,8 @@ from tidemark.llm.tokens import blocks, pack, unpack, words_of
 WIDTH = 20
 BUCKET_BYTES = 12 << 20
 BLOCK_BYTES = 6 << 20
+#: Map blocks whose windows of one bucket meet in one group; of more blocks, groups of a bucket are merged before it.
+BLOCKS_OF_GROUP = 1 << 16
 _PACKED = "kind int, place int, payload binary"
 
 
@@ -77,16 +79,21 @@ def window_rows(docs: DataFrame, width: int, buckets: int, homes: int, told_apar
     return source.mapInArrow(run, _PACKED)
 
 
-def _repeats(key: tuple, table: pa.Table, homes: int) -> pa.Table:
-    """One bucket: which of its windows have an earlier occurrence. Kind 1 passes through."""
+def _repeats(key: tuple, table: pa.Table, homes: int, keep_firsts: bool) -> pa.Table:
+    """A bucket, or with keep_firsts a part of one: which of its windows have an earlier occurrence. The first ones of a part go on, kind 1 passes through."""
     kind, place = (x.as_py() for x in key)
     payloads = table.column("payload").to_pylist()
     if kind == 1:
         return pa.Table.from_batches([_packed_rows([(1, place, p) for p in payloads])])
     hashes, ids, prints, positions = (np.concatenate(x) for x in zip(*(unpack(p, 4) for p in payloads)))
-    again = np.flatnonzero(~_first_of_each(hashes, ids, prints, positions))
+    first = _first_of_each(hashes, ids, prints, positions)
+    again = np.flatnonzero(~first)
     again = again[np.lexsort((positions[again], ids[again]))]
     rows = [(1, home, pack(prints[again[r]].view(np.uint64), ids[again[r]], positions[again[r]])) for home, r in parts(home_of(homes, ids[again], prints[again]))]
+    if keep_firsts:
+        kept = np.flatnonzero(first)
+        kept = kept[np.lexsort((positions[kept], prints[kept], ids[kept]))]
+        rows.append((0, place, pack(hashes[kept], ids[kept], prints[kept], positions[kept])))
     return pa.Table.from_batches([_packed_rows(rows)])
 
 
@@ -110,9 +117,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     buckets = max(2 * partitions(spark), n_bytes // BUCKET_BYTES)
     homes = max(2 * partitions(spark), n_bytes // BUCKET_BYTES)
     told_apart = docs.select(F.count_distinct("doc_id").alias("n")).first()["n"] < n_rows
-    packed = window_rows(docs, width, buckets, homes, told_apart).withColumn("salt", F.when(F.col("kind") == 1, F.xxhash64("payload")).otherwise(0))
     tasks = max(partitions(spark), buckets // HOMES_OF_TASK)
-    found = packed.repartition(tasks, "kind", "place", "salt").groupBy("kind", "place", "salt").applyInArrow(lambda key, table: _repeats(key[:2], table, homes), _PACKED)
+
+    def merged(rows: DataFrame, parts_of_bucket: int) -> DataFrame:
+        spread = F.xxhash64("payload")
+        salted = rows.withColumn("salt", F.when(F.col("kind") == 1, spread).otherwise(F.pmod(spread, F.lit(parts_of_bucket))))
+        keep = parts_of_bucket > 1
+        return salted.repartition(tasks, "kind", "place", "salt").groupBy("kind", "place", "salt").applyInArrow(lambda key, table: _repeats(key[:2], table, homes, keep), _PACKED)
+
+    found = window_rows(docs, width, buckets, homes, told_apart)
+    parts_of_bucket = -(-n_bytes // (BLOCK_BYTES * BLOCKS_OF_GROUP))
+    for n in (parts_of_bucket, 1) if parts_of_bucket > 1 else (1,):
+        found = merged(found, n)
 
     added = {"text": "string", "n_words": "long", "n_removed": "long", "intervals": "array<struct<start:long,end:long>>"}
     keep = kept_columns(docs, list(added))
