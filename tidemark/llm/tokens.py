@@ -27,6 +27,8 @@ _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _BYTE_CODES = (_BYTE_CODE, np.random.default_rng(20240602).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 #: Longer words go through a cryptographic hash: a polynomial modulo 2**64 can be made to collide on words of 1,024 bytes.
 LONG_WORD = 64
+#: Values that are hashed at once.
+SPAN = 1 << 18
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -53,11 +55,24 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Rabin-Karp: the polynomial hash of values[start:end] of each segment, from one prefix sum."""
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(_BASES[which], len(values)), dtype=np.uint64, out=sums[1:])
-    return (sums[ends] - sums[starts]) * _powers(_INVERSES[which], len(values) + 1)[starts]
+def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, codes: np.ndarray | None = None) -> np.ndarray:
+    """Rabin-Karp: the polynomial hash of values[start:end] of each segment, from prefix sums; of codes[values] where codes are given.
+
+    Segments come by ascending start and end; they are taken in stretches of about SPAN values, so memory doesn't grow with values.
+    """
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + SPAN, side="right")))
+        span = values[base : int(ends[hi - 1])]
+        span = span if codes is None else codes[span]
+        sums = np.zeros(len(span) + 1, dtype=np.uint64)
+        np.cumsum(span * _powers(_BASES[which], len(span)), dtype=np.uint64, out=sums[1:])
+        at = starts[lo:hi] - base
+        out[lo:hi] = (sums[ends[lo:hi] - base] - sums[at]) * _powers(_INVERSES[which], len(span) + 1)[at]
+        lo = hi
+    return out
 
 
 @dataclass
@@ -72,13 +87,11 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         data = _LOWER[self.data] if lower else self.data
-        return mix(segment_hashes(_BYTE_CODE[data], self.starts, self.ends)) if len(self.starts) else np.zeros(0, np.uint64)
+        return mix(segment_hashes(data, self.starts, self.ends, codes=_BYTE_CODE))
 
     def strong_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of each word, on which two words of any length collide by chance alone."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        both = tuple(mix(segment_hashes(_BYTE_CODES[i][self.data], self.starts, self.ends, i), 5 * i) for i in (0, 1))
+        both = tuple(mix(segment_hashes(self.data, self.starts, self.ends, i, _BYTE_CODES[i]), 5 * i) for i in (0, 1))
         for k in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
             digest = hashlib.blake2b(self.data[self.starts[k] : self.ends[k]].tobytes(), digest_size=16).digest()
             both[0][k], both[1][k] = np.frombuffer(digest, np.uint64)
