@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -17,6 +18,14 @@ from tidemark.llm.tokens import numbered, words_of
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def brute_runs(words, least=24):
     """Every lag of every place; of stretches equal in start and length the smallest lag."""
     found = {}
@@ -121,14 +130,17 @@ def brute_trie(sequences):
     for conv, turns in sequences.items():
         for d in range(len(turns) + 1):
             members.setdefault(tuple(turns[:d]), []).append(conv)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, convs in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(convs) - 1) * p[-1][1] if p else 0
     rows = []
     for prefix, convs in members.items():
-        below = [p for p in members if p[: len(prefix)] == prefix]
         ends = sorted(c for c in convs if len(sequences[c]) == len(prefix))
-        rows.append((
-            min(convs), len(prefix), min(members[prefix[:-1]]) if prefix else None, len(convs), sum(len(p) == len(prefix) + 1 for p in below),
-            sum(not any(o[: len(p)] == p and len(o) > len(p) for o in below) for p in below), sum((len(members[p]) - 1) * p[-1][1] for p in below if p), hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest(),
-        ))
+        digest = hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()
+        rows.append((min(convs), len(prefix), min(members[prefix[:-1]]) if prefix else None, len(convs), children[prefix], leaves[prefix], saved[prefix], digest))
     return sorted(rows, key=str)
 
 
