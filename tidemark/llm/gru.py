@@ -6,6 +6,7 @@ so a block's distinct words are embedded and projected once.  A text's windows a
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -191,10 +192,17 @@ def leaning(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) ->
     return (np.sign(toxic - n * share) * np.maximum(np.sqrt(2 * np.maximum(g, 0)) - BY_CHANCE, 0) / 2).astype(np.float32)
 
 
-def train(texts: list[Words], labels: np.ndarray, steps: int = 260, batch: int = 24, rate: float = 0.02, seed: int = 3) -> Network:
+def _narrow(words: Words) -> tuple:
+    """What training keeps of a text: its vocabulary and windows, numbers in 32 bits, without the text."""
+    vocab, inverse = vocabulary(words)
+    text, start, size = (x.astype(np.int32) for x in window_spans(words.first))
+    return Vocabulary(vocab.word.astype(np.int32), vocab.grams.astype(np.int16), vocab.first.astype(np.int32)), inverse.astype(np.int32), text, start, size
+
+
+def train(texts: Iterable[Words], labels: np.ndarray, steps: int = 260, batch: int = 24, rate: float = 0.02, seed: int = 3) -> Network:
     """Adam on balanced batches of texts; a text's logit is the softmax-weighted mean of its windows', ever nearer their maximum.
 
-    texts holds one text each.  A seeded part of them is only watched: of the running means of the parameters, those of the
+    texts holds one text each, and is read once.  A seeded part of them is only watched: of the running means of the parameters, those of the
     least loss on it are kept.
     Without both labels the network stays neutral and gives every text a score of 0.5 or less.
     """
@@ -204,7 +212,7 @@ def train(texts: list[Words], labels: np.ndarray, steps: int = 260, batch: int =
         net.params["o"][:] = 0
         return net
     rng = np.random.default_rng(seed)
-    blocks = [(*vocabulary(w), *window_spans(w.first)) for w in texts]
+    blocks = [_narrow(w) for w in texts]
     watched = [rng.permutation(g)[: int(len(g) * WATCHED)] for g in groups]
     groups = [np.setdiff1d(g, x) for g, x in zip(groups, watched)]
     common = {}

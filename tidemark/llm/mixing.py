@@ -85,6 +85,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
 
     A null source is a source of its own, after all others.  Empty documents, sources and tables get 0 words; rows
     that share a doc_id are documents of their own.  Other columns are ignored.  Same input, same mix, in any row order.
+
+    Where each document lies and the schedule are written before they meet, so that the driver never plans, nor broadcasts for, all of it at once.
     """
     spark = docs.sparkSession
     sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
@@ -100,10 +102,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     inside = Window.partitionBy("sid", "bk").orderBy("h", "doc_id", "size")
     laid = keyed.withColumn("row", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.join(base, ["sid", "bk"]).withColumn("start", F.col("before") + F.col("upto") - F.col("size")).withColumn("limit", F.floor("target"))
-    laid = laid.select("doc_id", "source", "size", "source_size", "target", "sid", "bk", "row", "start", "limit")
+    laid = written(laid.select("doc_id", "source", "size", "source_size", "target", "sid", "bk", "row", "start", "limit"), "mix-laid")
 
     slots = schedule(sources, int(-(-words // block)), max(4096, int(words // block) // (4 * partitions(spark)) + 1))
-    drawn = slots.select("slot", "sid", (F.col("r") * block).alias("from"), ((F.col("r") + 1) * block).alias("to"))
+    drawn = written(slots.select("slot", "sid", (F.col("r") * block).alias("from"), ((F.col("r") + 1) * block).alias("to")), "mix-slots")
     reached = drawn.groupBy("sid").agg(F.max("to").alias("reached"))
     short = sources.join(reached, "sid", "left").select(F.lit(-1).cast("long").alias("slot"), "sid", F.coalesce("reached", F.lit(0)).alias("from"), F.floor("target").alias("to")).where(F.col("from") < F.col("to"))
     fill = short.withColumn("r", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)))).select("slot", "sid", "r", (F.col("r") * block).alias("from"), F.least((F.col("r") + 1) * block, F.col("to")).alias("to"))

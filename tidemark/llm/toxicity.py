@@ -34,11 +34,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
 
 def fit(docs: DataFrame, labels: DataFrame) -> gru.Network:
     rows = training_rows(docs, labels)
-    texts = []
-    for r in rows:
-        data = np.frombuffer(r["text"].encode(), np.uint8)
-        texts.append(words_of(data, np.array([0, len(data)])))
-    return gru.train(texts, np.array([r["toxic"] for r in rows], np.int64))
+    data = (np.frombuffer(r["text"].encode(), np.uint8) for r in rows)
+    return gru.train((words_of(d, np.array([0, len(d)])) for d in data), np.array([r["toxic"] for r in rows], np.int64))
 
 
 def score_texts(docs: DataFrame, net: gru.Network) -> DataFrame:
